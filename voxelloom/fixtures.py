@@ -17,19 +17,19 @@ VOXEL_UM = (0.025, 0.005, 0.005)
 LABEL_GROUPS = [(1, 1), (1, 2), (1, 3), (2, 4), (2, 8), (2, 12), (2, 16), (3, 5), (4, 3), (4, 7)]
 
 _VOX_STEPS = [
-    ("g", """SELECT o_orderkey k, o_orderkey {div} 4096 volume_id, (o_orderkey%4096) {div} 1024 z,
+    ("vox_raw", """SELECT o_orderkey k, o_orderkey {div} 4096 volume_id, (o_orderkey%4096) {div} 1024 z,
       (o_orderkey%1024) {div} 32 y, o_orderkey%32 x,
       CAST(floor(o_totalprice) AS BIGINT)%256 raw, o_orderstatus st FROM orders"""),
-    ("b", """SELECT *,
+    ("vox_box", """SELECT *,
       CASE WHEN y%8 BETWEEN 1 AND 6 AND x%8 BETWEEN 1 AND 6 THEN (y {div} 8)*4+(x {div} 8)+1 ELSE 0 END gt0,
       CASE WHEN y%8 BETWEEN 1 AND 6 AND (x+1)%8 BETWEEN 1 AND 6 AND x<31
-           THEN (y {div} 8)*4+((x+1) {div} 8)+1 ELSE 0 END pr0 FROM g"""),
+           THEN (y {div} 8)*4+((x+1) {div} 8)+1 ELSE 0 END pr0 FROM vox_raw"""),
     ("vox", """SELECT volume_id, z, y, x, raw,
       CASE WHEN st='P' AND raw<64 THEN 0 ELSE gt0 END AS gt,
       CASE WHEN pr0%5=0 THEN 0 WHEN (volume_id+pr0)%7=0 AND y%8>3 THEN 0 ELSE pr0 END AS pred,
       CASE WHEN y%16=0 OR x%16=0 THEN 0 ELSE (y {div} 16)*2+(x {div} 16)+1 END AS cell,
       CASE WHEN gt0=0 THEN 0 WHEN gt0%4=0 THEN 2 ELSE 1 END AS state,
-      round(least(1.0, CASE WHEN gt0>0 THEN 0.45 ELSE 0.05 END + (raw%50)/100.0),2) AS fg FROM b"""),
+      round(least(1.0, CASE WHEN gt0>0 THEN 0.45 ELSE 0.05 END + (raw%50)/100.0),2) AS fg FROM vox_box"""),
 ]
 
 _CTES = ",\n".join(f"{n} AS ({q})" for n, q in _VOX_STEPS)

@@ -45,10 +45,9 @@ def nearest(queries: DataFrame, targets: DataFrame, keys: list[str], qid: list[s
         *keys, *qid, F.lit(None).cast("double").alias("dist"), F.lit(None).cast("long").alias("nearest_id"))
     edge = float(base)
     for _ in range(max_levels):
-        # Each target is copied to the cells around it; queries stay in their own cell.
-        spread = _cells(t, [f"_t{i}" for i in dims], edge, 1)
-        home = _cells(todo, [f"_q{i}" for i in dims], edge, 0)
-        pairs = home.join(spread, keys + [f"_c{i}" for i in dims])
+        # The shrinking side, the open queries, is copied to the cells around it.
+        asking = _cells(todo, [f"_q{i}" for i in dims], edge, 1)
+        pairs = asking.join(_cells(t, [f"_t{i}" for i in dims], edge, 0), keys + [f"_c{i}" for i in dims])
         if exclude_self:
             pairs = pairs.where(F.col(qid[0]) != F.col("_tid"))
         d2 = sum(((F.col(f"_q{i}") - F.col(f"_t{i}")) * (F.col(f"_q{i}") - F.col(f"_t{i}")) for i in dims), F.lit(0.0))
