@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 AXES = ("z", "y", "x")
 BLOCK = (64, 64, 64)
-BLOCK_KEYS = ["volume_id", "bz", "by", "bx"]
 
 
 def with_blocks(vox: DataFrame, block=BLOCK, lo=(0, 0, 0), hi=(0, 0, 0)) -> DataFrame:
@@ -48,33 +47,40 @@ def gather(mask: np.ndarray, origin, **columns: np.ndarray) -> pd.DataFrame:
 
 
 def map_blocks(vox: DataFrame, kernel: Callable, schema: str, columns: dict, block=BLOCK,
-               lo=(0, 0, 0), hi=(0, 0, 0), meta: list[str] = ()) -> DataFrame:
-    """Run ``kernel(arrays, origin, inner, meta)`` once per block.
+               lo=(0, 0, 0), hi=(0, 0, 0), meta: list[str] = (), keys: list[str] = ("volume_id",),
+               boxes: DataFrame | None = None) -> DataFrame:
+    """Run ``kernel(arrays, origin, inner, meta)`` once per key and block.
 
     ``columns`` maps a column of ``vox`` to ``(dtype, fill)``; ``origin`` is
     the global coordinate of array index 0 and ``inner`` the slices that cut
-    the halo off.  The kernel returns a pandas frame without the volume key.
-    ``schema`` describes the output after ``volume_id``.
+    the halo off.  The kernel returns a pandas frame without the key columns.
+    ``schema`` describes the output after the keys.  ``keys`` may add the
+    label, for per-object work.  ``boxes`` (keys and ``bz, by, bx`` plus the
+    meta columns) adds blocks that must be visited though no voxel is in them.
     """
-    names = list(columns)
+    names, keys = list(columns), list(keys)
     shape = tuple(b + low + high for b, low, high in zip(block, lo, hi))
     inner = tuple(slice(low, low + b) for b, low in zip(block, lo))
+    nk = len(keys)
+    values = [n for n in names if n not in keys]
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        origin = np.array([k * b - low for k, b, low in zip(key[1:], block, lo)], dtype=np.int64)
-        arrays = {n: scatter(pdf, n, origin, shape, *columns[n]) for n in names}
+        origin = np.array([k * b - low for k, b, low in zip(key[nk:], block, lo)], dtype=np.int64)
         extra = {m: pdf[m].iloc[0] for m in meta}
+        rows = pdf[pdf["z"].notna()] if boxes is not None else pdf
+        if boxes is not None:
+            rows = rows.astype({a: np.int64 for a in AXES})
+        arrays = {n: scatter(rows, n, origin, shape, *columns[n]) for n in names}
         out = kernel(arrays, origin, inner, extra)
-        out.insert(0, "volume_id", key[0])
+        for i, k in enumerate(keys):
+            out.insert(i, k, key[i])
         return out
 
-    narrow = vox.select("volume_id", *AXES, *names, *meta)
-    key_type = vox.schema["volume_id"].dataType.simpleString()
-    return (
-        with_blocks(narrow, block, lo, hi)
-        .groupBy(*BLOCK_KEYS)
-        .applyInPandas(run, f"volume_id {key_type}, {schema}")
-    )
+    rows = with_blocks(vox.select(*keys, *AXES, *values, *meta), block, lo, hi)
+    if boxes is not None:
+        rows = rows.unionByName(boxes.select(*keys, "bz", "by", "bx", *meta), allowMissingColumns=True)
+    key_types = ", ".join(f"{k} {vox.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.groupBy(*keys, "bz", "by", "bx").applyInPandas(run, f"{key_types}, {schema}")
 
 
 def block_grid(volumes: DataFrame, block, min_tail: int = 0) -> DataFrame:
