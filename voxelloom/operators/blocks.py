@@ -19,12 +19,15 @@ AXES = ("z", "y", "x")
 BLOCK = (64, 64, 64)
 
 
-def with_blocks(vox: DataFrame, block=BLOCK, lo=(0, 0, 0), hi=(0, 0, 0)) -> DataFrame:
+def with_blocks(vox: DataFrame, block=BLOCK, lo=(0, 0, 0), hi=(0, 0, 0), below_zero: bool = False) -> DataFrame:
     """Copy every row to each block whose box, grown by ``lo`` below and
-    ``hi`` above, contains it."""
+    ``hi`` above, contains it.  Blocks below the origin are skipped unless
+    ``below_zero``."""
     out = vox
     for axis, size, below, above in zip(AXES, block, lo, hi):
         first = F.floor((F.col(axis) - above) / size)
+        if not below_zero:
+            first = F.greatest(F.lit(0), first)
         last = F.floor((F.col(axis) + below) / size)
         target = last if below == above == 0 else F.explode(F.sequence(first, last))
         out = out.withColumn(f"b{axis}", target)
@@ -48,7 +51,7 @@ def gather(mask: np.ndarray, origin, **columns: np.ndarray) -> pd.DataFrame:
 
 def map_blocks(vox: DataFrame, kernel: Callable, schema: str, columns: dict, block=BLOCK,
                lo=(0, 0, 0), hi=(0, 0, 0), meta: list[str] = (), keys: list[str] = ("volume_id",),
-               boxes: DataFrame | None = None) -> DataFrame:
+               boxes: DataFrame | None = None, core_only: bool = False, below_zero: bool = False) -> DataFrame:
     """Run ``kernel(arrays, origin, inner, meta)`` once per key and block.
 
     ``columns`` maps a column of ``vox`` to ``(dtype, fill)``; ``origin`` is
@@ -57,26 +60,35 @@ def map_blocks(vox: DataFrame, kernel: Callable, schema: str, columns: dict, blo
     ``schema`` describes the output after the keys.  ``keys`` may add the
     label, for per-object work.  ``boxes`` (keys and ``bz, by, bx`` plus the
     meta columns) adds blocks that must be visited though no voxel is in them.
+    With ``core_only`` blocks that hold halo voxels only are skipped; use it
+    for kernels that return stored voxels.
     """
     names, keys = list(columns), list(keys)
     shape = tuple(b + low + high for b, low, high in zip(block, lo, hi))
     inner = tuple(slice(low, low + b) for b, low in zip(block, lo))
     nk = len(keys)
     values = [n for n in names if n not in keys]
+    sparse = boxes is not None
+    empty_like = [field.split()[0] for field in schema.split(", ")]
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         origin = np.array([k * b - low for k, b, low in zip(key[nk:], block, lo)], dtype=np.int64)
         extra = {m: pdf[m].iloc[0] for m in meta}
-        rows = pdf[pdf["z"].notna()] if boxes is not None else pdf
-        if boxes is not None:
-            rows = rows.astype({a: np.int64 for a in AXES})
+        rows = pdf[pdf["z"].notna()].astype({a: np.int64 for a in AXES}) if sparse else pdf
+        if core_only:
+            core = np.ones(len(rows), dtype=bool)
+            for a, o, s in zip(AXES, origin, inner):
+                at = rows[a].to_numpy() - o
+                core &= (at >= s.start) & (at < s.stop)
+            if not core.any():
+                return pd.DataFrame(columns=keys + empty_like)
         arrays = {n: scatter(rows, n, origin, shape, *columns[n]) for n in names}
         out = kernel(arrays, origin, inner, extra)
         for i, k in enumerate(keys):
             out.insert(i, k, key[i])
         return out
 
-    rows = with_blocks(vox.select(*keys, *AXES, *values, *meta), block, lo, hi)
+    rows = with_blocks(vox.select(*keys, *AXES, *values, *meta), block, lo, hi, below_zero)
     if boxes is not None:
         rows = rows.unionByName(boxes.select(*keys, "bz", "by", "bx", *meta), allowMissingColumns=True)
     key_types = ", ".join(f"{k} {vox.schema[k].dataType.simpleString()}" for k in keys)

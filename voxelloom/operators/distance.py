@@ -55,7 +55,7 @@ def distance(mask: DataFrame, volumes: DataFrame, radius: int = 8, spacing=(1.0,
 
     rows = mask.select(*VOXEL, F.lit(True).alias("_on")).join(volume_boxes(volumes), "volume_id")
     near = map_blocks(rows, kernel, "z long, y long, x long, dist double", {"_on": (np.bool_, False)}, block,
-                      lo=reach, hi=reach, meta=BOX)
+                      lo=reach, hi=reach, meta=BOX, core_only=True)
     near = near.withColumn("dist", F.when(F.isnan("dist"), None).otherwise(F.col("dist")))
     if not exact:
         return near

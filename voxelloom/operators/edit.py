@@ -25,7 +25,7 @@ def identity_halo(vox: DataFrame, value: str, radius: int, block=BLOCK) -> DataF
 
     rows = vox.select(*VOXEL, value, F.lit(1).alias("_on"))
     return map_blocks(rows, kernel, f"z long, y long, x long, box_sum double, {value} double",
-                      {value: (np.float64, 0.0), "_on": (np.int8, 0)}, block, lo=(radius,) * 3, hi=(radius,) * 3)
+                      {value: (np.float64, 0.0), "_on": (np.int8, 0)}, block, lo=(radius,) * 3, hi=(radius,) * 3, core_only=True)
 
 
 def map_with_halo(vox: DataFrame, fn, schema: str, columns: dict, radius: int, block=BLOCK) -> DataFrame:
@@ -39,7 +39,7 @@ def map_with_halo(vox: DataFrame, fn, schema: str, columns: dict, radius: int, b
 
     rows = vox.select(*VOXEL, *columns, F.lit(1).alias("_on"))
     return map_blocks(rows, kernel, "z long, y long, x long, " + schema, {**columns, "_on": (np.int8, 0)}, block,
-                      lo=(radius,) * 3, hi=(radius,) * 3)
+                      lo=(radius,) * 3, hi=(radius,) * 3, core_only=True)
 
 
 def merge_segmentations(seg1: DataFrame, seg2: DataFrame, threshold: float) -> DataFrame:

@@ -167,7 +167,7 @@ def surface_voxels(mask: DataFrame, block=None) -> DataFrame:
 
     args = (block,) if block else ()
     ones = mask.withColumn("_on", F.lit(True))
-    return map_blocks(ones, kernel, "z long, y long, x long", {"_on": (np.bool_, False)}, *args, lo=(1, 1, 1), hi=(1, 1, 1))
+    return map_blocks(ones, kernel, "z long, y long, x long", {"_on": (np.bool_, False)}, *args, lo=(1, 1, 1), hi=(1, 1, 1), core_only=True)
 
 
 def hausdorff95(gt: DataFrame, pred: DataFrame, volumes: DataFrame, spacing, block=None) -> DataFrame:

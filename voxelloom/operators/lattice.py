@@ -58,7 +58,7 @@ def cube_histogram(labels: DataFrame, volumes: DataFrame, block=BLOCK) -> DataFr
     parts = map_blocks(
         labels.join(volumes.select("volume_id", "nz", "ny", "nx"), "volume_id"),
         _cube_kernel, "label long, config int, inside boolean, n long",
-        {"label": (np.int64, 0)}, block, hi=(1, 1, 1), meta=["nz", "ny", "nx"])
+        {"label": (np.int64, 0)}, block, hi=(1, 1, 1), meta=["nz", "ny", "nx"], below_zero=True)
     return parts.groupBy("volume_id", "label", "config", "inside").agg(F.sum("n").alias("n"))
 
 
@@ -80,7 +80,7 @@ def square_histogram(labels: DataFrame, volumes: DataFrame, block=BLOCK) -> Data
     parts = map_blocks(
         labels.join(volumes.select("volume_id", "ny", "nx"), "volume_id"),
         _square_kernel, "z long, label long, config int, n long",
-        {"label": (np.int64, 0)}, block, hi=(0, 1, 1), meta=["ny", "nx"])
+        {"label": (np.int64, 0)}, block, hi=(0, 1, 1), meta=["ny", "nx"], below_zero=True)
     return parts.groupBy("volume_id", "z", "label", "config").agg(F.sum("n").alias("n"))
 
 

@@ -82,14 +82,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], col: str, probs: list[float]
     """Exact linear-interpolated quantiles per key from a distributed value
     histogram; one row per key."""
     counted = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    hist = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(counted.alias("n"))
-    run = prefix_totals(hist, keys, [col], ["n"])
+    hist = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(counted.alias("_cnt"))
+    run = prefix_totals(hist, keys, [col], ["_cnt"])
     picks, outs = [], []
     for i, (p, name) in enumerate(zip(probs, names)):
-        pos = (F.col("tot_n") - 1) * F.lit(float(p))
+        pos = (F.col("tot__cnt") - 1) * F.lit(float(p))
         picks += [
-            F.min(F.when(F.col("cum_n") > F.floor(pos), F.col(col))).alias(f"_lo{i}"),
-            F.min(F.when(F.col("cum_n") > F.ceil(pos), F.col(col))).alias(f"_hi{i}"),
+            F.min(F.when(F.col("cum__cnt") > F.floor(pos), F.col(col))).alias(f"_lo{i}"),
+            F.min(F.when(F.col("cum__cnt") > F.ceil(pos), F.col(col))).alias(f"_hi{i}"),
             F.first(pos - F.floor(pos)).alias(f"_f{i}"),
         ]
         outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}"))

@@ -87,7 +87,7 @@ _COLS2 = {**_COLS1, "steps": (np.int64, FAR), "label": (np.int64, 0)}
 
 def _to_rest(state: DataFrame, kernel, schema, columns, block) -> DataFrame:
     while True:
-        state = cut(map_blocks(state, kernel, schema, columns, block, lo=(1, 1, 1), hi=(1, 1, 1)))
+        state = cut(map_blocks(state, kernel, schema, columns, block, lo=(1, 1, 1), hi=(1, 1, 1), core_only=True))
         if state.where("changed").isEmpty():
             return state
 

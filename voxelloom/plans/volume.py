@@ -135,7 +135,9 @@ def _(t):
 
 # ------------------------------------------------------------------ distance and watershed
 DIST = """dm AS (SELECT volume_id, z, y, x FROM vox WHERE gt>0),
- dd AS (SELECT a.volume_id, a.z, a.y, a.x, min(sqrt((a.z-b.z)*(a.z-b.z)+(a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x))) dist FROM dm a JOIN vox b ON a.volume_id=b.volume_id AND b.gt=0
+ dg AS (SELECT volume_id, z, y, x FROM (SELECT volume_id, z, y, unnest(range(0,nx)) x FROM (SELECT volume_id, nx, z, unnest(range(0,ny)) y FROM
+   (SELECT volume_id, nx, ny, unnest(range(0,nz)) z FROM vol))) ANTI JOIN dm USING (volume_id,z,y,x)),
+ dd AS (SELECT a.volume_id, a.z, a.y, a.x, min(sqrt((a.z-b.z)*(a.z-b.z)+(a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x))) dist FROM dm a JOIN dg b ON a.volume_id=b.volume_id
    AND abs(a.y-b.y)<=6 AND abs(a.x-b.x)<=6 GROUP BY 1,2,3,4)"""
 
 
@@ -175,9 +177,9 @@ def _(t):
     return out.groupBy("volume_id", "label").agg(F.count(F.lit(1)).alias("size"), F.min("z").alias("z0"), F.min("y").alias("y0"), F.min("x").alias("x0"))
 
 
-@query("vol_12_segment_axon", f"""{RVOX}, am AS (SELECT volume_id, z, y, x, 1 AS label FROM vox WHERE fg>0.5), {cc_sql('am', 26, False)} SELECT volume_id, root+1 AS label, count(*) size FROM cc GROUP BY 1,2 HAVING count(*)>=40""")
+@query("vol_12_segment_axon", f"""{RVOX}, am AS (SELECT volume_id, z, y, x, 1 AS label FROM vox WHERE fg>0.6), {cc_sql('am', 26, False)} SELECT volume_id, root+1 AS label, count(*) size FROM cc GROUP BY 1,2 HAVING count(*)>=40""")
 def _(t):
-    p = W.SegParams(seed_distance=None, min_size=40, flood=False)
+    p = W.SegParams(fg_threshold=0.6, seed_distance=None, min_size=40, flood=False)
     return O.voxel_count(W.segment(probabilities(t), t.volumes, p, block=SMALL_BLOCK)).withColumnRenamed("volume_vx", "size")
 
 
@@ -242,8 +244,8 @@ def _(t):
 
 
 _HOLES = f"""bx AS (SELECT volume_id, label, min(z) z0, max(z) z1, min(y) y0, max(y) y1, min(x) x0, max(x) x1 FROM frag GROUP BY 1,2),
- bg AS (SELECT v.volume_id, v.z, v.y, v.x, b.label FROM vox v JOIN bx b ON v.volume_id=b.volume_id AND v.z BETWEEN z0 AND z1 AND v.y BETWEEN y0 AND y1 AND v.x BETWEEN x0 AND x1
-   WHERE NOT (v.gt=b.label AND v.raw<150))"""
+ bg AS (SELECT volume_id, label, z, y, x FROM (SELECT volume_id, label, z, y, unnest(range(x0,x1+1)) x FROM (SELECT volume_id, label, x0, x1, z, unnest(range(y0,y1+1)) y FROM
+   (SELECT volume_id, label, x0, x1, y0, y1, unnest(range(z0,z1+1)) z FROM bx))) ANTI JOIN frag USING (volume_id,label,z,y,x))"""
 
 
 def fill_sql(limit, per_slice):
