@@ -98,3 +98,14 @@ def _(t):
 @query("spl_7_staged_split", f"{FILES} SELECT path, regexp_replace(path,'^.*/','') AS name FROM files WHERE NOT contains(path,'KO')")
 def _(t):
     return SP.staged_split(t.files, ["KO"])
+
+
+@query("win_7_prefix_before_row", f"""{SPECIMEN}, sz AS (SELECT source, genotype, specimen, count(*) n FROM spec GROUP BY 1,2,3)
+  SELECT source, genotype, specimen, n, coalesce(sum(n) OVER (PARTITION BY source,genotype ORDER BY n, specimen ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::BIGINT files_before,
+  row_number() OVER (PARTITION BY source,genotype ORDER BY n DESC, specimen DESC)=1 is_last FROM sz""")
+def _(t):
+    from voxelloom.operators.ordered import prefix_totals
+    sizes = SP.with_specimen(t.files).groupBy("source", "genotype", "specimen").agg(F.count(F.lit(1)).alias("n"))
+    run = prefix_totals(sizes, ["source", "genotype"], ["n", "specimen"], ["n"])
+    return run.select("source", "genotype", "specimen", "n", (F.col("cum_n") - F.col("n")).alias("files_before"),
+                      (F.col("rn") == F.col("rows_total")).alias("is_last"))
