@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelloom.session import parallelism
+
 AXES = ("z", "y", "x")
 BLOCK = (64, 64, 64)
 
@@ -41,6 +43,11 @@ def scatter(pdf: pd.DataFrame, column: str, origin, shape, dtype=np.int64, fill=
     return dense
 
 
+def inner_origin(origin, inner) -> np.ndarray:
+    """Global coordinate of the first inner voxel."""
+    return origin + np.array([s.start for s in inner], dtype=np.int64)
+
+
 def gather(mask: np.ndarray, origin, **columns: np.ndarray) -> pd.DataFrame:
     """Rows (global coordinates and values) of the voxels where ``mask``."""
     where = np.nonzero(mask)
@@ -51,39 +58,47 @@ def gather(mask: np.ndarray, origin, **columns: np.ndarray) -> pd.DataFrame:
 
 def map_blocks(vox: DataFrame, kernel: Callable, schema: str, columns: dict, block=BLOCK,
                lo=(0, 0, 0), hi=(0, 0, 0), meta: list[str] = (), keys: list[str] = ("volume_id",),
-               boxes: DataFrame | None = None, core_only: bool = False, below_zero: bool = False) -> DataFrame:
+               boxes: DataFrame | None = None, core_only: bool = False, below_zero: bool = False, crop: bool = True) -> DataFrame:
     """Run ``kernel(arrays, origin, inner, meta)`` once per key and block.
 
     ``columns`` maps a column of ``vox`` to ``(dtype, fill)``; ``origin`` is
-    the global coordinate of array index 0 and ``inner`` the slices that cut
-    the halo off.  The kernel returns a pandas frame without the key columns.
+    the global coordinate of array index 0 and ``inner`` the slices of the
+    block proper, without halo.  The kernel returns a pandas frame without the key columns.
     ``schema`` describes the output after the keys.  ``keys`` may add the
     label, for per-object work.  ``boxes`` (keys and ``bz, by, bx`` plus the
     meta columns) adds blocks that must be visited though no voxel is in them.
     With ``core_only`` blocks that hold halo voxels only are skipped; use it
-    for kernels that return stored voxels.
+    for kernels that return stored voxels.  Arrays are cropped to the stored
+    voxels plus a rim as wide as the halo (at least one), so a thin object does
+    not cost a full box; ``crop=False`` keeps the whole block.
     """
     names, keys = list(columns), list(keys)
-    shape = tuple(b + low + high for b, low, high in zip(block, lo, hi))
-    inner = tuple(slice(low, low + b) for b, low in zip(block, lo))
     nk = len(keys)
     values = [n for n in names if n not in keys]
     sparse = boxes is not None
     empty_like = [field.split()[0] for field in schema.split(", ")]
+    rim = [max(low, high, 1) for low, high in zip(lo, hi)]
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        origin = np.array([k * b - low for k, b, low in zip(key[nk:], block, lo)], dtype=np.int64)
+        start = np.array([k * b for k, b in zip(key[nk:], block)], dtype=np.int64)
+        stop = start + block
         extra = {m: pdf[m].iloc[0] for m in meta}
         rows = pdf[pdf["z"].notna()].astype({a: np.int64 for a in AXES}) if sparse else pdf
+        at = [rows[a].to_numpy() for a in AXES]
         if core_only:
             core = np.ones(len(rows), dtype=bool)
-            for a, o, s in zip(AXES, origin, inner):
-                at = rows[a].to_numpy() - o
-                core &= (at >= s.start) & (at < s.stop)
+            for c, s, e in zip(at, start, stop):
+                core &= (c >= s) & (c < e)
             if not core.any():
                 return pd.DataFrame(columns=keys + empty_like)
-        arrays = {n: scatter(rows, n, origin, shape, *columns[n]) for n in names}
-        out = kernel(arrays, origin, inner, extra)
+        first, last = start - lo, stop + hi
+        if crop and not sparse:
+            first = np.maximum(first, [c.min() - r for c, r in zip(at, rim)])
+            last = np.minimum(last, [c.max() + 1 + r for c, r in zip(at, rim)])
+        shape = tuple(last - first)
+        inner = tuple(slice(max(0, int(s - f)), max(0, int(min(e, g) - f))) for s, e, f, g in zip(start, stop, first, last))
+        arrays = {n: scatter(rows, n, first, shape, *columns[n]) for n in names}
+        out = kernel(arrays, first, inner, extra)
         for i, k in enumerate(keys):
             out.insert(i, k, key[i])
         return out
@@ -92,6 +107,8 @@ def map_blocks(vox: DataFrame, kernel: Callable, schema: str, columns: dict, blo
     if boxes is not None:
         rows = rows.unionByName(boxes.select(*keys, "bz", "by", "bx", *meta), allowMissingColumns=True)
     key_types = ", ".join(f"{k} {vox.schema[k].dataType.simpleString()}" for k in keys)
+    # A declared partition count: adaptive coalescing would pack small but compute-heavy blocks into few tasks.
+    rows = rows.repartition(parallelism(vox.sparkSession), *keys, "bz", "by", "bx")
     return rows.groupBy(*keys, "bz", "by", "bx").applyInPandas(run, f"{key_types}, {schema}")
 
 

@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.operators.blocks import AXES, BLOCK, gather, map_blocks
+from voxelloom.operators.blocks import AXES, BLOCK, gather, inner_origin, map_blocks
 from voxelloom.operators.labels import offsets
-from voxelloom.operators.morphology import BOX, _inside, _shifted, volume_boxes
+from voxelloom.operators.morphology import BOX, _inside, shifted, volume_boxes
 from voxelloom.operators.nearest import nearest
 from voxelloom.session import cut
 
@@ -51,7 +51,7 @@ def distance(mask: DataFrame, volumes: DataFrame, radius: int = 8, spacing=(1.0,
         outside = ~m & _inside(m.shape, origin, meta, BOX[::2], BOX[1::2])
         d = np.sqrt(_windowed_squares(outside, reach, spacing)[inner])
         d = np.where(d <= sure, d, np.nan)
-        return gather(m[inner], origin + radius, dist=d)
+        return gather(m[inner], inner_origin(origin, inner), dist=d)
 
     rows = mask.select(*VOXEL, F.lit(True).alias("_on")).join(volume_boxes(volumes), "volume_id")
     near = map_blocks(rows, kernel, "z long, y long, x long, dist double", {"_on": (np.bool_, False)}, block,
@@ -79,8 +79,8 @@ def _outer_rim(mask: DataFrame, volumes: DataFrame, block) -> DataFrame:
         m = arrays["_on"]
         touch = np.zeros_like(m)
         for off in offsets(6):
-            touch |= _shifted(m, off)
-        return gather((touch & ~m & _inside(m.shape, origin, meta, BOX[::2], BOX[1::2]))[inner], origin + 1)
+            touch |= shifted(m, off)
+        return gather((touch & ~m & _inside(m.shape, origin, meta, BOX[::2], BOX[1::2]))[inner], inner_origin(origin, inner))
 
     rows = mask.select(*VOXEL, F.lit(True).alias("_on")).join(volume_boxes(volumes), "volume_id")
     return map_blocks(rows, kernel, "z long, y long, x long", {"_on": (np.bool_, False)}, block,

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.operators.blocks import AXES, BLOCK, block_grid, gather, map_blocks
+from voxelloom.operators.blocks import AXES, BLOCK, block_grid, gather, inner_origin, map_blocks
 from voxelloom.operators.components import VOXEL, component_sizes, components, solve_graph
 from voxelloom.operators.labels import overlaps
 from voxelloom.operators.morphology import element, holes, morph, volume_boxes
@@ -21,7 +21,7 @@ def identity_halo(vox: DataFrame, value: str, radius: int, block=BLOCK) -> DataF
         total = arrays[value].astype(np.float64)
         for axis in range(3):
             total = sum(np.roll(total, k, axis) for k in range(-radius, radius + 1))
-        return gather((arrays["_on"] > 0)[inner], origin + radius, box_sum=total[inner], **{value: arrays[value][inner]})
+        return gather((arrays["_on"] > 0)[inner], inner_origin(origin, inner), box_sum=total[inner], **{value: arrays[value][inner]})
 
     rows = vox.select(*VOXEL, value, F.lit(1).alias("_on"))
     return map_blocks(rows, kernel, f"z long, y long, x long, box_sum double, {value} double",
@@ -35,7 +35,7 @@ def map_with_halo(vox: DataFrame, fn, schema: str, columns: dict, radius: int, b
     def kernel(arrays, origin, inner, meta):
         stored = arrays.pop("_on") > 0
         out = fn(arrays)
-        return gather(stored[inner], origin + radius, **{n: v[inner] for n, v in out.items()})
+        return gather(stored[inner], inner_origin(origin, inner), **{n: v[inner] for n, v in out.items()})
 
     rows = vox.select(*VOXEL, *columns, F.lit(1).alias("_on"))
     return map_blocks(rows, kernel, "z long, y long, x long, " + schema, {**columns, "_on": (np.int8, 0)}, block,

@@ -154,16 +154,15 @@ def surface_voxels(mask: DataFrame, block=None) -> DataFrame:
     """Mask voxels with a missing 26-neighbour; outside the volume counts as missing."""
     import numpy as np
 
-    from voxelloom.operators.blocks import gather, map_blocks
+    from voxelloom.operators.blocks import gather, inner_origin, map_blocks
     from voxelloom.operators.labels import offsets
+    from voxelloom.operators.morphology import shifted
 
     def kernel(arrays, origin, inner, meta):
-        m = arrays["_on"]
-        core = m[inner]
-        full = core.copy()
+        full = m = arrays["_on"]
         for off in offsets(26):
-            full &= m[tuple(slice(1 + o, 1 + o + n) for o, n in zip(off, core.shape))]
-        return gather(core & ~full, origin + 1)
+            full = full & shifted(m, off)
+        return gather((m & ~full)[inner], inner_origin(origin, inner))
 
     args = (block,) if block else ()
     ones = mask.withColumn("_on", F.lit(True))
@@ -186,7 +185,7 @@ def hausdorff95(gt: DataFrame, pred: DataFrame, volumes: DataFrame, spacing, blo
 
     asking = sided(a, b)
     given = asking.withColumn("_side", 1 - F.col("_side"))
-    d = nearest(asking, given, ["volume_id", "_side"], ["_id"], None, xyz, xyz, max(spacing))
+    d = nearest(asking, given, ["volume_id", "_side"], ["_id"], None, xyz, xyz, 2 * min(spacing))
     q = exact_quantiles(d, ["volume_id"], "dist", [0.95], ["_q"])
     have = asking.select("volume_id", F.lit(True).alias("_any")).distinct()
     out = volumes.select("volume_id").join(have, "volume_id", "left").join(q, "volume_id", "left")

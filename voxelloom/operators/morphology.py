@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.operators.blocks import AXES, BLOCK, gather, map_blocks
+from voxelloom.operators.blocks import AXES, BLOCK, gather, inner_origin, map_blocks
 from voxelloom.operators.components import face_edges, local_components, pack_roots, solve_graph
 from voxelloom.operators.labels import offsets
 from voxelloom.operators.objects import OBJECT, bounding_box
@@ -31,7 +31,7 @@ def element(kind: str, radius: int = 1) -> list[tuple[int, int, int]]:
     return [(z, y, x) for z in r for y in r for x in r if inside(z, y, x)]
 
 
-def _shifted(mask: np.ndarray, off) -> np.ndarray:
+def shifted(mask: np.ndarray, off) -> np.ndarray:
     """``out[p] = mask[p + off]``, False outside the array."""
     out = np.zeros_like(mask)
     dst = tuple(slice(max(0, -o), n - max(0, o)) for o, n in zip(off, mask.shape))
@@ -44,7 +44,7 @@ def _dilate(mask, elem, times, domain):
     for _ in range(times):
         out = np.zeros_like(mask)
         for off in elem:
-            out |= _shifted(mask, off)
+            out |= shifted(mask, off)
         mask = out & domain
     return mask
 
@@ -53,7 +53,7 @@ def _erode(mask, elem, times):
     for _ in range(times):
         out = np.ones_like(mask)
         for off in elem:
-            out &= _shifted(mask, off)
+            out &= shifted(mask, off)
         mask = out
     return mask
 
@@ -86,8 +86,7 @@ def morph(mask: DataFrame, boxes: DataFrame, op: str, elem, times: int = 1, bloc
             out = _dilate(m, elem, times, domain)
             if op == "close":
                 out = _erode(out, elem, times)
-        part = out[inner]
-        return gather(part, origin + np.array([s.start for s in inner]))
+        return gather(out[inner], inner_origin(origin, inner))
 
     rows = mask.select(*keys, *AXES, F.lit(True).alias("_on")).join(boxes.select(*keys, *BOX), keys)
     return map_blocks(rows, kernel, "z long, y long, x long", {"_on": (np.bool_, False)}, block,

@@ -32,15 +32,15 @@ def nearest(queries: DataFrame, targets: DataFrame, keys: list[str], qid: list[s
     Ties go to the smallest ``tid``.  With ``exclude_self`` a target whose id
     equals the query's first id column is skipped.
     """
-    t = targets.select(*keys, *[F.col(c).cast("double").alias(f"_t{i}") for i, c in enumerate(tcoords)],
-                       (F.col(tid) if tid else F.lit(0)).alias("_tid"))
+    t = cut(targets.select(*keys, *[F.col(c).cast("double").alias(f"_t{i}") for i, c in enumerate(tcoords)],
+                       (F.col(tid) if tid else F.lit(0)).alias("_tid")))
     q = queries.select(*keys, *qid, *[F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(qcoords)])
     dims = range(len(qcoords))
     # A key whose targets cannot answer (none, or only the query itself) is settled as NULL.
     have = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_have"))
-    q = q.join(have, keys, "left").withColumn("_have", F.coalesce("_have", F.lit(0)))
+    q = cut(q.join(have, keys, "left").withColumn("_have", F.coalesce("_have", F.lit(0))))
     need = 2 if exclude_self else 1
-    todo = cut(q.where(F.col("_have") >= need).drop("_have"))
+    todo = q.where(F.col("_have") >= need).drop("_have")
     done = q.where(F.col("_have") < need).select(
         *keys, *qid, F.lit(None).cast("double").alias("dist"), F.lit(None).cast("long").alias("nearest_id"))
     edge = float(base)
@@ -52,11 +52,11 @@ def nearest(queries: DataFrame, targets: DataFrame, keys: list[str], qid: list[s
             pairs = pairs.where(F.col(qid[0]) != F.col("_tid"))
         d2 = sum(((F.col(f"_q{i}") - F.col(f"_t{i}")) * (F.col(f"_q{i}") - F.col(f"_t{i}")) for i in dims), F.lit(0.0))
         best = pairs.groupBy(*keys, *qid).agg(F.min(F.struct(F.sqrt(d2).alias("d"), F.col("_tid").alias("i"))).alias("_b"))
-        hit = best.where(F.col("_b.d") <= edge).select(
-            *keys, *qid, F.col("_b.d").alias("dist"), F.col("_b.i").cast("long").alias("nearest_id"))
-        hit = cut(hit)
-        done = done.unionByName(hit)
-        todo = cut(todo.join(hit.select(*keys, *qid), keys + qid, "left_anti"))
+        state = cut(todo.join(best, keys + qid, "left"))
+        settled = F.coalesce(F.col("_b.d") <= edge, F.lit(False))
+        done = done.unionByName(state.where(settled).select(
+            *keys, *qid, F.col("_b.d").alias("dist"), F.col("_b.i").cast("long").alias("nearest_id")))
+        todo = state.where(~settled).drop("_b")
         if todo.isEmpty():
             return done
         edge *= 2

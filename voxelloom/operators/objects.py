@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxelloom.functions.shape import ratio, sphericity, with_eigenvalues
 from voxelloom.operators.lattice import config_table, cube_histogram, square_histogram, square_table
 from voxelloom.operators.nearest import nearest
+from voxelloom.session import cut
 
 OBJECT = ["volume_id", "label"]
 AXES = ("z", "y", "x")
@@ -107,10 +108,13 @@ def lattice_measures(labels: DataFrame, volumes: DataFrame, size=(1.0, 1.0, 1.0)
     ).withColumn("surface_um2", F.when(F.col("_iso") > 0, F.col("_iso"))).drop("_iso")
 
 
-def touches_border(boxes: DataFrame, volumes: DataFrame) -> DataFrame:
-    df = boxes.join(volumes, "volume_id")
+def _at_border() -> Column:
     hits = [F.col(f"{a}0") == 0 for a in AXES] + [F.col(f"{a}1") == F.col(f"n{a}") - 1 for a in AXES]
-    return df.select(*OBJECT, reduce(lambda p, q: p | q, hits).alias("touches_border"))
+    return reduce(lambda p, q: p | q, hits)
+
+
+def touches_border(boxes: DataFrame, volumes: DataFrame) -> DataFrame:
+    return boxes.join(volumes, "volume_id").select(*OBJECT, _at_border().alias("touches_border"))
 
 
 def faces_touched(boxes: DataFrame, volumes: DataFrame, disregard_z: bool = False) -> DataFrame:
@@ -190,28 +194,35 @@ def nearest_object(centroids: DataFrame, base: float) -> DataFrame:
     return near.select(*OBJECT, F.col("dist").alias("nearest_neighbor_um"))
 
 
-def object_table(labels: DataFrame, volumes: DataFrame, size, block=None, neighbours: bool = True) -> DataFrame:
-    """The full per-object table.  ``labels`` carries ``raw`` and ``cell``.
-
-    One grouped pass gives counts, box, moments and intensity; cell overlap
-    and lattice bytes are two more mergeable aggregations of the same rows.
-    """
+def object_core(labels: DataFrame, volumes: DataFrame, size) -> DataFrame:
+    """Everything one grouped pass over the voxels gives: count, box, centroid,
+    axes, intensity and border contact; materialised, since it is one small row
+    per object that several later joins use."""
     core = labels.groupBy(*OBJECT).agg(
         F.count(F.lit(1)).alias("volume_vx"),
         *[f(a).alias(f"{a}{i}") for a in AXES for i, f in ((0, F.min), (1, F.max))],
         *[F.avg(a).alias(f"centroid_{a}_vx") for a in AXES],
         *_moment_aggs(size), *_intensity_aggs())
-    core = _axes_from_moments(core)
-    core = core.join(touches_border(core.select(*OBJECT, "z0", "z1", "y0", "y1", "x0", "x1"), volumes), OBJECT)
-    core = core.join(assign_cell(labels), OBJECT, "left")
-    surf = lattice_measures(labels, volumes, size, block).select(*OBJECT, "euler_char", "surface_um2")
-    vol = F.col("volume_vx") * _cube(size)
-    out = core.join(surf, OBJECT, "left").select(
-        "*", vol.alias("volume_um3"), sphericity(vol, F.col("surface_um2")).alias("sphericity"),
-        ratio(F.col("surface_um2"), vol).alias("sv_ratio"),
-        *[(F.col(f"centroid_{a}_vx") * s).alias(f"centroid_{a}_um") for a, s in zip(AXES, size)])
+    core = _axes_from_moments(core).join(volumes.select("volume_id", "nz", "ny", "nx"), "volume_id")
+    core = core.withColumn("touches_border", _at_border()).drop("nz", "ny", "nx")
+    return cut(core.select(
+        "*", (F.col("volume_vx") * _cube(size)).alias("volume_um3"),
+        *[(F.col(f"centroid_{a}_vx") * s).alias(f"centroid_{a}_um") for a, s in zip(AXES, size)]))
+
+
+def object_table(labels: DataFrame, volumes: DataFrame, size, block=None, neighbours: bool = True) -> DataFrame:
+    """The full per-object table.  ``labels`` carries ``raw`` and ``cell``.
+
+    Cell overlap and lattice bytes are two more mergeable aggregations of the
+    same rows; all later joins are between one-row-per-object tables.
+    """
+    core = object_core(labels, volumes, size)
+    out = core.join(assign_cell(labels), OBJECT, "left").join(
+        lattice_measures(labels, volumes, size, block).select(*OBJECT, "euler_char", "surface_um2"), OBJECT, "left")
+    vol, surface = F.col("volume_um3"), F.col("surface_um2")
+    out = out.withColumn("sphericity", sphericity(vol, surface)).withColumn("sv_ratio", ratio(surface, vol))
     if neighbours:
-        cents = out.select(*OBJECT, *[f"centroid_{a}_um" for a in AXES])
+        cents = core.select(*OBJECT, *[f"centroid_{a}_um" for a in AXES])
         out = out.join(nearest_object(cents, 4 * max(size)), OBJECT, "left")
     else:
         out = out.withColumn("nearest_neighbor_um", F.lit(None).cast("double"))

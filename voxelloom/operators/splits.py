@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.functions.naming import basename, contains_any, specimen
 from voxelloom.operators.ordered import prefix_totals
+from voxelloom.session import cut
 
 UNIT = ["source", "specimen"]
 STRATUM = ["source", "genotype"]
@@ -64,6 +65,7 @@ def leaking_specimens(split: DataFrame) -> DataFrame:
 
 def assert_no_leak(split: DataFrame, strict_test: bool = True) -> DataFrame:
     """The split itself; the job fails if a specimen leaks."""
+    split = cut(split)
     bad = leaking_specimens(split)
     if not strict_test:
         bad = bad.where("train_val")
@@ -99,13 +101,10 @@ def positional_ensured(files: DataFrame, required: list[str], train: float = 0.8
     from test if there is one, else from training.  A file that serves several
     texts moves once and the next match serves the later text.
     """
-    split = positional(files, train, val, test)
-    missing = []
-    for text in required:
-        hit = F.col("path").contains(text)
-        found = split.where(hit & (F.col("split") == "val")).limit(1)
-        if found.isEmpty():
-            missing.append(text)
+    split = cut(positional(files, train, val, test))
+    present = split.where("split = 'val'").agg(*[
+        F.count(F.when(F.col("path").contains(text), 1)).alias(f"_{i}") for i, text in enumerate(required)]).first()
+    missing = [text for i, text in enumerate(required) if not present[i]]
     taken: list[str] = []
 
     def pick(text: str, side: str) -> str | None:

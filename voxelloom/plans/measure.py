@@ -9,6 +9,7 @@ from voxelloom.operators import cells as C
 from voxelloom.operators import objects as O
 from voxelloom.operators.lattice import config_table, crofton_weight, iso_area
 from voxelloom.plans.registry import query
+from voxelloom.session import cut
 
 SMALL_BLOCK = (4, 16, 16)  # several blocks per fixture volume
 SZ, SY, SX = VOXEL_UM
@@ -112,16 +113,9 @@ def labels(t):
 def lean_objects(t):
     """Objects without neighbour search, in voxel-row aggregates only."""
     lab = labels(t)
-    core = lab.groupBy(*O.OBJECT).agg(
-        F.count(F.lit(1)).alias("volume_vx"), F.avg("raw").alias("mean_intensity"),
-        *[f(a).alias(f"{a}{i}") for a in O.AXES for i, f in ((0, F.min), (1, F.max))], *O._moment_aggs(VOXEL_UM))
-    core = O._axes_from_moments(core)
-    border = O.touches_border(core.select(*O.OBJECT, "z0", "z1", "y0", "y1", "x0", "x1"), t.volumes)
-    return (
-        core.join(border, O.OBJECT).join(O.assign_cell(lab), O.OBJECT, "left")
-        .select("volume_id", F.col("label").alias("label_id"), "cell_id",
-                (F.col("volume_vx") * CUBE).alias("volume_um3"), "elongation_a_over_c", "flatness_b_over_c",
-                "touches_border", "mean_intensity"))
+    return O.object_core(lab, t.volumes, VOXEL_UM).join(O.assign_cell(lab), O.OBJECT, "left").select(
+        "volume_id", F.col("label").alias("label_id"), "cell_id", "volume_um3", "elongation_a_over_c",
+        "flatness_b_over_c", "touches_border", "mean_intensity")
 
 
 def cells(t):
@@ -131,8 +125,8 @@ def cells(t):
 
 def qc(t):
     # every fixture object spans all four slices, so the border rule stays off here
-    clean = C.qc_objects(lean_objects(t), exclude_border=False)
-    return clean, C.qc_cells(cells(t), clean)
+    clean = cut(C.qc_objects(lean_objects(t), exclude_border=False))
+    return clean, cut(C.qc_cells(cells(t), clean))
 
 
 # ------------------------------------------------------------------ OBJ
@@ -350,7 +344,7 @@ def _(t):
 @query("agg_3_qc_counts", f"""{QC.replace("WHERE mean", "WHERE NOT touches_border AND mean")} SELECT 'objects' AS kind, (SELECT count(*) FROM objects) n_before, (SELECT count(*) FROM clean) n_after
   UNION ALL SELECT 'cells', (SELECT count(*) FROM cells), (SELECT count(*) FROM qcells)""")
 def _(t):
-    objs, cl = lean_objects(t), cells(t)
+    objs, cl = cut(lean_objects(t)), cut(cells(t))
     clean = C.qc_objects(objs)
     good = C.qc_cells(cl, clean)
     n = F.count(F.lit(1))
@@ -393,7 +387,7 @@ def cell_summary(t):
   SELECT volume_id, cell_id, round(cell_volume_um3,9) cell_volume_um3, n mito_count, round(v,9) mito_volume_um3, round(v/cell_volume_um3,6) mito_volume_fraction,
     ag.* EXCLUDE (volume_id,cell_id) FROM cells JOIN cagg USING (volume_id,cell_id) JOIN ag USING (volume_id,cell_id)""")
 def _(t):
-    out = C.normalised_summary(lean_objects(t), cells(t))
+    out = C.normalised_summary(cut(lean_objects(t)), cells(t))
     nine = ["cell_volume_um3", "mito_volume_um3", "mean_mito_volume_um3", "median_mito_volume_um3", "std_mito_volume_um3"]
     six = ["mito_volume_fraction", "mean_mito_size_norm", "mean_mito_elongation", "mean_mito_flatness"]
     return rounded(rounded(out, *nine, digits=9), *six)
@@ -424,7 +418,7 @@ def _(t):
 @query("win_6_group_transform", f"""{LEAN}, {CELLAGG} SELECT o.volume_id, label_id, cell_id, round(volume_um3/cell_volume_um3,6) mito_size_norm,
   round(v/cell_volume_um3,6) mito_volume_density FROM objects o JOIN cells USING (volume_id,cell_id) JOIN cagg USING (volume_id,cell_id)""")
 def _(t):
-    out = C.normalised_objects(lean_objects(t), cells(t)).select(
+    out = C.normalised_objects(cut(lean_objects(t)), cells(t)).select(
         "volume_id", "label_id", "cell_id", "mito_size_norm", "mito_volume_density")
     return rounded(out, "mito_size_norm", "mito_volume_density")
 

@@ -26,7 +26,7 @@ def encode(vox: DataFrame, value: str, volumes: DataFrame, dtype: str = "<i8", b
 
     rows = vox.select("volume_id", *AXES, value).join(volumes.select("volume_id", "nz", "ny", "nx"), "volume_id")
     return map_blocks(rows, kernel, "z0 long, y0 long, x0 long, nz long, ny long, nx long, dtype string, data binary",
-                      {value: (np.dtype(dtype).newbyteorder("=").type, 0)}, block, meta=["nz", "ny", "nx"])
+                      {value: (np.dtype(dtype).newbyteorder("=").type, 0)}, block, meta=["nz", "ny", "nx"], crop=False)
 
 
 def decode(chunks: DataFrame, value: str = "label", foreground_only: bool = True, kind: str = "long") -> DataFrame:
