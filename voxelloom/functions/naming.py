@@ -50,7 +50,7 @@ def specimen(path: Column) -> Column:
 
 def run_parameter(name: Column, tag: str) -> Column:
     found = F.regexp_extract(name, RUN_TAGS[tag], 1)
-    return F.when(found != "", found.cast("long"))
+    return found.try_cast("long")
 
 
 def after_halo(name: Column) -> Column:
@@ -58,7 +58,7 @@ def after_halo(name: Column) -> Column:
 
 
 def block_box(name: Column) -> list[Column]:
-    return [F.regexp_extract(name, BLOCK_NAME, i + 1).cast("long").alias(c) for i, c in enumerate(BLOCK_FIELDS)]
+    return [F.regexp_extract(name, BLOCK_NAME, i + 1).try_cast("long").alias(c) for i, c in enumerate(BLOCK_FIELDS)]
 
 
 def block_name(*box: Column) -> Column:

@@ -22,7 +22,7 @@ def with_eigenvalues(df: DataFrame, a: str, d: str, f: str, b: str, c: str, e: s
         ("_m", (a + d + f) / 3),
         ("_u", a - m), ("_v", d - m), ("_w", f - m),
         ("_p", F.sqrt((u * u + v * v + w * w + 2 * (b * b + c * c + e * e)) / 6)),
-        ("_r", (u * (v * w - e * e) - b * (b * w - e * c) + c * (b * e - v * c)) / (2 * p * p * p)),
+        ("_r", (u * (v * w - e * e) - b * (b * w - e * c) + c * (b * e - v * c)) / F.nullif(2 * p * p * p, F.lit(0.0))),
         ("_phi", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_r")))) / 3),
         ("_l1", F.when(p == 0, m).otherwise(m + 2 * p * F.cos("_phi"))),
         ("_l3", F.when(p == 0, m).otherwise(m + 2 * p * F.cos(F.col("_phi") + 2 * math.pi / 3))),

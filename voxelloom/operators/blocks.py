@@ -79,7 +79,7 @@ def map_blocks(vox: DataFrame, kernel: Callable, schema: str, columns: dict, blo
     empty_like = [field.split()[0] for field in schema.split(", ")]
     rim = [max(low, high, 1) for low, high in zip(lo, hi)]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         start = np.array([k * b for k, b in zip(key[nk:], block)], dtype=np.int64)
         stop = start + block
         extra = {m: pdf[m].iloc[0] for m in meta}

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.functions.shape import log10_shifted
+from voxelloom.functions.shape import log10_shifted, ratio
 from voxelloom.operators.ordered import medians
 
 CELL = ["volume_id", "cell_id"]
@@ -65,7 +65,7 @@ def objects_in_cells(objects: DataFrame, cells: DataFrame) -> DataFrame:
     """Inner merge of the surviving cells' volume onto their objects."""
     out = objects.join(cells.select(*CELL, "cell_volume_um3"), CELL)
     return out.withColumnRenamed("volume_um3", "mito_volume_um3").withColumn(
-        "mito_volume_fraction_of_cell", F.col("mito_volume_um3") / F.col("cell_volume_um3"))
+        "mito_volume_fraction_of_cell", ratio(F.col("mito_volume_um3"), F.col("cell_volume_um3")))
 
 
 # measure, output stem, statistics
@@ -95,11 +95,11 @@ def cell_level_summary(merged: DataFrame, cells: DataFrame) -> DataFrame:
     vol = F.col("cell_volume_um3")
     keep = [c for c in ("mito_volume_um3", "mito_volume_fraction", "mito_surface_um2") if c in cells.columns]
     out = cells.select(*CELL, "cell_volume_um3", "mito_count", *keep,
-                       (F.col("mito_count") / vol).alias("mito_count_density"))
+                       ratio(F.col("mito_count"), vol).alias("mito_count_density"))
     if "mito_volume_um3" in keep:
-        out = out.withColumn("mito_volume_density", F.col("mito_volume_um3") / vol)
+        out = out.withColumn("mito_volume_density", ratio(F.col("mito_volume_um3"), vol))
     if "mito_surface_um2" in keep:
-        out = out.withColumn("mito_surface_density", F.col("mito_surface_um2") / vol)
+        out = out.withColumn("mito_surface_density", ratio(F.col("mito_surface_um2"), vol))
     if aggs:
         out = out.join(merged.groupBy(*CELL).agg(*aggs), CELL)
     if meds:

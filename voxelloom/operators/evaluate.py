@@ -118,7 +118,8 @@ def ranking_scores(vox: DataFrame, keys: list[str], score: str, positive: Column
     scores first; exact on all voxels."""
     hist = vox.groupBy(*keys, score).agg(_n(positive).alias("pos"), F.count(F.lit(1)).alias("all"))
     run = prefix_totals(hist, keys, [F.col(score).desc()], ["pos", "all"])
-    p, n = F.col("tot_pos"), F.col("tot_all") - F.col("tot_pos")
+    p = F.nullif(F.col("tot_pos"), F.lit(0))
+    n = F.nullif(F.col("tot_all") - F.col("tot_pos"), F.lit(0))
     neg = F.col("all") - F.col("pos")
     above = F.col("cum_pos") - F.col("pos")
     agg = run.groupBy(*keys).agg(
@@ -211,7 +212,7 @@ def metric_pivot(scores: DataFrame, row: str, column: str, values: list[str], me
     wide = scores.groupBy(row).pivot(column, values).agg(F.avg(metric))
     total = sum((F.coalesce(F.col(v), F.lit(0.0)) for v in values), F.lit(0.0))
     known = sum((F.col(v).isNotNull().cast("int") for v in values), F.lit(0))
-    return wide.withColumn("mean_score", total / known)
+    return wide.withColumn("mean_score", F.when(known > 0, total / known))
 
 
 def dice_reductions(patches: DataFrame, batch: str, patch: str, score: str, target: str) -> DataFrame:

@@ -60,7 +60,7 @@ def mann_whitney(long: DataFrame, first: str, second: str) -> DataFrame:
     na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     n = na + nb
     u = F.col("_r") - na * (na + 1) / 2
-    var = na * nb / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1)))
+    var = na * nb / 12 * ((n + 1) - F.coalesce(F.col("_ties") / F.nullif(n * (n - 1), F.lit(0.0)), F.lit(0.0)))
     gap = F.abs(u - na * nb / 2) - 0.5
     z = F.when(var > 0, F.greatest(gap, F.lit(0.0)) / F.sqrt(var))
     return agg.select("metric", "n_a", "n_b", u.alias("mw_u"), z.alias("mw_z")).withColumn("mw_p", normal_p("mw_z"))
@@ -89,7 +89,7 @@ def cohens_d_mean_variance() -> Column:
 
 
 def rank_biserial(u: Column, n1: Column, n2: Column) -> Column:
-    return 1 - 2 * u / (n1 * n2)
+    return 1 - ratio(2 * u, n1 * n2)
 
 
 def full_comparison(long: DataFrame, first: str, second: str) -> DataFrame:

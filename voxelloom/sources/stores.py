@@ -82,8 +82,8 @@ def zarr_catalog(spark: SparkSession, root: str) -> DataFrame:
     """One row per array of every store under ``root``."""
     spec = F.from_json("json", "shape array<long>, chunks array<long>, dtype string, compressor struct<id:string>, fill_value double, dimension_separator string")
     return _fetch(_members(spark, root), ".zarray").select("volume_id", "key", spec.alias("m")).select(
-        "volume_id", "key", *[F.col("m.shape")[i].alias(f"s{a}") for i, a in enumerate("zyx")],
-        *[F.col("m.chunks")[i].alias(f"c{a}") for i, a in enumerate("zyx")], F.col("m.dtype").alias("dtype"),
+        "volume_id", "key", *[F.get("m.shape", F.lit(i)).alias(f"s{a}") for i, a in enumerate("zyx")],
+        *[F.get("m.chunks", F.lit(i)).alias(f"c{a}") for i, a in enumerate("zyx")], F.col("m.dtype").alias("dtype"),
         F.col("m.compressor.id").alias("codec"), F.coalesce("m.fill_value", F.lit(0.0)).alias("fill"),
         F.coalesce("m.dimension_separator", F.lit(".")).alias("separator"))
 
