@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelloom.session import cut
+
 VOXEL_UM = (0.025, 0.005, 0.005)
 
 LABEL_GROUPS = [(1, 1), (1, 2), (1, 3), (2, 4), (2, 8), (2, 12), (2, 16), (3, 5), (4, 3), (4, 7)]
@@ -84,8 +86,9 @@ class Tables:
 
     @cached_property
     def volumes(self) -> DataFrame:
-        return self.vox.groupBy("volume_id").agg(
-            (F.max("z") + 1).alias("nz"), (F.max("y") + 1).alias("ny"), (F.max("x") + 1).alias("nx"))
+        """The volume catalog: one row per volume, computed once."""
+        return cut(self.vox.groupBy("volume_id").agg(
+            (F.max("z") + 1).alias("nz"), (F.max("y") + 1).alias("ny"), (F.max("x") + 1).alias("nx")))
 
     def labels(self, column: str = "gt", *extra: str) -> DataFrame:
         """Sparse label rows ``volume_id, z, y, x, label`` of one label column."""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.operators.blocks import AXES, BLOCK, map_blocks
+from voxelloom.operators.joins import join_small
 from voxelloom.operators.labels import offsets
 from voxelloom.session import cut
 
@@ -140,19 +141,19 @@ def largest_per_label(labels: DataFrame, connectivity: int = 26, min_island: int
     keep = top.select("volume_id", F.col("_t.component").alias("component"))
     if min_island:
         keep = keep.unionByName(sizes.where(F.col("size") >= min_island).select("volume_id", "component")).distinct()
-    return comps.join(keep, ["volume_id", "component"], "left_semi").select(*VOXEL, "label")
+    return join_small(comps, keep, ["volume_id", "component"], "left_semi").select(*VOXEL, "label")
 
 
 def drop_small_components(labels: DataFrame, min_size: int, same_value: bool = True, connectivity: int = 26, block=BLOCK) -> DataFrame:
     comps = cut(components(labels, connectivity, same_value, block))
     keep = component_sizes(comps).where(F.col("size") >= min_size)
-    return comps.join(keep, ["volume_id", "component"], "left_semi").select(*VOXEL, "label")
+    return join_small(comps, keep, ["volume_id", "component"], "left_semi").select(*VOXEL, "label")
 
 
 def size_filter(labels: DataFrame, min_size: int) -> DataFrame:
     """Labels with fewer voxels than ``min_size`` become background."""
     keep = labels.groupBy("volume_id", "label").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_size)
-    return labels.join(keep, ["volume_id", "label"], "left_semi")
+    return join_small(labels, keep.select("volume_id", "label"), ["volume_id", "label"], "left_semi")
 
 
 def zero_patches(vox: DataFrame, value: str, patch: Column, min_size: int | None, connectivity: int = 26, block=BLOCK) -> DataFrame:
@@ -166,6 +167,6 @@ def zero_patches(vox: DataFrame, value: str, patch: Column, min_size: int | None
         hit = top.select("volume_id", F.col("_t.component").alias("component"))
     else:
         hit = sizes.where(F.col("size") >= min_size)
-    dark = comps.join(hit, ["volume_id", "component"], "left_semi").select(*VOXEL, F.lit(True).alias("_dark"))
+    dark = join_small(comps, hit.select("volume_id", "component"), ["volume_id", "component"], "left_semi").select(*VOXEL, F.lit(True).alias("_dark"))
     return vox.join(dark, VOXEL, "left").withColumn(
         value, F.when(F.col("_dark"), F.lit(0)).otherwise(F.col(value))).drop("_dark")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.operators.blocks import AXES, BLOCK, gather, inner_origin, map_blocks
+from voxelloom.operators.joins import join_small
 from voxelloom.operators.labels import offsets
 from voxelloom.operators.morphology import BOX, _inside, shifted, volume_boxes
 from voxelloom.operators.nearest import nearest
@@ -53,7 +54,7 @@ def distance(mask: DataFrame, volumes: DataFrame, radius: int = 8, spacing=(1.0,
         d = np.where(d <= sure, d, np.nan)
         return gather(m[inner], inner_origin(origin, inner), dist=d)
 
-    rows = mask.select(*VOXEL, F.lit(True).alias("_on")).join(volume_boxes(volumes), "volume_id")
+    rows = join_small(mask.select(*VOXEL, F.lit(True).alias("_on")), volume_boxes(volumes), ["volume_id"], materialise=False)
     near = map_blocks(rows, kernel, "z long, y long, x long, dist double", {"_on": (np.bool_, False)}, block,
                       lo=reach, hi=reach, meta=BOX, core_only=True)
     near = near.withColumn("dist", F.when(F.isnan("dist"), None).otherwise(F.col("dist")))
@@ -65,10 +66,9 @@ def distance(mask: DataFrame, volumes: DataFrame, radius: int = 8, spacing=(1.0,
         return near
     rim = _outer_rim(mask, volumes, block)
     scale = dict(zip(AXES, spacing))
-    key = F.concat_ws("_", *AXES)
-    q = far.select("volume_id", key.alias("_id"), *AXES, *[(F.col(a) * scale[a]).alias(f"_{a}") for a in AXES])
+    q = far.select("volume_id", *AXES, *[(F.col(a) * scale[a]).alias(f"_{a}") for a in AXES])
     t = rim.select("volume_id", *[(F.col(a) * scale[a]).alias(f"_{a}") for a in AXES])
-    found = nearest(q, t, ["volume_id"], ["_id", *AXES], None, [f"_{a}" for a in AXES], [f"_{a}" for a in AXES], max(sure, max(spacing)))
+    found = nearest(q, t, ["volume_id"], list(AXES), None, [f"_{a}" for a in AXES], [f"_{a}" for a in AXES], max(sure, max(spacing)))
     return near.where(F.col("dist").isNotNull()).unionByName(found.select(*VOXEL, "dist"))
 
 
@@ -82,16 +82,14 @@ def _outer_rim(mask: DataFrame, volumes: DataFrame, block) -> DataFrame:
             touch |= shifted(m, off)
         return gather((touch & ~m & _inside(m.shape, origin, meta, BOX[::2], BOX[1::2]))[inner], inner_origin(origin, inner))
 
-    rows = mask.select(*VOXEL, F.lit(True).alias("_on")).join(volume_boxes(volumes), "volume_id")
+    rows = join_small(mask.select(*VOXEL, F.lit(True).alias("_on")), volume_boxes(volumes), ["volume_id"], materialise=False)
     return map_blocks(rows, kernel, "z long, y long, x long", {"_on": (np.bool_, False)}, block,
                       lo=(1, 1, 1), hi=(1, 1, 1), meta=BOX)
 
 
 def grow_labels(seeds: DataFrame, mask: DataFrame) -> DataFrame:
     """Every mask voxel takes the label of its nearest seed (smallest label on ties)."""
-    key = F.concat_ws("_", *AXES)
-    q = mask.select("volume_id", key.alias("_id"), *AXES)
-    found = nearest(q, seeds.select(*VOXEL, "label"), ["volume_id"], ["_id", *AXES], "label", list(AXES), list(AXES), 3.0)
+    found = nearest(mask.select(*VOXEL), seeds.select(*VOXEL, "label"), ["volume_id"], list(AXES), "label", list(AXES), list(AXES), 3.0)
     return found.where(F.col("nearest_id").isNotNull()).select(*VOXEL, F.col("nearest_id").alias("label"))
 
 
@@ -108,10 +106,10 @@ def height_map(vox: DataFrame, dist: DataFrame, fg: str, bd: str, penalty: float
     d = vox.join(dist.select(*VOXEL, "dist"), VOXEL, "left").withColumn("dist", F.coalesce("dist", F.lit(0.0)))
     top = dist.groupBy("volume_id").agg(F.max("dist").alias("_dmax"))
     h = F.when(F.col("_dmax") > 0, (F.col("_dmax") - F.col("dist")) / F.col("_dmax")).otherwise(F.lit(0.0))
-    out = d.join(top, "volume_id", "left").withColumn("height", h).drop("_dmax")
+    out = join_small(d, top, ["volume_id"], "left").withColumn("height", h).drop("_dmax")
     wall = (F.col(bd) > bd_threshold) & (F.col(fg) < low_fg)
     if penalty is not None:
         return out.withColumn("height", F.when(wall, F.lit(float(penalty))).otherwise(F.col("height")))
     peak = out.groupBy("volume_id").agg(F.max(F.col("height") + F.col(bd)).alias("_peak"))
-    return out.join(peak, "volume_id").withColumn(
+    return join_small(out, peak, ["volume_id"]).withColumn(
         "height", F.when(wall, F.col("_peak")).otherwise(F.col("height"))).drop("_peak")

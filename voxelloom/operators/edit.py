@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.operators.blocks import AXES, BLOCK, block_grid, gather, inner_origin, map_blocks
 from voxelloom.operators.components import VOXEL, component_sizes, components, solve_graph
+from voxelloom.operators.joins import join_small
 from voxelloom.operators.labels import overlaps
 from voxelloom.operators.morphology import element, holes, morph, volume_boxes
 from voxelloom.operators.ordered import dense_index, prefix_totals
@@ -54,11 +55,11 @@ def merge_segmentations(seg1: DataFrame, seg2: DataFrame, threshold: float) -> D
     pairs = a.join(b, VOXEL).groupBy("volume_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     size2 = b.groupBy("volume_id", "b").agg(F.count(F.lit(1)).alias("n2"))
     gone = pairs.join(size2, ["volume_id", "b"]).where(F.col("n") / F.col("n2") > threshold).select("volume_id", "a").distinct()
-    kept = a.join(gone, ["volume_id", "a"], "left_anti")
+    kept = join_small(a, gone, ["volume_id", "a"], "left_anti")
     top = a.groupBy("volume_id").agg(F.max("a").alias("_top"))
     ids = prefix_totals(size2, ["volume_id"], ["b"]).join(top, "volume_id", "left").select(
         "volume_id", "b", (F.coalesce("_top", F.lit(0)) + F.col("rn")).alias("new"))
-    second = b.join(ids, ["volume_id", "b"])
+    second = join_small(b, ids, ["volume_id", "b"])
     return kept.join(second, VOXEL, "full").select(*VOXEL, F.coalesce("new", "a").alias("label"))
 
 
@@ -72,20 +73,20 @@ def with_inner(labels: DataFrame, inner: DataFrame) -> DataFrame:
 
 def keep_with_inner(labels: DataFrame, inner: DataFrame) -> DataFrame:
     keep = with_inner(labels, inner).where("has_inner")
-    return labels.join(keep, ["volume_id", "label"], "left_semi")
+    return join_small(labels, keep.select("volume_id", "label"), ["volume_id", "label"], "left_semi")
 
 
 def object_states(labels: DataFrame, inner: DataFrame) -> DataFrame:
     """State 1 for objects with inner labels, 2 for the others, on every voxel."""
     flags = with_inner(labels, inner)
-    return labels.join(flags, ["volume_id", "label"]).select(*VOXEL, F.when(F.col("has_inner"), 1).otherwise(2).cast("long").alias("state"))
+    return join_small(labels, flags, ["volume_id", "label"]).select(*VOXEL, F.when(F.col("has_inner"), 1).otherwise(2).cast("long").alias("state"))
 
 
 def additional_objects(vox: DataFrame, gt: str, pred: str, max_iou: float) -> DataFrame:
     """Predicted objects that overlap no reference object by more than
     ``max_iou``, renumbered 1..N."""
     matched = overlaps(vox, gt, pred).where(F.col("iou") > max_iou).select("volume_id", pred).distinct()
-    rest = vox.where(F.col(pred) > 0).join(matched, ["volume_id", pred], "left_anti")
+    rest = join_small(vox.where(F.col(pred) > 0), matched, ["volume_id", pred], "left_anti")
     return dense_index(rest.select(*VOXEL, pred), ["volume_id"], pred, "label").select(*VOXEL, "label")
 
 

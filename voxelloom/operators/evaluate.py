@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.operators.labels import overlaps
+from voxelloom.operators.components import pack
+from voxelloom.operators.joins import join_small
+from voxelloom.operators.labels import overlaps_of
 from voxelloom.operators.nearest import nearest
 from voxelloom.operators.objects import bounding_box, faces_touched
 from voxelloom.operators.ordered import exact_quantiles, prefix_totals
@@ -34,12 +36,6 @@ def binary_scores(vox: DataFrame, gt: Column, pred: Column, keys: list[str], ign
     return counts.select("*", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def _object_counts(vox: DataFrame, gt: str, pred: str, keys: list[str]) -> DataFrame:
-    return vox.groupBy(*keys).agg(
-        F.count_distinct(F.when(F.col(gt) > 0, F.col(gt))).alias("n_gt"),
-        F.count_distinct(F.when(F.col(pred) > 0, F.col(pred))).alias("n_pred"))
-
-
 def instance_scores(vox: DataFrame, gt: str, pred: str, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """Matching at an IoU threshold plus symmetric best Dice.
 
@@ -47,7 +43,8 @@ def instance_scores(vox: DataFrame, gt: str, pred: str, keys: list[str], thresho
     are each other's best partner are matched first and removed, round by
     round, until none is left.
     """
-    pairs = overlaps(vox, gt, pred, keys)
+    table = cut(vox.groupBy(*keys, gt, pred).agg(F.count(F.lit(1)).alias("n")))
+    pairs = overlaps_of(table, gt, pred, keys)
     hits = pairs.where(F.col("iou") >= threshold)
     if threshold < 0.5:
         hits = _mutual_best(hits, gt, pred, keys)
@@ -57,7 +54,9 @@ def instance_scores(vox: DataFrame, gt: str, pred: str, keys: list[str], thresho
                 .select(*keys, gt, F.col("_b.p").alias(pred), F.col("_b.s").alias("s"))
                 .groupBy(*keys, pred).agg(F.min(F.struct("s", gt)).alias("_b")))
     tp = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("tp"))
-    counts = _object_counts(vox, gt, pred, keys)
+    counts = table.groupBy(*keys).agg(
+        F.count_distinct(F.when(F.col(gt) > 0, F.col(gt))).alias("n_gt"),
+        F.count_distinct(F.when(F.col(pred) > 0, F.col(pred))).alias("n_pred"))
     dice = 2 * F.col("n") / (F.col("n_a") + F.col("n_b"))
 
     def best(side: str, out: str) -> DataFrame:
@@ -93,12 +92,11 @@ def _mutual_best(pairs: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame
 
 def class_scores(vox: DataFrame, gt_class: str, pred_class: str, gt: str, pred: str, keys: list[str]) -> DataFrame:
     """Voxel and instance scores per semantic class."""
-    sides = [vox.where(F.col(c) > 0).select(*keys, "z", "y", "x", F.col(c).alias("class_id"),
-                                            F.col(o).alias(n), F.lit(0).cast("long").alias(m))
-             for c, o, n, m in ((gt_class, gt, "g", "p"), (pred_class, pred, "p", "g"))]
-    per = sides[0].select(*keys, "z", "y", "x", "class_id", "g", "p").unionByName(
-        sides[1].select(*keys, "z", "y", "x", "class_id", "g", "p"))
-    merged = per.groupBy(*keys, "z", "y", "x", "class_id").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    classes = F.array_distinct(F.filter(F.array(gt_class, pred_class), lambda c: c > 0))
+    merged = vox.select("*", F.explode(classes).alias("class_id")).select(
+        *keys, "class_id",
+        F.when(F.col(gt_class) == F.col("class_id"), F.col(gt)).otherwise(F.lit(0)).alias("g"),
+        F.when(F.col(pred_class) == F.col("class_id"), F.col(pred)).otherwise(F.lit(0)).alias("p"))
     ck = keys + ["class_id"]
     binary = binary_scores(merged, F.col("g") > 0, F.col("p") > 0, ck).select(
         *ck, F.col("precision").alias("voxel_precision"), F.col("recall").alias("voxel_recall"), F.col("dice").alias("voxel_dice"))
@@ -173,12 +171,12 @@ def surface_voxels(mask: DataFrame, block=None) -> DataFrame:
 def hausdorff95(gt: DataFrame, pred: DataFrame, volumes: DataFrame, spacing, block=None) -> DataFrame:
     """95th percentile of both directed surface distances per volume; 0 when
     both masks are empty, NULL when one is."""
-    def surface(df, tag):
+    def surface(df):
         s = surface_voxels(df, block)
-        return s.select("volume_id", F.concat_ws("_", F.lit(tag), "z", "y", "x").alias("_id"),
+        return s.select("volume_id", pack(F.col("z"), F.col("y"), F.col("x")).alias("_id"),
                         *[(F.col(a) * v).alias(a) for a, v in zip(("z", "y", "x"), spacing)])
 
-    a, b = surface(gt, "g"), surface(pred, "p")
+    a, b = surface(gt), surface(pred)
     xyz = ["z", "y", "x"]
 
     def sided(first, second):
@@ -204,7 +202,7 @@ def drop_border_objects(labels: DataFrame, volumes: DataFrame, max_faces: int, d
     if max_faces <= 0:
         return labels
     touched = faces_touched(bounding_box(labels), volumes, disregard_z).where(F.col("faces_touched") > max_faces)
-    return labels.join(touched, ["volume_id", "label"], "left_anti")
+    return join_small(labels, touched.select("volume_id", "label"), ["volume_id", "label"], "left_anti")
 
 
 def metric_pivot(scores: DataFrame, row: str, column: str, values: list[str], metric: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelloom.operators.joins import join_small
 from voxelloom.operators.ordered import dense_index, exact_quantiles
+from voxelloom.session import cut
 
 VOXEL = ["volume_id", "z", "y", "x"]
 EPS = 1e-7
@@ -32,17 +34,17 @@ def group_remap(vox: DataFrame, groups: DataFrame, label: str = "label") -> Data
     ``groups`` is the given parameter table ``group_id, label``.
     """
     last = groups.groupBy("label").agg(F.max("group_id").alias("group_id")).withColumnRenamed("label", label)
-    return vox.join(last, label, "left").withColumn("group_id", F.coalesce("group_id", F.lit(0)))
+    return join_small(vox, last, [label], "left").withColumn("group_id", F.coalesce("group_id", F.lit(0)))
 
 
 def group_channels(vox: DataFrame, groups: DataFrame, label: str = "label") -> DataFrame:
     """One row per voxel and group; a voxel may be in several groups."""
-    return vox.join(groups.withColumnRenamed("label", label), label)
+    return join_small(vox, groups.withColumnRenamed("label", label), [label])
 
 
 def apply_mapping(vox: DataFrame, mapping: DataFrame, instance: str, cls: str) -> DataFrame:
     """``mapping``: volume_id, instance, class.  Unmapped instances become 0."""
-    return vox.join(mapping, ["volume_id", instance], "left").withColumn(cls, F.coalesce(cls, F.lit(0)))
+    return join_small(vox, mapping, ["volume_id", instance], "left").withColumn(cls, F.coalesce(cls, F.lit(0)))
 
 
 def sequential(labels: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def crop(vox: DataFrame, box: dict[str, tuple[int, int]]) -> DataFrame:
 
 
 def crop_to_shape(vox: DataFrame, volumes: DataFrame, shape, centred: bool) -> DataFrame:
-    out = vox.join(volumes, "volume_id")
+    out = join_small(vox, volumes, ["volume_id"])
     for a, size in zip(("z", "y", "x"), shape):
         slack = F.greatest(F.lit(0), F.col(f"n{a}") - size)
         start = F.floor(slack / 2) if centred else F.lit(0).cast("long")
@@ -80,19 +82,19 @@ def centre_slices(vox: DataFrame, volumes: DataFrame, fraction: float) -> DataFr
     count = F.greatest(F.lit(1), F.floor(F.col("nz") * fraction))
     first = F.greatest(F.lit(0), F.floor(F.col("nz") / 2) - F.floor(count / 2))
     window = volumes.select("volume_id", first.alias("_a"), F.least(first + count, F.col("nz")).alias("_b"))
-    return vox.join(window, "volume_id").where((F.col("z") >= F.col("_a")) & (F.col("z") < F.col("_b"))).select(*vox.columns)
+    return join_small(vox, window, ["volume_id"]).where((F.col("z") >= F.col("_a")) & (F.col("z") < F.col("_b"))).select(*vox.columns)
 
 
 def drop_empty_slices(vox: DataFrame, labelled: Column) -> DataFrame:
     """Slices without any labelled voxel go; z is renumbered from 0."""
     used = vox.where(labelled).select("volume_id", "z").distinct()
-    kept = vox.join(used, ["volume_id", "z"], "left_semi")
+    kept = join_small(vox, used, ["volume_id", "z"], "left_semi")
     return dense_index(kept, ["volume_id"], "z", "_z").withColumn("z", F.col("_z") - 1).select(*vox.columns)
 
 
 def flip(vox: DataFrame, volumes: DataFrame, axis: str) -> DataFrame:
     n = volumes.select("volume_id", F.col(f"n{axis}").alias("_n"))
-    return vox.join(n, "volume_id").withColumn(axis, F.col("_n") - 1 - F.col(axis)).select(*vox.columns)
+    return join_small(vox, n, ["volume_id"]).withColumn(axis, F.col("_n") - 1 - F.col(axis)).select(*vox.columns)
 
 
 def signed_to_unsigned(value: Column) -> Column:
@@ -105,12 +107,12 @@ def normalise_percentile(vox: DataFrame, value: str, lower: float, upper: float,
     scaled = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + EPS)
     if clip:
         scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))
-    return vox.join(q, "volume_id").withColumn("scaled", scaled).drop("_lo", "_hi")
+    return join_small(vox, q, ["volume_id"]).withColumn("scaled", scaled).drop("_lo", "_hi")
 
 
 def standardise(vox: DataFrame, value: str) -> DataFrame:
     stats = vox.groupBy("volume_id").agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    return vox.join(stats, "volume_id").withColumn(
+    return join_small(vox, stats, ["volume_id"]).withColumn(
         "scaled", (F.col(value) - F.col("_m")) / (F.col("_s") + EPS)).drop("_m", "_s")
 
 
@@ -121,7 +123,7 @@ def state_masks(state: Column) -> tuple[Column, Column]:
 
 def coarse_lookup(fine: DataFrame, coarse: DataFrame, coarse_shape: DataFrame, scale, column: str) -> DataFrame:
     """Value of the coarse voxel under each fine voxel, clipped at the edge."""
-    out = fine.join(coarse_shape, "volume_id")
+    out = join_small(fine, coarse_shape, ["volume_id"])
     for a, s in zip(("z", "y", "x"), scale):
         out = out.withColumn(f"_{a}", F.least(F.floor(F.col(a) / s), F.col(f"n{a}") - 1))
     grid = coarse.select("volume_id", *[F.col(a).alias(f"_{a}") for a in ("z", "y", "x")], column)
@@ -130,7 +132,11 @@ def coarse_lookup(fine: DataFrame, coarse: DataFrame, coarse_shape: DataFrame, s
 
 def overlaps(pairs: DataFrame, a: str, b: str, keys=("volume_id",)) -> DataFrame:
     """Foreground pairs with sizes and IoU, from one contingency pass."""
-    counts = pairs.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("n"))
+    return overlaps_of(cut(pairs.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("n"))), a, b, keys)
+
+
+def overlaps_of(counts: DataFrame, a: str, b: str, keys=("volume_id",)) -> DataFrame:
+    """The same from a contingency table (keys, a, b, n)."""
     size_a = counts.where(F.col(a) > 0).groupBy(*keys, a).agg(F.sum("n").alias("n_a"))
     size_b = counts.where(F.col(b) > 0).groupBy(*keys, b).agg(F.sum("n").alias("n_b"))
     keys = list(keys)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.operators.blocks import AXES, BLOCK, map_blocks
+from voxelloom.operators.joins import join_small
 
 CORNERS = list(itertools.product((0, 1), repeat=3))
 
@@ -56,7 +57,7 @@ def _cube_kernel(arrays, origin, inner, meta):
 def cube_histogram(labels: DataFrame, volumes: DataFrame, block=BLOCK) -> DataFrame:
     """``volume_id, label, config, inside, n``; fully interior cells are left out."""
     parts = map_blocks(
-        labels.join(volumes.select("volume_id", "nz", "ny", "nx"), "volume_id"),
+        join_small(labels, volumes.select("volume_id", "nz", "ny", "nx"), ["volume_id"], materialise=False),
         _cube_kernel, "label long, config int, inside boolean, n long",
         {"label": (np.int64, 0)}, block, hi=(1, 1, 1), meta=["nz", "ny", "nx"], below_zero=True)
     return parts.groupBy("volume_id", "label", "config", "inside").agg(F.sum("n").alias("n"))
@@ -78,7 +79,7 @@ def _square_kernel(arrays, origin, inner, meta):
 def square_histogram(labels: DataFrame, volumes: DataFrame, block=BLOCK) -> DataFrame:
     """Per-slice 2x2 histogram ``volume_id, z, label, config, n``."""
     parts = map_blocks(
-        labels.join(volumes.select("volume_id", "ny", "nx"), "volume_id"),
+        join_small(labels, volumes.select("volume_id", "ny", "nx"), ["volume_id"], materialise=False),
         _square_kernel, "z long, label long, config int, n long",
         {"label": (np.int64, 0)}, block, hi=(0, 1, 1), meta=["ny", "nx"], below_zero=True)
     return parts.groupBy("volume_id", "z", "label", "config").agg(F.sum("n").alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.operators.blocks import AXES, BLOCK, gather, inner_origin, map_blocks
 from voxelloom.operators.components import face_edges, local_components, pack_roots, solve_graph
+from voxelloom.operators.joins import join_small
 from voxelloom.operators.labels import offsets
 from voxelloom.operators.objects import OBJECT, bounding_box
 from voxelloom.session import cut
@@ -88,7 +89,7 @@ def morph(mask: DataFrame, boxes: DataFrame, op: str, elem, times: int = 1, bloc
                 out = _erode(out, elem, times)
         return gather(out[inner], inner_origin(origin, inner))
 
-    rows = mask.select(*keys, *AXES, F.lit(True).alias("_on")).join(boxes.select(*keys, *BOX), keys)
+    rows = join_small(mask.select(*keys, *AXES, F.lit(True).alias("_on")), boxes.select(*keys, *BOX), keys)
     return map_blocks(rows, kernel, "z long, y long, x long", {"_on": (np.bool_, False)}, block,
                       lo=reach, hi=reach, meta=BOX, keys=keys)
 
@@ -113,7 +114,7 @@ def holes(labels: DataFrame, max_size: int, per_slice: bool = False, inclusive:
     """
     limit = max_size + 1 if inclusive else max_size
     offs = [o for o in offsets(6) if not (per_slice and o[0])]
-    boxes = object_boxes(labels)
+    boxes = cut(object_boxes(labels))
     visit = boxes
     for a, b in zip(AXES, block):
         visit = visit.withColumn(f"b{a}", F.explode(F.sequence(F.floor(F.col(f"{a}0") / b), F.floor((F.col(f"{a}1") - 1) / b))))
@@ -128,7 +129,7 @@ def holes(labels: DataFrame, max_size: int, per_slice: bool = False, inclusive:
                 face[tuple(end if i == axis else slice(None) for i in range(3))] = True
         return gather(gap & (face | (size < limit)), origin, node=pack_roots(root, origin), size=size)
 
-    rows = labels.select(*OBJECT, *AXES, F.lit(True).alias("_on")).join(boxes, OBJECT)
+    rows = join_small(labels.select(*OBJECT, *AXES, F.lit(True).alias("_on")), boxes, OBJECT, materialise=False)
     local = cut(map_blocks(rows, kernel, "z long, y long, x long, node long, size long", {"_on": (np.bool_, False)},
                            block, meta=BOX, keys=OBJECT, boxes=visit))
     roots = solve_graph(face_edges(local, block, offs, OBJECT), OBJECT)
@@ -153,7 +154,7 @@ def clean_objects(labels: DataFrame, area: int = 1000, times: int = 4, times_pla
     """Per object: fill small holes, close in 3-D, close in plane; written back
     only where set."""
     rows = labels.select(*OBJECT, *AXES)
-    boxes = object_boxes(labels)
+    boxes = cut(object_boxes(labels))
     rows = cut(rows.unionByName(holes(labels, area, block=block)).distinct())
     for elem, n in ((element("cross"), times), (element("square"), times_plane)):
         closed = morph(rows, boxes, "close", elem, n, block, OBJECT)

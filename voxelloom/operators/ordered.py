@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelloom.operators.joins import join_small
 from voxelloom.session import cut, parallelism
 
 
@@ -121,7 +122,7 @@ def melt(df: DataFrame, ids: list[str], cols: list[str]) -> DataFrame:
 def dense_index(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
     """Dense 1..N numbering of the distinct values of ``col`` inside each key."""
     ranks = prefix_totals(df.select(*keys, col).distinct(), keys, [col])
-    return df.join(ranks.select(*keys, col, F.col("rn").alias(out)), keys + [col])
+    return join_small(df, ranks.select(*keys, col, F.col("rn").alias(out)), keys + [col])
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -14,9 +14,9 @@ def contains_match(needles: DataFrame, haystack: DataFrame, needle: str, text: s
     Every substring of ``text`` with a length that some needle has is hashed to
     its first owner, so the containment test is an equi-join.
     """
-    wanted = needles.select(F.length(needle).alias("_len")).distinct()
-    long = haystack.select(text, order, F.col(out).alias("_out")).join(
-        F.broadcast(wanted), F.length(text) >= F.col("_len"))  # at most one row per name length
+    lengths = [r[0] for r in needles.select(F.length(needle)).distinct().collect() if r[0]]  # as many as names have lengths
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(text))
+    long = haystack.select(text, order, F.col(out).alias("_out"), F.explode(fitting).alias("_len"))
     pieces = long.select(
         order, "_out", F.explode(F.transform(
             F.sequence(F.lit(1), F.length(text) - F.col("_len") + 1),

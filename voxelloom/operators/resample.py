@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.operators.blocks import AXES
+from voxelloom.operators.joins import join_small
 
 SHAPE = [f"n{a}" for a in AXES]
 
@@ -31,7 +32,7 @@ def _apply(vox: DataFrame, volumes: DataFrame, targets, rule) -> DataFrame:
     out = vox
     for a, t in zip(AXES, targets):
         table = _index_table(volumes, a, t, rule(F.col(f"n{a}"), F.col("_t"), F.col("_o")))
-        out = out.join(table.withColumnRenamed("_s", a), ["volume_id", a]).withColumn(a, F.col("_o")).drop("_o")
+        out = join_small(out, table.withColumnRenamed("_s", a), ["volume_id", a], materialise=False).withColumn(a, F.col("_o")).drop("_o")
     return out.select(*vox.columns)
 
 
@@ -72,7 +73,7 @@ def linear(vox: DataFrame, volumes: DataFrame, shape, value: str) -> DataFrame:
             F.struct(low.alias("s"), (1 - (at - low)).alias("w")), F.struct((low + 1).alias("s"), (at - low).alias("w")))).alias("_e"))
         table = table.select("volume_id", "_o", F.col("_e.s").alias(a), F.col("_e.w").alias("_w")).where("_w > 0")
         rest = [b for b in AXES if b != a]
-        out = (out.join(table, ["volume_id", a]).groupBy("volume_id", "_o", *rest)
+        out = (join_small(out, table, ["volume_id", a], materialise=False).groupBy("volume_id", "_o", *rest)
                .agg(F.sum(F.col("_v") * F.col("_w")).alias("_v")).withColumnRenamed("_o", a))
     return out.select("volume_id", *AXES, F.col("_v").alias(value))
 
@@ -102,7 +103,7 @@ def align_to_common(vox: DataFrame, volumes: DataFrame, group: Column) -> DataFr
 def pad_centred(vox: DataFrame, volumes: DataFrame, shape) -> DataFrame:
     """Shift voxels so that the volume sits in the middle of ``shape``; the
     larger half of an odd margin comes first."""
-    out = vox.join(volumes, "volume_id")
+    out = join_small(vox, volumes, ["volume_id"], materialise=False)
     for a, want in zip(AXES, shape):
         before = F.ceil(F.greatest(F.lit(0), F.lit(want) - F.col(f"n{a}")) / 2)
         out = out.withColumn(a, F.col(a) + before)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from voxelloom.operators.blocks import AXES, BLOCK, map_blocks
 from voxelloom.operators.components import components, size_filter
 from voxelloom.operators.distance import distance, height_map
+from voxelloom.operators.joins import join_small
 from voxelloom.operators.labels import offsets
 from voxelloom.session import cut
 
@@ -86,10 +87,16 @@ _COLS2 = {**_COLS1, "steps": (np.int64, FAR), "label": (np.int64, 0)}
 
 
 def _to_rest(state: DataFrame, kernel, schema, columns, block) -> DataFrame:
+    resting = None
     while True:
         state = cut(map_blocks(state, kernel, schema, columns, block, lo=(1, 1, 1), hi=(1, 1, 1), core_only=True))
-        if state.where("changed").isEmpty():
-            return state
+        busy = cut(state.where("changed").select("volume_id").distinct())
+        if busy.isEmpty():
+            return state if resting is None else resting.unionByName(state)
+        # volumes at rest leave the loop
+        done = join_small(state, busy, ["volume_id"], "left_anti", materialise=False)
+        resting = done if resting is None else resting.unionByName(done)
+        state = join_small(state, busy, ["volume_id"], "left_semi", materialise=False)
 
 
 def watershed(height: DataFrame, seeds: DataFrame, block=BLOCK) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.operators.blocks import AXES, BLOCK, map_blocks
+from voxelloom.operators.joins import join_small
 
 CHUNK_SCHEMA = ("volume_id string, key string, cz int, cy int, cx int, z0 long, y0 long, x0 long, "
                 "nz int, ny int, nx int, dtype string, data binary")
@@ -24,7 +25,7 @@ def encode(vox: DataFrame, value: str, volumes: DataFrame, dtype: str = "<i8", b
         row.update({f"n{a}": [s] for a, s in zip(AXES, size)})
         return pd.DataFrame({**row, "dtype": [dtype], "data": [data]})
 
-    rows = vox.select("volume_id", *AXES, value).join(volumes.select("volume_id", "nz", "ny", "nx"), "volume_id")
+    rows = join_small(vox.select("volume_id", *AXES, value), volumes.select("volume_id", "nz", "ny", "nx"), ["volume_id"], materialise=False)
     return map_blocks(rows, kernel, "z0 long, y0 long, x0 long, nz long, ny long, nx long, dtype string, data binary",
                       {value: (np.dtype(dtype).newbyteorder("=").type, 0)}, block, meta=["nz", "ny", "nx"], crop=False)
 
