@@ -169,6 +169,9 @@ def test_segment_two_blobs(spark, shapes):
     assert set(W.PRESETS) >= {"out_of_core", "in_core", "axon", "from_prediction", "channel_difference", "decoder"}
     diff = W.segment(vox, shapes(fg), W.SegParams(seed_distance=None, seed_difference=0.6, height="boundary", mask="max", min_size=10), block=(5, 8, 8))
     assert diff.select("label").distinct().count() == 2
+    core = W.SegParams(fg_threshold=0.85, bd_threshold=0.15, seed_distance=2.0, seed_connectivity=18, seed_min_size=5, penalty=None,
+                       mask="sum_low_boundary", min_size=20, clean=(10, 1, 1))
+    assert W.segment(vox, shapes(fg), core, radius=4, block=(5, 8, 8)).select("label").distinct().count() == 2
 
 
 def np_morph(a, op, elem):

@@ -30,7 +30,7 @@ _VOX_STEPS = [
       CASE WHEN st='P' AND raw<64 THEN 0 ELSE gt0 END AS gt,
       CASE WHEN pr0%5=0 THEN 0 WHEN (volume_id+pr0)%7=0 AND y%8>3 THEN 0 ELSE pr0 END AS pred,
       CASE WHEN y%16=0 OR x%16=0 THEN 0 ELSE (y {div} 16)*2+(x {div} 16)+1 END AS cell,
-      CASE WHEN gt0=0 THEN 0 WHEN gt0%4=0 THEN 2 ELSE 1 END AS state,
+      CAST(CASE WHEN gt0=0 THEN 0 WHEN gt0%4=0 THEN 2 ELSE 1 END AS BIGINT) AS state,
       round(least(1.0, CASE WHEN gt0>0 THEN 0.45 ELSE 0.05 END + (raw%50)/100.0),2) AS fg FROM vox_box"""),
 ]
 

@@ -29,20 +29,34 @@ def nearest(queries: DataFrame, targets: DataFrame, keys: list[str], qid: list[s
             max_levels: int = 48) -> DataFrame:
     """``keys + qid + dist [+ nearest_id]``, NULL where a key has no target.
 
-    Ties go to the smallest ``tid``.  With ``exclude_self`` a target whose id
+    Ties go to the smallest ``tid`` (among copies of the query's own position,
+    to the smallest or else the largest other id).  With ``exclude_self`` a target whose id
     equals the query's first id column is skipped.
     """
-    t = cut(targets.select(*keys, *[F.col(c).cast("double").alias(f"_t{i}") for i, c in enumerate(tcoords)],
-                       (F.col(tid) if tid else F.lit(0)).alias("_tid")))
-    q = queries.select(*keys, *qid, *[F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(qcoords)])
     dims = range(len(qcoords))
-    # A key whose targets cannot answer (none, or only the query itself) is settled as NULL.
-    have = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_have"))
-    q = cut(q.join(have, keys, "left").withColumn("_have", F.coalesce("_have", F.lit(0))))
-    need = 2 if exclude_self else 1
-    todo = q.where(F.col("_have") >= need).drop("_have")
-    done = q.where(F.col("_have") < need).select(
-        *keys, *qid, F.lit(None).cast("double").alias("dist"), F.lit(None).cast("long").alias("nearest_id"))
+    t = targets.select(*keys, *[F.col(c).cast("double").alias(f"_t{i}") for i, c in enumerate(tcoords)],
+                       (F.col(tid) if tid else F.lit(0)).alias("_tid"))
+    q = queries.select(*keys, *qid, *[F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(qcoords)])
+    # One target per position: copies of a position, however many, never meet pairwise.
+    spots = cut(t.groupBy(*keys, *[f"_t{i}" for i in dims]).agg(
+        F.min("_tid").alias("_tid"), F.max("_tid").alias("_top"), F.count(F.lit(1)).alias("_n")))
+    have = spots.groupBy(*keys).agg(F.sum("_n").alias("_have"))
+    here = spots.select(*keys, *[F.col(f"_t{i}").alias(f"_q{i}") for i in dims], "_tid", "_top", "_n")
+    q = q.join(here, keys + [f"_q{i}" for i in dims], "left").join(have, keys, "left")
+    if exclude_self:
+        same = F.col("_n") >= 2
+        other = F.when(F.col("_tid") != F.col(qid[0]), F.col("_tid")).otherwise(F.col("_top"))
+    else:
+        same, other = F.col("_n").isNotNull(), F.col("_tid")
+    same = F.coalesce(same, F.lit(False))
+    alone = F.coalesce("_have", F.lit(0)) < (2 if exclude_self else 1)
+    q = cut(q.select(*keys, *qid, *[f"_q{i}" for i in dims], (same | alone).alias("_known"),
+                     F.when(same, 0.0).alias("dist"), F.when(same, other).cast("long").alias("nearest_id")))
+    done = q.where("_known").select(*keys, *qid, "dist", "nearest_id")
+    todo = q.where("not _known").drop("_known", "dist", "nearest_id")
+    if todo.isEmpty():
+        return done
+    t = spots.drop("_top", "_n")
     edge = float(base)
     for _ in range(max_levels):
         # The shrinking side, the open queries, is copied to the cells around it.

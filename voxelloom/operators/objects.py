@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.functions.shape import ratio, sphericity, with_eigenvalues
+from voxelloom.operators.blocks import BLOCK, map_blocks
 from voxelloom.operators.lattice import config_table, cube_histogram, square_histogram, square_table
 from voxelloom.operators.nearest import nearest
 from voxelloom.session import cut
@@ -234,6 +235,15 @@ def object_table(labels: DataFrame, volumes: DataFrame, size, block=None, neighb
         "nearest_neighbor_um", "mean_intensity", "min_intensity", "max_intensity", "std_intensity")
 
 
+def reduce_objects(labels: DataFrame, fn, schema: str, columns: dict, block=BLOCK) -> DataFrame:
+    """User reducer over each object's part in a block.
+
+    ``fn(arrays, origin, inner, meta)`` returns partial rows; the caller merges
+    them with an ordinary aggregate, so no task ever holds a whole object.
+    """
+    return map_blocks(labels, fn, schema, columns, block, keys=OBJECT)
+
+
 def rois(labels: DataFrame, volumes: DataFrame, window, min_voxels: int = 100,
          min_size: int | None = None, euler: int | None = None, block=None) -> DataFrame:
     """One window per object, started at its box and moved inside the volume;

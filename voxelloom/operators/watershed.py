@@ -21,6 +21,7 @@ from voxelloom.operators.components import components, size_filter
 from voxelloom.operators.distance import distance, height_map
 from voxelloom.operators.joins import join_small
 from voxelloom.operators.labels import offsets
+from voxelloom.operators.morphology import clean_objects
 from voxelloom.session import cut
 
 VOXEL = ["volume_id", "z", "y", "x"]
@@ -131,13 +132,14 @@ class SegParams:
     mask_threshold: float = 0.5
     min_size: int = 250
     flood: bool = True
+    clean: tuple[int, int, int] | None = None  # hole area, 3-D and in-plane closing steps
 
 
 # Parameter sets that go with the published runs.
 PRESETS = {
     "out_of_core": SegParams(),
     "in_core": SegParams(fg_threshold=0.85, bd_threshold=0.15, seed_distance=4.0, seed_connectivity=18, seed_min_size=2000,
-                         penalty=None, mask="sum_low_boundary", min_size=2000),
+                         penalty=None, mask="sum_low_boundary", min_size=2000, clean=(500, 4, 8)),
     "axon": SegParams(seed_distance=None, min_size=2000, flood=False),
     "from_prediction": SegParams(penalty=None, min_size=400_000),
     "channel_difference": SegParams(seed_distance=None, seed_difference=0.6, height="boundary", mask="max", min_size=15_000),
@@ -182,4 +184,6 @@ def segment(vox: DataFrame, volumes: DataFrame, params: SegParams, radius: int =
         "foreground": fg,
     }[params.mask]
     flooded = watershed(rows.where(inside > params.mask_threshold), seeds, block)
-    return size_filter(flooded, params.min_size) if params.min_size else flooded
+    if params.min_size:
+        flooded = size_filter(flooded, params.min_size)
+    return clean_objects(flooded, *params.clean, block=block) if params.clean else flooded

@@ -57,9 +57,9 @@ def _(t):
     return CH.decode(ST.read_zarr(plan)).withColumn("volume_id", volume_number())
 
 
-@query("src_2_zarr_pruned", f"{VOX} SELECT volume_id, z, y, x, gt AS label FROM vox WHERE gt>0 AND y>=16")
+@query("src_2_zarr_pruned", f"{VOX} SELECT volume_id, z, y, x, gt AS label FROM vox WHERE gt>0 AND x>=16")
 def _(t):
-    plan = CH.prune(ST.zarr_plan(ST.zarr_catalog(t.spark, zarr_store(t))), y=(16, None))
+    plan = CH.prune(ST.zarr_plan(ST.zarr_catalog(t.spark, zarr_store(t))), x=(16, None))
     return CH.decode(ST.read_zarr(plan)).withColumn("volume_id", volume_number())
 
 
@@ -149,7 +149,7 @@ def _(t):
     return CH.decode(CH.encode(t.labels("pred"), "label", t.volumes, block=SMALL_BLOCK))
 
 
-@query("src_11_chunk_encode", f"{VOX} SELECT volume_id, (z//4)*4 z0, (y//16)*16 y0, (x//16)*16 x0, count(*) n, sum(raw)::BIGINT total FROM vox WHERE raw>0 GROUP BY 1,2,3,4")
+@query("src_11_chunk_encode", f"{VOX} SELECT volume_id, (z//4)*4 z0, (y//32)*32 y0, (x//16)*16 x0, count(*) n, sum(raw)::BIGINT total FROM vox WHERE raw>0 GROUP BY 1,2,3,4")
 def _(t):
     parts = CH.encode(t.vox, "raw", t.volumes, block=SMALL_BLOCK)
     vox = CH.decode(parts, "raw")

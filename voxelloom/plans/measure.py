@@ -11,7 +11,7 @@ from voxelloom.operators.lattice import config_table, crofton_weight, iso_area
 from voxelloom.plans.registry import query
 from voxelloom.session import cut
 
-SMALL_BLOCK = (4, 16, 16)  # several blocks per fixture volume
+SMALL_BLOCK = (4, 32, 16)  # two blocks per fixture volume, so results cross block faces
 SZ, SY, SX = VOXEL_UM
 CUBE = SZ * SY * SX
 

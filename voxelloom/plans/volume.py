@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from voxelloom.fixtures import VOX
@@ -141,7 +142,7 @@ DIST = """dm AS (SELECT volume_id, z, y, x FROM vox WHERE gt>0),
    AND abs(a.y-b.y)<=6 AND abs(a.x-b.x)<=6 GROUP BY 1,2,3,4)"""
 
 
-def dist(t, radius=2):
+def dist(t, radius=4):
     return D.distance(t.vox.where("gt > 0"), t.volumes, radius, block=SMALL_BLOCK)
 
 
@@ -438,8 +439,12 @@ def _(t):
 
 @query("udf_4_object_reducer", f"{VOX} SELECT volume_id, gt AS label, max(c) fullest_slice FROM (SELECT volume_id, gt, z, count(*) c FROM vox WHERE gt>0 GROUP BY 1,2,3) GROUP BY 1,2")
 def _(t):
-    # object state is folded from per-slice partials, so no task holds a whole object
-    parts = t.labels("gt").groupBy("volume_id", "label", "z").agg(F.count(F.lit(1)).alias("c"))
+    def per_block(arrays, origin, inner, meta):
+        counts = (arrays["gt"] > 0).sum(axis=(1, 2))
+        return pd.DataFrame({"z": np.arange(len(counts)) + origin[0], "c": counts})[counts > 0]
+
+    parts = O.reduce_objects(t.vox.where("gt > 0").withColumn("label", F.col("gt")), per_block, "z long, c long", {"gt": (np.int64, 0)}, SMALL_BLOCK)
+    parts = parts.groupBy("volume_id", "label", "z").agg(F.sum("c").alias("c"))
     return parts.groupBy("volume_id", "label").agg(F.max("c").alias("fullest_slice"))
 
 

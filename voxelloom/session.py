@@ -54,4 +54,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Tasks for a declared repartition: the session's shuffle partitions, on a
+    local master no more than a few per core."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sc = spark.sparkContext
+    return min(wanted, 2 * sc.defaultParallelism) if sc.master.startswith("local") else wanted
