@@ -161,7 +161,3 @@ def budget_block(volumes: DataFrame, max_voxels: int) -> DataFrame:
     plane = F.col("ny") * F.col("nx")
     depth = F.greatest(F.lit(1), F.least(F.col("nz"), F.floor(F.lit(max_voxels) / plane)))
     return volumes.withColumn("block_z", depth.cast("long"))
-
-
-def owning_block(vox: DataFrame, block) -> DataFrame:
-    return with_blocks(vox, block)

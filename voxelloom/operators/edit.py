@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.operators.blocks import AXES, BLOCK, block_grid, gather, inner_origin, map_blocks
-from voxelloom.operators.components import VOXEL, component_sizes, components, solve_graph
+from voxelloom.operators.components import VOXEL, components, solve_graph
 from voxelloom.operators.joins import join_small
 from voxelloom.operators.labels import overlaps
 from voxelloom.operators.morphology import element, holes, morph, volume_boxes
@@ -180,7 +180,3 @@ def apply_edits(labels: DataFrame, edits: DataFrame, volumes: DataFrame, block=B
     for w in written:
         claims = claims.unionByName(w.select(*VOXEL, "label", F.col("seq").cast("long").alias("seq")))
     return claims.groupBy(*VOXEL).agg(F.max(F.struct("seq", "label")).alias("_c")).select(*VOXEL, F.col("_c.label").alias("label"))
-
-
-def component_counts(labels: DataFrame, connectivity: int = 26, block=BLOCK) -> DataFrame:
-    return component_sizes(components(labels, connectivity, True, block), "label")

@@ -64,6 +64,7 @@ def suffix_minimum(df: DataFrame, order: list[str], value: str, out: str) -> Dat
     """``out`` = minimum of ``value`` over this row and all later rows."""
     parts = parallelism(df.sparkSession)
     spread = cut(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    # one row per partition of the range exchange, whatever the data size
     later = Window.orderBy("_p").rowsBetween(1, Window.unboundedFollowing)
     tail = (
         spread.groupBy("_p").agg(F.min(value).alias("_m"))

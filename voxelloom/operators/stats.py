@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -234,7 +233,3 @@ def cluster(df: DataFrame, columns: list[str], k_range=range(2, 5), seed: int =
         if best is None or score > best[0]:
             best = (score, k, out)
     return best[2].drop("features").withColumn("k", F.lit(best[1])).withColumn("silhouette", F.lit(best[0]))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
