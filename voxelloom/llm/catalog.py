@@ -2,6 +2,10 @@
 
 from voxelloom.llm import (  # noqa: F401
     chat,
+    decontaminate,
     exact_dedup,
+    quality,
+    secrets,
+    simhash,
 )
 from voxelloom.llm.common import ORACLE, QUERIES  # noqa: F401
