@@ -4,8 +4,11 @@ from voxelloom.llm import (  # noqa: F401
     chat,
     decontaminate,
     exact_dedup,
+    lm,
+    packing,
     quality,
-    secrets,
+    secret_scan,
     simhash,
+    surrogates,
 )
 from voxelloom.llm.common import ORACLE, QUERIES  # noqa: F401
