@@ -4,6 +4,7 @@ from voxelloom.llm import (  # noqa: F401
     chat,
     decontaminate,
     exact_dedup,
+    line_dedup,
     lm,
     packing,
     quality,
