@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns, and a likelihood ratio of two character chains.
 
 One pass over the texts finds the spans of the fixed patterns and the
-*candidates*, runs of token characters outside those spans.  Spans of the
-patterns are labelled samples of random strings, and every other run a sample
-of an ordinary identifier; the transition counts of both are summed over the
-whole corpus (a fixed-size table) and give two first-order Markov models.  A
+*candidates*, long runs of token characters outside those spans.  What the
+patterns mark as secret are labelled samples of random strings, and all other
+runs, long or short, samples of ordinary words and identifiers; the transition
+counts of both are summed over the whole corpus (a fixed-size table) and give
+two first-order Markov models.  A
 candidate whose log-likelihood ratio passes the threshold is one more span.
 """
 
@@ -78,6 +79,19 @@ def transitions(strings: list[str]) -> np.ndarray:
     return before * N + code, np.repeat(np.arange(len(strings)), size)
 
 
+def corpus_pairs(texts) -> np.ndarray:
+    """Transition counts of all runs of token characters in whole texts."""
+    total = np.zeros(N * N, np.int64)
+    for text in texts:
+        code = CODE[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+        in_run = code != 255
+        before = np.empty(len(code), np.int64)
+        before[:1] = N - 1
+        before[1:] = np.where(in_run[:-1], code[:-1], N - 1)
+        total += np.bincount((before * N + code)[in_run], minlength=N * N)
+    return total
+
+
 def _scan(batches):
     for b in batches:
         rows = []
@@ -88,22 +102,26 @@ def _scan(batches):
                          [s for s, _ in found], [r for _, r in found]))
         out = pd.DataFrame(rows, columns=["start", "kind", "end", "value", "at", "run"])
         out.insert(0, "doc_id", b["doc_id"].to_numpy())
+        out["pairs"] = [corpus_pairs(b["_text"])] + [None] * (len(b) - 1)  # once per batch
         yield out
 
 
 def _count(batches):
     total = np.zeros((2, N * N), np.int64)
     for b in batches:
-        for i, name in enumerate(("run", "value")):
-            pairs, _ = transitions([x for xs in b[name] for x in xs])
-            total[i] += np.bincount(pairs, minlength=N * N)
+        for pairs in b["pairs"]:
+            if pairs is not None:
+                total[0] += pairs
+        pairs, _ = transitions([x for xs in b["value"] for x in xs])
+        total[1] += np.bincount(pairs, minlength=N * N)
     which, pair = np.nonzero(total)
     yield pd.DataFrame({"label": which, "pair": pair, "n": total[which, pair]})
 
 
 def fit(counts: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio per transition from the counts of ordinary (row 0)
-    and random (row 1) strings."""
+    """Log-likelihood ratio per transition from the counts of all (row 0) and
+    random (row 1) strings; ordinary is all but the random ones."""
+    counts = np.stack([np.maximum(counts[0] - counts[1], 0), counts[1]])
     table_ = counts.reshape(2, N, N)[:, :, : N - 1] + np.array([0.1, 0.0])[:, None, None]
     rows = table_.sum(2, keepdims=True)
     ordinary, labelled = table_[0] / rows[0], table_[1] / np.maximum(rows[1], 1)
@@ -120,8 +138,8 @@ def scan(docs: DataFrame) -> DataFrame:
     scanned alike.  Without labelled secrets the random model is the uniform
     chain."""
     found = cut(docs.select("doc_id", whole_text().alias("_text")).mapInPandas(
-        _scan, "doc_id long, start array<long>, kind array<int>, end array<long>, value array<string>, at array<long>, run array<string>"))
-    sums = found.select("value", "run").mapInPandas(_count, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
+        _scan, "doc_id long, start array<long>, kind array<int>, end array<long>, value array<string>, at array<long>, run array<string>, pairs array<long>"))
+    sums = found.select("value", "pairs").mapInPandas(_count, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros((2, N * N))  # a fixed-size table, whatever the corpus
     for r in sums:
         counts[r.label, r.pair] = r.n
@@ -143,7 +161,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 rows.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(spans)])
             yield pd.DataFrame({"doc_id": b["doc_id"], "spans": rows})
 
-    return found.mapInPandas(judge, "doc_id long, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return found.drop("value", "pairs").mapInPandas(judge, "doc_id long, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 @query("op9_secret_scan")
