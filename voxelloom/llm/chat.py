@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.llm.common import query, table
+from voxelloom.llm.common import fresh, query, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TURN = "array<struct<at:bigint,role:string,text:string>>"
@@ -95,15 +95,16 @@ def canonical(records: DataFrame, record: str = "record", layouts=LAYOUTS) -> Da
     Null fields and roles become empty texts; an empty list has another
     fingerprint than a filled one and so no mapping.
     """
-    base = records.withColumn("_v", F.try_parse_json(F.col(record))).withColumn("_print", fingerprint(F.col(record)))
+    parsed, print_ = fresh(records, "_v", "_print")
+    base = records.withColumn(parsed, F.try_parse_json(F.col(record))).withColumn(print_, fingerprint(F.col(record)))
     name, turns = F.lit(None).cast("string"), F.array().cast(TURN)
     for layout in layouts:
         hit = F.lit(False)
         for shape in layout.shapes:
-            hit = hit | (F.col("_print") == F.xxhash64(F.lit(shape)))
+            hit = hit | (F.col(print_) == F.xxhash64(F.lit(shape)))
         name = F.when(hit, F.lit(layout.name)).otherwise(name)
-        turns = F.when(hit, _turns(F.col("_v"), layout)).otherwise(turns)
-    return base.withColumn("layout", name).withColumn("turns", turns).drop("_v", "_print")
+        turns = F.when(hit, _turns(F.col(parsed), layout)).otherwise(turns)
+    return base.withColumn("layout", name).withColumn("turns", turns).drop(parsed, print_)
 
 
 def gather(canon: DataFrame, key: str) -> DataFrame:

@@ -156,16 +156,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, threshold:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns."""
+    """The rows of ``docs`` that contain no item, with all their columns; rows
+    without text stay."""
     for block in blocks(benchmark):
-        index = Index(block, size, threshold)
+        docs = docs.where(free_of(Index(block, size, threshold))(whole_text()))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def free(text: pd.Series, index=index) -> pd.Series:
-            return pd.Series([not index.search(t) for t in text], dtype=bool)
 
-        docs = docs.where(free(whole_text()))
-    return docs
+def free_of(index: Index):
+    @F.pandas_udf("boolean")
+    def free(text: pd.Series) -> pd.Series:
+        return pd.Series([not index.search(t) for t in text], dtype=bool)
+
+    return free
 
 
 SQL = """

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.llm.common import query, salted_lookup, table, whole_text
+from voxelloom.llm.common import fresh, query, salted_lookup, table, whole_text
 from voxelloom.session import cut
 
 SALTS = 64
@@ -60,8 +60,9 @@ def groups(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Colum
 
 def deduplicate(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    lost = groups(docs, salts).where("not kept").select(F.col("doc_id").alias("_lost"), F.col("digest").alias("_d")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("_lost")) & (sha256(whole_text()) == F.col("_d")), "left_anti")
+    id_, digest_ = fresh(docs, "_lost", "_digest")
+    lost = groups(docs, salts).where("not kept").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest_)).distinct()
+    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col(id_)) & (sha256(whole_text()) == F.col(digest_)), "left_anti")
 
 
 @query("op8_exact_dedup", """

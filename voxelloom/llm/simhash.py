@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm.common import query, salted_lookup, table, whole_text
+from voxelloom.llm.common import fresh, query, salted_lookup, table, whole_text
 from voxelloom.operators.components import solve_graph
 from voxelloom.session import cut
 
@@ -168,8 +168,9 @@ def near_duplicates(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component,
     with all their columns; rows without a doc_id stay."""
-    lost = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"] == F.col("_lost"), "left_anti")
+    (id_,) = fresh(docs, "_lost")
+    lost = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(id_)).distinct()
+    return docs.join(lost, F.col("doc_id") == F.col(id_), "left_anti")
 
 
 @query("op6_simhash")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm.common import query, table, whole_text
+from voxelloom.llm.common import fresh, query, table, whole_text
 from voxelloom.session import cut
 
 MAX_BROADCAST = 20_000
@@ -285,18 +285,20 @@ def pseudonymise(docs: DataFrame, key: bytes, max_broadcast: int = MAX_BROADCAST
     mark = F.xxhash64("doc_id", whole_text())  # a clash would only tell a document of an entity it hasn't got
     seen = cut(docs.select(mark.alias("_k"), whole_text().alias("_text")).mapInPandas(find, "_k long, kind string, canonical string"))
     again = settle(seen.select("kind", "canonical").distinct(), key)
-    told = cut(seen.join(again, ["kind", "canonical"]).groupBy("_k").agg(
-        F.collect_set(F.struct("kind", "canonical", "attempt")).alias("_again")))
+    key_, again_, new_ = fresh(docs, "_k", "_again", "_new")
+    told = cut(seen.join(again, ["kind", "canonical"]).groupBy(F.col("_k").alias(key_)).agg(
+        F.collect_set(F.struct("kind", "canonical", "attempt")).alias(again_)))
     if told.limit(max_broadcast + 1).count() <= max_broadcast:
         told = F.broadcast(told)
 
     @F.pandas_udf("text string, kinds array<string>")
-    def replaced(text: pd.Series, again_: pd.Series) -> pd.DataFrame:
-        rows = [rewrite(t, key, {} if a is None else {(x["kind"], x["canonical"]): x["attempt"] for x in a}) for t, a in zip(text, again_)]
+    def replaced(text: pd.Series, tries: pd.Series) -> pd.DataFrame:
+        rows = [rewrite(t, key, {} if a is None else {(x["kind"], x["canonical"]): x["attempt"] for x in a}) for t, a in zip(text, tries)]
         return pd.DataFrame(rows, columns=["text", "kinds"])
 
-    joined = docs.withColumn("_k", mark).join(told, "_k", "left").withColumn("_new", replaced(whole_text(), F.col("_again")))
-    return joined.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("_new.kinds").alias("pii_kinds"))
+    joined = docs.withColumn(key_, mark).join(told, key_, "left").withColumn(new_, replaced(whole_text(), F.col(again_)))
+    new = F.col(new_)
+    return joined.select(*[new["text"].alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], new["kinds"].alias("pii_kinds"))
 
 
 @query("op3_pii_surrogates")
