@@ -89,3 +89,69 @@ def test_multiscale_document_is_ordered(spark):
     assert [d["path"] for d in docs["p/a.zarr"]["datasets"]] == ["s0", "s1", "s2"]
     assert docs["p/a.zarr"]["datasets"][2]["coordinateTransformations"][0]["scale"] == [4.0, 8.0, 12.0]
     assert docs["p/b.zarr"]["datasets"][0]["coordinateTransformations"][0]["scale"] == [1.0, 2.0, 3.0]
+
+
+def array_meta(shape, chunks, dtype, **more):
+    spec = {"zarr_format": 2, "shape": shape, "chunks": chunks, "dtype": dtype, "order": "C", "fill_value": 0, "filters": None, "compressor": None}
+    return json.dumps(spec | more).encode()
+
+
+def test_column_order_chunks(spark, tmp_path):
+    a = np.arange(1, 25, dtype="<i4").reshape(2, 3, 4)
+    put(tmp_path / "v.zarr", "m/.zarray", array_meta([2, 3, 4], [2, 3, 4], "<i4", order="F"))
+    put(tmp_path / "v.zarr", "m/0.0.0", a.tobytes(order="F"))
+    out = CH.decode(ST.read_zarr(ST.zarr_plan(ST.zarr_catalog(spark, str(tmp_path))))).withColumn("volume_id", F.lit(0))
+    assert np.array_equal(dense(out, a.shape), a)
+
+
+@pytest.mark.parametrize("per_chunk", [1, 2])
+def test_channel_axis(spark, tmp_path, per_chunk):
+    a = np.arange(1, 37, dtype="<f4").reshape(3, 2, 2, 3)
+    put(tmp_path / "v.zarr", "m/.zarray", array_meta([3, 2, 2, 3], [per_chunk, 2, 2, 3], "<f4"))
+    for c in range(0, 3, per_chunk):
+        box = np.zeros((per_chunk, 2, 2, 3), "<f4")
+        box[:len(a[c:c + per_chunk])] = a[c:c + per_chunk]
+        put(tmp_path / "v.zarr", f"m/{c // per_chunk}.0.0.0", box.tobytes())
+    plan = ST.zarr_plan(ST.zarr_catalog(spark, str(tmp_path)))
+    assert plan.count() == 3
+    for c in range(3):
+        out = CH.decode(ST.read_zarr(plan.where(F.col("channel") == c)), "v", kind="double").withColumn("volume_id", F.lit(0))
+        assert np.array_equal(dense(out, a.shape[1:], "v", dtype=np.float32), a[c])
+
+
+def test_arrays_that_cannot_be_read_fail(spark, tmp_path):
+    put(tmp_path / "v.zarr", "m/.zarray", array_meta([4], [4], "<i4"))
+    put(tmp_path / "v.zarr", "m/0", np.arange(4, dtype="<i4").tobytes())
+    put(tmp_path / "w.zarr", "m/.zarray", array_meta([1, 1, 1], [1, 1, 1], "<i4", filters=[{"id": "delta"}]))
+    put(tmp_path / "w.zarr", "m/0.0.0", np.arange(1, dtype="<i4").tobytes())
+    for name in ("v.zarr", "w.zarr"):
+        with pytest.raises(Exception, match="another rank, order or with filters"):
+            ST.zarr_plan(ST.zarr_catalog(spark, str(tmp_path)).where(F.col("volume_id").endswith(name))).collect()
+
+
+def test_written_type_and_attributes(frame, shapes, spark, tmp_path):
+    a = np.random.default_rng(1).integers(0, 300, (3, 4, 5))
+    parts = CH.encode(frame(a), "label", shapes(a), "<i2", block=(2, 4, 4))
+    ST.write_zarr(parts, shapes(a), str(tmp_path), "m", (2, 4, 4), dtype="<i2", array_attrs={"unit": "nm"}).collect()
+    catalog = ST.zarr_catalog(spark, str(tmp_path))
+    assert catalog.first().dtype == "<i2"
+    out = CH.decode(ST.read_zarr(ST.zarr_plan(catalog))).withColumn("volume_id", F.lit(0))
+    assert np.array_equal(dense(out, a.shape), a)
+    assert json.loads(ST.zarr_attributes(spark, str(tmp_path)).where("key = 'm'").first().attrs) == {"unit": "nm"}
+    with pytest.raises(Exception, match="in an array of"):
+        ST.write_zarr(parts, shapes(a), str(tmp_path), "n", (2, 4, 4)).collect()
+
+
+def test_fractions_are_not_decoded_as_whole_numbers(frame, shapes):
+    a = np.array([[[0.0, 0.25, 0.75]]])
+    parts = CH.encode(frame(a, kind="double", name="p"), "p", shapes(a), "<f4", block=(1, 1, 3))
+    assert sorted(r.p for r in CH.decode(parts, "p", kind="double").collect()) == [0.25, 0.75]
+    with pytest.raises(Exception, match="hold fractions"):
+        CH.decode(parts, "p").collect()
+
+
+def test_manifest_by_extension(spark, tmp_path):
+    for name in ("a.zarr/x/0.0.0", "c.zarr/x.h5/0", "b.h5"):
+        put(tmp_path, name, b"1")
+    names = [sorted(r.path.rsplit("/", 1)[1] for r in FI.manifest(spark, str(tmp_path), g).collect()) for g in ("*.zarr", "*.h5")]
+    assert names == [["a.zarr", "c.zarr"], ["b.h5"]]

@@ -168,3 +168,26 @@ def test_cluster_finds_two_groups(spark):
     rows = [(i, float(i % 2) * 10 + i * 0.001, float(i % 2) * 5, 1.0) for i in range(60)] + [(60, None, 5.0, 1.0)]
     out = S.cluster(spark.createDataFrame(rows, "i long, a double, b double, c double"), ["a", "b", "c"], range(2, 4))
     assert out.first().k == 2 and "c" not in out.columns and out.count() == 61
+
+
+def test_pinned_files_need_not_be_listed(spark):
+    paths = [(f"/data/wichmann/WT1_eb{i}_model_combined.h5",) for i in range(3)] + [(f"/data/wichmann/WT2_eb{i}_model_combined.h5",) for i in range(2)]
+    pin = "/data/wichmann/WT1_eb9_model_combined.h5"
+    out = SP.grouped_stratified(spark.createDataFrame(paths, "path string"), 0.1, spark.createDataFrame([(pin,), (pin,)], "path string"), hold_out_siblings=True)
+    assert [r.path for r in out.where("split = 'test'").collect()] == [pin]
+    assert {r.specimen for r in out.where("split <> 'test'").collect()} == {"WT2"}
+
+
+def test_foreground_sampler_threshold_mask_and_draw(spark):
+    rows = [(0, 0.9, 1)] * 1 + [(0, 0.1, 1)] * 9 + [(1, 0.9, 1)] * 2 + [(1, 0.1, 1)] * 8 + [(2, 0.9, 0)] * 5
+    df = spark.createDataFrame(rows, "patch long, p double, ok int")
+    args = (["patch"], F.col("p") > 0.75, F.col("ok") == 1, 0.1)
+    got = {r.patch: (r.fraction, r.accepted) for r in SP.foreground_fraction(df, *args, p_reject=1.0).collect()}
+    assert got == {0: (0.1, False), 1: (0.2, True), 2: (None, False)}  # a share equal to the least one is not enough
+    assert all(r.accepted for r in SP.foreground_fraction(df, *args, p_reject=0.0).collect())
+
+
+def test_hash_sample_has_no_cap(spark):
+    df = spark.range(20_000).withColumn("key", F.lit(1))
+    n = SP.hash_sample(df, ["id"], 0.3).count()
+    assert abs(n - 6000) < 300 and SP.hash_sample(df, ["id"], 1.0).count() == 20_000

@@ -255,3 +255,17 @@ def test_blocks_cover_the_volume_once(shapes):
 def test_offsets_sizes():
     assert [len(LB.offsets(c)) for c in (6, 18, 26)] == [6, 18, 26]
     assert all(len(set(p)) == 3 for p in itertools.combinations(LB.offsets(26), 3))
+
+
+def test_slices_link_labels_of_any_size(spark):
+    """Ids as the component search emits them: far apart in z, equal in their low bits."""
+    big = 1 << 42
+    rows = [(0, 0, 0, x, big + 1) for x in range(4)] + [(0, 1, 9, x, 1) for x in range(4)] + [(0, 1, 0, x, 5 * big) for x in range(4)]
+    out = E.link_slices(spark.createDataFrame(rows, "volume_id long, z long, y long, x long, label long"))
+    found = {r.label: r.n for r in out.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sorted(found.values()) == [4, 8]
+
+
+def test_packed_coordinates_fail_beyond_their_range(spark):
+    with pytest.raises(Exception, match="beyond the packed range"):
+        spark.range(1).select(C.pack(F.lit(1 << 21), F.lit(0), F.lit(0))).collect()

@@ -19,11 +19,13 @@ from voxelloom.operators.labels import offsets
 from voxelloom.session import cut
 
 VOXEL = ["volume_id", "z", "y", "x"]
-BITS = 21  # coordinates up to two million per axis fit one long
+BITS = 21  # coordinates below two million per axis fit one long; larger ones fail
 
 
 def pack(z: Column, y: Column, x: Column) -> Column:
-    return F.shiftleft(z.cast("long"), 2 * BITS) + F.shiftleft(y.cast("long"), BITS) + x.cast("long")
+    packed = F.shiftleft(z.cast("long"), 2 * BITS) + F.shiftleft(y.cast("long"), BITS) + x.cast("long")
+    fits = (F.least(z, y, x) >= 0) & (F.greatest(z, y, x) < (1 << BITS))
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("coordinate beyond the packed range")).cast("long"))
 
 
 def local_components(values: np.ndarray, offs) -> np.ndarray:
@@ -55,6 +57,8 @@ def local_components(values: np.ndarray, offs) -> np.ndarray:
 
 def pack_roots(root: np.ndarray, origin) -> np.ndarray:
     z, y, x = np.unravel_index(root, root.shape)
+    if min(origin) < 0 or max(o + n for o, n in zip(origin, root.shape)) > 1 << BITS:
+        raise ValueError("coordinate beyond the packed range")
     return ((z + origin[0]) << 2 * BITS) + ((y + origin[1]) << BITS) + (x + origin[2])
 
 

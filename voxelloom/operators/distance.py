@@ -35,14 +35,13 @@ def _windowed_squares(outside: np.ndarray, radius, spacing) -> np.ndarray:
     return out
 
 
-def distance(mask: DataFrame, volumes: DataFrame, radius: int = 8, spacing=(1.0, 1.0, 1.0),
-             exact: bool = True, block=BLOCK) -> DataFrame:
+def distance(mask: DataFrame, volumes: DataFrame, radius: int = 8, spacing=(1.0, 1.0, 1.0), block=BLOCK) -> DataFrame:
     """``volume_id, z, y, x, dist`` for mask voxels.
 
     A window of ``radius`` voxels answers most of them inside one block pass.
     Only a hit no farther than the window's smallest physical half-width is
     final; the few others are settled by a bucketed nearest join against the
-    outside voxels that touch the mask.  Without ``exact`` they stay NULL.
+    outside voxels that touch the mask.
     """
     reach = (radius,) * 3
     sure = radius * min(spacing)
@@ -58,8 +57,6 @@ def distance(mask: DataFrame, volumes: DataFrame, radius: int = 8, spacing=(1.0,
     near = map_blocks(rows, kernel, "z long, y long, x long, dist double", {"_on": (np.bool_, False)}, block,
                       lo=reach, hi=reach, meta=BOX, core_only=True)
     near = near.withColumn("dist", F.when(F.isnan("dist"), None).otherwise(F.col("dist")))
-    if not exact:
-        return near
     near = cut(near)
     far = near.where(F.col("dist").isNull())
     if far.isEmpty():

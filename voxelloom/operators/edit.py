@@ -102,10 +102,10 @@ def link_slices(slices: DataFrame, min_iou: float = 0.5, max_gap: int = 1, min_s
 
     ``slices``: voxels with a per-slice ``label``.  Instances at most
     ``max_gap`` slices apart are compared; chains become one object named by
-    its first (z, label).
+    its first (z, number of the label in its slice).  Labels may be any ids.
     """
-    node = (F.shiftleft(F.col("z"), 42) + F.col("label")).alias("node")
-    rows = slices.select("volume_id", "z", "y", "x", node)
+    numbered = dense_index(slices.select(*VOXEL, "label"), ["volume_id", "z"], "label", "_n")
+    rows = numbered.select(*VOXEL, (F.shiftleft(F.col("z"), 42) + F.col("_n")).alias("node"))
     size = rows.groupBy("volume_id", "node").agg(F.count(F.lit(1)).alias("n"))
     up = rows.select("volume_id", F.explode(F.sequence(F.lit(1), F.lit(max_gap))).alias("_d"), "z", "y", "x", F.col("node").alias("a"))
     up = up.select("volume_id", (F.col("z") + F.col("_d")).alias("z"), "y", "x", "a")

@@ -21,6 +21,9 @@ def grouped_stratified(files: DataFrame, val_ratio: float = 0.1, pinned: DataFra
                        hold_out_siblings: bool = False) -> DataFrame:
     """``path, source, genotype, specimen, split`` with whole specimens per side.
 
+    ``pinned`` paths are test files whether or not ``files`` lists them, and
+    with ``hold_out_siblings`` no other file of their specimens is used.
+
     In every stratum of two or more specimens the smallest specimens go to
     validation until the target number of files is covered; the largest always
     stays in training.  Picks are a prefix of that order, so "files before this
@@ -29,7 +32,7 @@ def grouped_stratified(files: DataFrame, val_ratio: float = 0.1, pinned: DataFra
     every = with_specimen(files.select("path"))
     pool = every
     if pinned is not None:
-        pins = every.join(pinned.select("path"), "path", "left_semi")
+        pins = with_specimen(pinned.select("path").distinct())
         pool = pool.join(pinned.select("path"), "path", "left_anti")
         if hold_out_siblings:
             pool = pool.join(pins.select(*UNIT).distinct(), UNIT, "left_anti")
@@ -84,7 +87,7 @@ def positional(files: DataFrame, train: float = 0.8, val: float = 0.2, test: flo
     rows = files.select("path")
     order: list = ["path"]
     if seed is not None:
-        rows = rows.withColumn("_h", F.xxhash64("path", F.lit(seed)))
+        rows = rows.withColumn("_h", hash_number(["path"], seed))
         order = ["_h", "path"]
     run = prefix_totals(rows, [], order)
     n = F.col("rows_total")
@@ -129,10 +132,15 @@ def dedupe_ordered(rows: DataFrame, key: str, position: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(rest, position).alias("_r")).select(key, "_r.*")
 
 
+def hash_number(cols: list[str], seed: int) -> Column:
+    """32-bit number from the start of an MD5 digest, which any engine can repeat."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def accept_by_hash(cols: list[str], seed: int, probability: float) -> Column:
     """Deterministic stand-in for a random draw."""
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit(seed)), F.lit(1_000_000))
-    return bucket < F.lit(int(probability * 1_000_000))
+    return F.pmod(hash_number(cols, seed), F.lit(1_000_000)) < F.lit(int(probability * 1_000_000))
 
 
 def patch_groups(patches: DataFrame, groups: DataFrame, patch: list[str], min_size: int | None = None) -> DataFrame:
@@ -159,7 +167,7 @@ def weighted_accept(grid: DataFrame, found: DataFrame, patch: list[str], weights
     """One hashed draw per patch: a weighted rare group decides, or else the
     number of groups present; rejected patches pass with ``p_fallback``."""
     total = sum(weights.values())
-    draw = F.pmod(F.xxhash64(*[F.col(c) for c in patch], F.lit(seed + 1)), F.lit(1_000_000)) / 1_000_000.0
+    draw = F.pmod(hash_number(patch, seed + 1), F.lit(1_000_000)) / 1_000_000.0
     pick, edge = F.lit(None).cast("long"), 0.0
     for g, w in weights.items():
         upto = edge + w / total
@@ -173,15 +181,25 @@ def weighted_accept(grid: DataFrame, found: DataFrame, patch: list[str], weights
     return chosen.select(*patch, (ok | accept_by_hash(patch, seed + 2, p_fallback)).alias("accepted"))
 
 
-def foreground_fraction(patches: DataFrame, patch: list[str], volume_of_patch: Column, min_fraction: float) -> DataFrame:
-    n = F.count(F.when(F.col("label") > 0, 1))
-    return patches.groupBy(*patch).agg((n / F.first(volume_of_patch)).alias("fraction")).withColumn("accepted", F.col("fraction") >= min_fraction)
+def foreground_fraction(patches: DataFrame, patch: list[str], foreground: Column, counted: Column | None = None,
+                        min_fraction: float = 0.1, p_reject: float = 0.95, seed: int = 0) -> DataFrame:
+    """``fraction, accepted`` per patch: the share of its ``counted`` voxels
+    that are ``foreground``.
+
+    A patch is accepted when the share exceeds ``min_fraction``, any other one
+    by a hashed draw with probability ``1 - p_reject``; without counted voxels
+    the share is NULL and the draw decides.
+    """
+    counted = F.lit(True) if counted is None else counted
+    share = F.count(F.when(counted & foreground, 1)) / F.nullif(F.count(F.when(counted, 1)), F.lit(0))
+    out = patches.groupBy(*patch).agg(share.alias("fraction"))
+    return out.withColumn("accepted", F.coalesce(F.col("fraction") > min_fraction, F.lit(False)) | accept_by_hash(patch, seed, 1 - p_reject))
 
 
-def bounded_sample(rows: DataFrame, keys: list[str], identity: list[str], cap: int, seed: int = 0) -> DataFrame:
-    """``cap`` rows per key in hash order (the sampling operator itself)."""
-    hashed = rows.withColumn("_h", F.xxhash64(*[F.col(c) for c in identity], F.lit(seed)))
-    return prefix_totals(hashed, keys, ["_h", *identity]).where(F.col("rn") <= cap).select(*rows.columns)
+def hash_sample(rows: DataFrame, identity: list[str], fraction: float, seed: int = 0) -> DataFrame:
+    """About ``fraction`` of the rows, chosen by a hash of their identity (the
+    sampling operator itself); there is no cap, so no key is cut short."""
+    return rows.where(hash_number(identity, seed) < F.lit(int(fraction * 2**32)))
 
 
 def staged_split(files: DataFrame, exclude: list[str]) -> DataFrame:

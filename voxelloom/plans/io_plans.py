@@ -34,9 +34,9 @@ def drain(df) -> None:
     df.agg(F.count(F.lit(1))).collect()
 
 
-@query("src_1_manifest")
+@query("src_1_manifest", f"{VOX} SELECT volume_id || '.zarr' AS name, true AS has_data FROM vol")
 def _(t):
-    files = FI.manifest(t.spark, t.sf_dir, "*.parquet")
+    files = FI.manifest(t.spark, zarr_store(t), "*.zarr")
     return files.select(F.substring_index("path", "/", -1).alias("name"), (F.col("length") > 0).alias("has_data"))
 
 

@@ -19,11 +19,11 @@ def G():
 PRF = ["precision", "recall", "dice"]
 _PRF_SQL = """round(tp/(tp+fp+1e-8::DOUBLE),6) "precision", round(tp/(tp+fn+1e-8::DOUBLE),6) recall, round(2*tp/(2*tp+fp+fn+1e-8::DOUBLE),6) dice"""
 _CONF = """c AS (SELECT volume_id, count(*) FILTER (gt>0 AND pred>0) tp, count(*) FILTER (gt=0 AND pred>0) fp, count(*) FILTER (gt>0 AND pred=0) fn,
-  count(*) FILTER (pred>0) pred_fg, count(*) FILTER (gt>0) gt_fg, count(*) eval_voxels FROM vox WHERE state<>2 GROUP BY 1)"""
+  count(*) FILTER (pred>0) pred_fg, count(*) FILTER (gt>0) gt_fg, count(*) eval_voxels FROM vox WHERE state=1 GROUP BY 1)"""
 
 
 def binary(t):
-    return E.binary_scores(t.vox, G(), F.col("pred") > 0, ["volume_id"], ignore=F.col("state") == 2)
+    return E.binary_scores(t.vox, G(), F.col("pred") > 0, ["volume_id"], ignore=L.state_masks(F.col("state"))[1])
 
 
 @query("evl_1_binary_scores", f"{VOX}, {_CONF} SELECT *, {_PRF_SQL} FROM c")
@@ -91,14 +91,14 @@ def _(t):
     return rounded(E.with_average(rows, "dataset", PRF, ["tp", "fp", "fn"], "all-files-averaged"), *PRF)
 
 
-_RANK = """s1 AS (SELECT volume_id, fg, (gt>0)::INT p FROM vox WHERE state<=1),
+_RANK = """s1 AS (SELECT volume_id, fg, (gt>0)::INT p FROM vox WHERE state=1),
  h AS (SELECT volume_id, fg, sum(p) pos, count(*) a FROM s1 GROUP BY 1,2),
  r AS (SELECT *, sum(pos) OVER w cp, sum(a) OVER w ca, sum(pos) OVER (PARTITION BY volume_id) tp, sum(a) OVER (PARTITION BY volume_id) ta FROM h WINDOW w AS (PARTITION BY volume_id ORDER BY fg DESC)),
  rk AS (SELECT volume_id, max(tp)::BIGINT n_pos, max(ta)::BIGINT n_all, sum(pos/tp*cp/ca) ap, sum((a-pos)*(cp-pos+pos/2)/(tp*(ta-tp))) auc FROM r GROUP BY 1)"""
 
 
 def ranks(t):
-    return E.ranking_scores(t.vox.where("state <= 1"), ["volume_id"], "fg", G())
+    return E.ranking_scores(t.vox.where(~L.state_masks(F.col("state"))[1]), ["volume_id"], "fg", G())
 
 
 @query("evl_7_average_precision", f"{VOX}, {_RANK} SELECT volume_id, n_pos, n_all, round(ap,6)::DOUBLE ap FROM rk")
@@ -106,7 +106,7 @@ def _(t):
     return rounded(ranks(t).drop("auc"), "ap")
 
 
-@query("evl_8_roc_auc", f"""{VOX}, s1 AS (SELECT volume_id, fg, gt>0 p FROM vox WHERE state<=1),
+@query("evl_8_roc_auc", f"""{VOX}, s1 AS (SELECT volume_id, fg, gt>0 p FROM vox WHERE state=1),
   r AS (SELECT *, rank() OVER (PARTITION BY volume_id ORDER BY fg) + (count(*) OVER (PARTITION BY volume_id, fg)-1)/2.0::DOUBLE rk FROM s1)
   SELECT volume_id, round((sum(rk) FILTER (p) - count(*) FILTER (p)*(count(*) FILTER (p)+1)/2)/(count(*) FILTER (p)*count(*) FILTER (NOT p)::DOUBLE),6) auc FROM r GROUP BY 1""")
 def _(t):
@@ -115,9 +115,9 @@ def _(t):
 
 @query("evl_9_threshold_sweep", f"""{VOX}, th(threshold) AS (VALUES (0.3::DOUBLE),(0.4::DOUBLE),(0.5::DOUBLE),(0.6::DOUBLE),(0.7::DOUBLE),(0.8::DOUBLE),(0.9::DOUBLE)),
   c AS (SELECT volume_id, threshold, count(*) FILTER (fg>threshold AND gt>0) tp, count(*) FILTER (fg>threshold AND gt=0) fp, count(*) FILTER (NOT fg>threshold AND gt>0) fn
-    FROM vox, th WHERE state<=1 GROUP BY 1,2) SELECT *, {_PRF_SQL} FROM c""")
+    FROM vox, th WHERE state=1 GROUP BY 1,2) SELECT *, {_PRF_SQL} FROM c""")
 def _(t):
-    return rounded(E.threshold_sweep(t.vox.where("state <= 1"), ["volume_id"], "fg", G()), *PRF)
+    return rounded(E.threshold_sweep(t.vox.where(~L.state_masks(F.col("state"))[1]), ["volume_id"], "fg", G()), *PRF)
 
 
 @query("evl_10_separation", f"""{VOX} SELECT volume_id, count(*) FILTER (state=1) n_state1, count(*) FILTER (state=1 AND gt>0) gt_fg, count(*) FILTER (state=2) n_state2,

@@ -52,7 +52,11 @@ def _(t):
     return SP.positional(t.files, 0.8, 0.15, 0.05)
 
 
-@query("spl_3_shuffled")
+_HASH = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+
+
+@query("spl_3_shuffled", f"""{FILES}, p AS (SELECT path, row_number() OVER (ORDER BY {_HASH.format("path || '|42'")}, path) rn, count(*) OVER () n FROM files)
+  SELECT path, rn AS position, CASE WHEN rn<=n-floor(n*0.15::DOUBLE)-floor(n*0.05::DOUBLE) THEN 'train' WHEN rn<=n-floor(n*0.05::DOUBLE) THEN 'val' ELSE 'test' END split FROM p""")
 def _(t):
     return SP.positional(t.files, 0.8, 0.15, 0.05, seed=42)
 
@@ -79,20 +83,30 @@ def _(t):
     return SP.accept_patches(patches(t).select(*PATCH).distinct(), found, PATCH, n_groups=4, min_groups=2)
 
 
-@query("spl_5_weighted_accept")
+def _draw(seed):
+    return _HASH.format(f"volume_id || '|' || py || '|' || px || '|{seed}'") + " % 1000000"
+
+
+@query("spl_5_weighted_accept", f"""{_PATCHES}, l AS (SELECT volume_id, py, px, label, count(*) n FROM pv WHERE label>0 GROUP BY ALL),
+  c AS (SELECT volume_id, py, px, group_id, count(*) k FROM l JOIN {GROUPS_SQL} USING (label) GROUP BY ALL), h AS (SELECT volume_id, py, px, count(*) g FROM c WHERE k>=1 GROUP BY 1,2,3),
+  d AS (SELECT *, {_draw(8)} u, {_draw(7)} < 750000 rare, {_draw(9)} < 50000 lucky FROM pg),
+  e AS (SELECT *, CASE WHEN u<100000 THEN 1 WHEN u<300000 THEN 2 WHEN u<800000 THEN 3 ELSE 4 END group_id FROM d)
+  SELECT volume_id, py, px, CASE WHEN rare THEN c.k IS NOT NULL ELSE coalesce(g,0)>=1 END OR lucky accepted FROM e LEFT JOIN c USING (volume_id,py,px,group_id) LEFT JOIN h USING (volume_id,py,px)""")
 def _(t):
     found = SP.patch_groups(patches(t), t.label_groups, PATCH)
     return SP.weighted_accept(patches(t).select(*PATCH).distinct(), found, PATCH, {1: 1.0, 2: 2.0, 3: 5.0, 4: 2.0}, seed=7)
 
 
-@query("spl_5_foreground_fraction", f"""{_PATCHES} SELECT volume_id, py, px, round(count(*) FILTER (label>0)/256.0::DOUBLE,6) fraction, count(*) FILTER (label>0)/256.0::DOUBLE>=0.5 accepted FROM pv GROUP BY 1,2,3""")
+@query("spl_5_foreground_fraction", f"""{VOX}, s AS (SELECT volume_id, y//8 py, x//8 px, count(*) FILTER (state<2) n, count(*) FILTER (state<2 AND fg>0.75) k FROM vox GROUP BY 1,2,3)
+  SELECT volume_id, py, px, round(k/nullif(n,0)::DOUBLE,6) fraction, coalesce(k/nullif(n,0)::DOUBLE>0.1,false) OR {_draw(3)} < 50000 accepted FROM s""")
 def _(t):
-    return rounded(SP.foreground_fraction(patches(t), PATCH, F.lit(256.0), 0.5), "fraction")
+    rows = t.vox.selectExpr("volume_id", "y div 8 py", "x div 8 px", "fg", "state")
+    return rounded(SP.foreground_fraction(rows, PATCH, F.col("fg") > 0.75, F.col("state") < 2, 0.1, 0.95, seed=3), "fraction")
 
 
-@query("spl_6_bounded_sample")
+@query("spl_6_hash_sample", f"""{VOX} SELECT volume_id, z, y, x, fg, gt FROM vox WHERE {_HASH.format("volume_id || '|' || z || '|' || y || '|' || x || '|0'")} < 429496729""")
 def _(t):
-    return SP.bounded_sample(t.vox.select("volume_id", "z", "y", "x", "fg", "gt"), ["volume_id"], ["z", "y", "x"], 1000)
+    return SP.hash_sample(t.vox.select("volume_id", "z", "y", "x", "fg", "gt"), ["volume_id", "z", "y", "x"], 0.1)
 
 
 @query("spl_7_staged_split", f"{FILES} SELECT path, regexp_replace(path,'^.*/','') AS name FROM files WHERE NOT contains(path,'KO')")

@@ -297,7 +297,7 @@ def _(t):
     return ED.additional_objects(t.vox, "gt", "pred", 0.6)
 
 
-_LINK = f"""{RVOX}, sl AS (SELECT volume_id, z, y, x, gt FROM vox WHERE gt>0 AND raw<200), nd AS (SELECT *, (z::BIGINT<<42)+gt node FROM sl), ns AS (SELECT volume_id, node, count(*) n FROM nd GROUP BY 1,2),
+_LINK = f"""{RVOX}, sl AS (SELECT volume_id, z, y, x, gt FROM vox WHERE gt>0 AND raw<200), nd AS (SELECT *, (z::BIGINT<<42)+dense_rank() OVER (PARTITION BY volume_id, z ORDER BY gt) node FROM sl), ns AS (SELECT volume_id, node, count(*) n FROM nd GROUP BY 1,2),
  pr AS (SELECT a.volume_id, a.node a, b.node b, count(*) o FROM nd a JOIN nd b ON a.volume_id=b.volume_id AND b.z=a.z+1 AND a.y=b.y AND a.x=b.x GROUP BY 1,2,3),
  ed AS (SELECT p.volume_id, a, b FROM pr p JOIN ns x ON x.volume_id=p.volume_id AND x.node=a JOIN ns y ON y.volume_id=p.volume_id AND y.node=b WHERE o/(x.n+y.n-o)::DOUBLE>=0.6),
  e2 AS (SELECT volume_id, a, b FROM ed UNION SELECT volume_id, b, a FROM ed),

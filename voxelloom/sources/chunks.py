@@ -31,13 +31,18 @@ def encode(vox: DataFrame, value: str, volumes: DataFrame, dtype: str = "<i8", b
 
 
 def decode(chunks: DataFrame, value: str = "label", foreground_only: bool = True, kind: str = "long") -> DataFrame:
-    """Voxel rows of binary chunks; one Arrow batch of chunks at a time."""
+    """Voxel rows of binary chunks; one Arrow batch of chunks at a time.
+
+    Chunks of fractions need ``kind="double"``: they fail as whole numbers.
+    """
     key_type = chunks.schema["volume_id"].dataType.simpleString()
 
     def read(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 box = np.frombuffer(r.data, dtype=r.dtype).reshape(r.nz, r.ny, r.nx)
+                if kind == "long" and box.dtype.kind == "f":
+                    raise ValueError(f"chunks of {r.dtype} hold fractions, decode them with kind='double'")
                 at = np.nonzero(box) if foreground_only else np.unravel_index(np.arange(box.size), box.shape)
                 out = {a: (w + o).astype(np.int64) for a, w, o in zip(AXES, at, (r.z0, r.y0, r.x0))}
                 yield pd.DataFrame({"volume_id": r.volume_id, **out, value: box[at].astype(np.int64 if kind == "long" else np.float64)})

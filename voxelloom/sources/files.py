@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,13 +12,15 @@ STORE = r"^(.*\.zarr)(/|$)"
 
 
 def manifest(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """``path, length, modificationTime`` of matching files, contents unread;
-    members of a chunked store count once, under the store's own path."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    """``path, length, modified`` of the files whose name matches, contents
+    unread; a chunked store counts once, under its own name, and its members
+    do not count as files."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .load(root).select("path", "length", "modificationTime"))
     store = F.regexp_extract("path", STORE, 1)
     unit = F.when(store != "", store).otherwise(F.col("path"))
-    return files.groupBy(unit.alias("path")).agg(F.sum("length").alias("length"), F.max("modificationTime").alias("modified"))
+    units = files.groupBy(unit.alias("path")).agg(F.sum("length").alias("length"), F.max("modificationTime").alias("modified"))
+    return units.where(F.substring_index("path", "/", -1).rlike("^" + fnmatch.translate(glob)))
 
 
 def read_table(spark: SparkSession, path: str, schema) -> DataFrame:

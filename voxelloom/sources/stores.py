@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from voxelloom.session import parallelism
 
 CHUNK = ("volume_id string, key string, z0 long, y0 long, x0 long, nz int, ny int, nx int, dtype string, data binary")
-ARRAY = ("volume_id string, key string, sz long, sy long, sx long, cz long, cy long, cx long, dtype string, "
-         "codec string, fill double, separator string")
 
 
 def _open(uri: str):
@@ -79,13 +77,23 @@ def _fetch(members: DataFrame, name: str) -> DataFrame:
 
 
 def zarr_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """One row per array of every store under ``root``."""
-    spec = F.from_json("json", "shape array<long>, chunks array<long>, dtype string, compressor struct<id:string>, fill_value double, dimension_separator string")
-    return _fetch(_members(spark, root), ".zarray").select("volume_id", "key", spec.alias("m")).select(
-        "volume_id", "key", *[F.get("m.shape", F.lit(i)).alias(f"s{a}") for i, a in enumerate("zyx")],
-        *[F.get("m.chunks", F.lit(i)).alias(f"c{a}") for i, a in enumerate("zyx")], F.col("m.dtype").alias("dtype"),
-        F.col("m.compressor.id").alias("codec"), F.coalesce("m.fill_value", F.lit(0.0)).alias("fill"),
-        F.coalesce("m.dimension_separator", F.lit(".")).alias("separator"))
+    """One row per array of every store under ``root``.
+
+    Arrays are (Z, Y, X), or (C, Z, Y, X) with ``sc`` channels in chunks of
+    ``cc``; ``sc`` is NULL without a channel axis.  Arrays of another rank or
+    with filters are listed too, but can't be planned.
+    """
+    spec = F.from_json("json", "shape array<long>, chunks array<long>, dtype string, compressor struct<id:string>, fill_value double, "
+                               "dimension_separator string, order string, filters array<struct<id:string>>")
+    found = _fetch(_members(spark, root), ".zarray").select("volume_id", "key", spec.alias("m"))
+    rank = F.size("m.shape")
+    ahead = F.when(rank == 4, F.lit(1)).otherwise(F.lit(0))
+    sizes = [F.get(f"m.{name}", ahead + i).alias(f"{short}{a}") for name, short in (("shape", "s"), ("chunks", "c")) for i, a in enumerate("zyx")]
+    channels = [F.when(rank == 4, F.get(f"m.{name}", F.lit(0))).alias(f"{short}c") for name, short in (("shape", "s"), ("chunks", "c"))]
+    return found.select(
+        "volume_id", "key", *sizes, *channels, rank.alias("rank"), F.col("m.dtype").alias("dtype"), F.col("m.compressor.id").alias("codec"),
+        F.coalesce("m.fill_value", F.lit(0.0)).alias("fill"), F.coalesce("m.dimension_separator", F.lit(".")).alias("separator"),
+        F.coalesce("m.order", F.lit("C")).alias("order"), F.coalesce(F.size("m.filters"), F.lit(0)).alias("n_filters"))
 
 
 def zarr_attributes(spark: SparkSession, root: str) -> DataFrame:
@@ -94,8 +102,15 @@ def zarr_attributes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def zarr_plan(catalog: DataFrame) -> DataFrame:
-    """One row per chunk: its grid index, corner and size."""
-    out = catalog
+    """One row per chunk and channel: its grid index, corner and size.
+
+    A filter on ``channel`` (0 without a channel axis) prunes like one on the
+    corner.  Fails on arrays that can't be read.
+    """
+    known = F.col("rank").isin(3, 4) & (F.col("n_filters") == 0) & F.col("order").isin("C", "F")
+    refused = F.raise_error(F.concat(F.lit("array with another rank, order or with filters: "), F.col("volume_id"), F.lit("/"), F.col("key"))).cast("long")
+    out = catalog.withColumn("sz", F.when(known, F.col("sz")).otherwise(refused))
+    out = out.withColumn("channel", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("sc", F.lit(1)) - 1)))
     for a in "zyx":
         last = F.floor((F.col(f"s{a}") - 1) / F.col(f"c{a}"))
         out = out.withColumn(f"i{a}", F.explode(F.sequence(F.lit(0).cast("long"), last)))
@@ -120,27 +135,38 @@ def read_zarr(plan: DataFrame) -> DataFrame:
     def load(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                name = r.separator.join(str(i) for i in (r.iz, r.iy, r.ix))
-                raw = _read(f"{r.volume_id}/{r.key}/{name}")
-                full = (int(r.cz), int(r.cy), int(r.cx))
+                many = r.rank == 4
+                index = ([int(r.channel) // int(r.cc)] if many else []) + [r.iz, r.iy, r.ix]
+                raw = _read(f"{r.volume_id}/{r.key}/{r.separator.join(str(i) for i in index)}")
+                full = ([int(r.cc)] if many else []) + [int(r.cz), int(r.cy), int(r.cx)]
                 codec = None if pd.isna(r.codec) else r.codec
-                box = np.full(full, r.fill, dtype=r.dtype) if raw is None else np.frombuffer(_unpack(raw, codec), dtype=r.dtype).reshape(full)
+                box = (np.full(full, r.fill, dtype=r.dtype) if raw is None
+                       else np.frombuffer(_unpack(raw, codec), dtype=r.dtype).reshape(full, order=r.order))
+                if many:
+                    box = box[int(r.channel) % int(r.cc)]
                 data = np.ascontiguousarray(box[:r.nz, :r.ny, :r.nx]).tobytes()
-                yield pd.DataFrame([[r.volume_id, r.key, r.z0, r.y0, r.x0, r.nz, r.ny, r.nx, r.dtype, data]],
-                                   columns=["volume_id", "key", "z0", "y0", "x0", "nz", "ny", "nx", "dtype", "data"])
+                yield pd.DataFrame([[r.volume_id, r.key, r.channel, r.z0, r.y0, r.x0, r.nz, r.ny, r.nx, r.dtype, data]],
+                                   columns=["volume_id", "key", "channel", "z0", "y0", "x0", "nz", "ny", "nx", "dtype", "data"])
 
-    spread = plan.repartition(parallelism(plan.sparkSession), "volume_id", "key", "iz", "iy", "ix")
-    return spread.mapInPandas(load, CHUNK)
+    spread = plan.repartition(parallelism(plan.sparkSession), "volume_id", "key", "channel", "iz", "iy", "ix")
+    return spread.mapInPandas(load, CHUNK.replace("key string,", "key string, channel long,"))
 
 
-def write_zarr(chunks: DataFrame, volumes: DataFrame, root: str, key: str, block, codec: str = "zlib", attrs: dict | None = None) -> DataFrame:
+def write_zarr(chunks: DataFrame, volumes: DataFrame, root: str, key: str, block, codec: str = "zlib", attrs: dict | None = None,
+               dtype: str = "<i8", array_attrs: dict | None = None) -> DataFrame:
     """Write chunk rows as ``<root>/<volume_id>.zarr/<key>`` and return one row
     per chunk written.  Each task writes only its own chunk files, so a retried
-    task rewrites the same bytes."""
+    task rewrites the same bytes.
+
+    ``dtype`` is that of all chunks; a chunk of another one fails.  ``attrs``
+    belong to the store, ``array_attrs`` to the array.
+    """
     def put_chunk(frames):
         for pdf in frames:
             names = []
             for r in pdf.itertuples(index=False):
+                if np.dtype(r.dtype) != np.dtype(dtype):
+                    raise ValueError(f"chunk of {r.dtype} in an array of {dtype}")
                 box = np.zeros(block, dtype=r.dtype)
                 box[:r.nz, :r.ny, :r.nx] = np.frombuffer(r.data, dtype=r.dtype).reshape(r.nz, r.ny, r.nx)
                 name = ".".join(str(o // b) for o, b in zip((r.z0, r.y0, r.x0), block))
@@ -152,10 +178,12 @@ def write_zarr(chunks: DataFrame, volumes: DataFrame, root: str, key: str, block
     def put_meta(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                spec = {"zarr_format": 2, "shape": [int(r.nz), int(r.ny), int(r.nx)], "chunks": list(block), "dtype": "<i8", "order": "C",
+                spec = {"zarr_format": 2, "shape": [int(r.nz), int(r.ny), int(r.nx)], "chunks": list(block), "dtype": np.dtype(dtype).str, "order": "C",
                         "compressor": {"id": "zlib", "level": 1} if codec == "zlib" else None, "fill_value": 0, "filters": None}
                 write_bytes(f"{root}/{r.volume_id}.zarr/{key}/.zarray", json.dumps(spec).encode())
                 write_bytes(f"{root}/{r.volume_id}.zarr/.zattrs", json.dumps(attrs or {}).encode())
+                if array_attrs:
+                    write_bytes(f"{root}/{r.volume_id}.zarr/{key}/.zattrs", json.dumps(array_attrs).encode())
             yield pd.DataFrame({"volume_id": pdf["volume_id"].astype(str), "chunk": ".zarray"})
 
     need = chunks.select("volume_id", "z0", "y0", "x0", "nz", "ny", "nx", "dtype", "data")
