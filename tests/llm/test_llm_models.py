@@ -137,15 +137,17 @@ def test_packing_odd_rows(odd, none):
     assert packing.pieces(none, TOKENIZER).count() == 0
 
 
-def test_encoder_is_the_tokenizer(monkeypatch):
-    enc = packing.Encoder(TOKENIZER)
-    monkeypatch.setattr(packing, "REMEMBERED", 50)
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_is_the_tokenizer(name):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path(name))
+    own.encode_special_tokens = True
     rnd = random.Random(1)
-    texts = ["", " ", "a  b", "x\n y", " lead", "trail ", "a b's c't", "<|endoftext|> x", "ü  z", "a　b c", "x\r\ny z", "Ġ a"]
-    texts += ["".join(rnd.choice("ab1 .'\n\té ") for _ in range(30)) for _ in range(800)]
-    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    for i in range(0, len(texts), 100):
-        assert [x.tolist() for x in enc.encode(texts[i : i + 100])] == want[i : i + 100]
+    texts = ["", " ", "a  b", "x\n y", " lead", "trail ", "a b's c't", "<|endoftext|> x", "ü  z", "a　b c", "x\r\ny z", "Ġ a", "a" * 5000]
+    texts += ["".join(rnd.choice("ab1 .'\n\té \x1c\x85\xa0 |<>Ġ\U0001f600ś५") for _ in range(30)) for _ in range(1500)]
+    got = packing.Encoder(public_tokenizers.path(name)).encode(texts)
+    assert [x.tolist() for x in got] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_hilbert_curve_steps_to_neighbours():
