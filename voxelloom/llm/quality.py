@@ -201,8 +201,7 @@ def score(measured: DataFrame, model: Model) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` that score at least ``cutoff``, with all their
     columns, after a fit on those of them that are labelled."""
-    known = labels.select("doc_id").distinct()
-    model = train(measure(docs.select("doc_id", "text").join(known, "doc_id", "left_semi")), labels)
+    model = train(measure(docs), labels)  # rows of features are joined, not texts
 
     @F.pandas_udf("double")
     def rate(text: pd.Series) -> pd.Series:
