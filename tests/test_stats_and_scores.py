@@ -191,3 +191,25 @@ def test_hash_sample_has_no_cap(spark):
     df = spark.range(20_000).withColumn("key", F.lit(1))
     n = SP.hash_sample(df, ["id"], 0.3).count()
     assert abs(n - 6000) < 300 and SP.hash_sample(df, ["id"], 1.0).count() == 20_000
+
+
+def test_p_values_of_huge_samples():
+    """The t law tends to the normal one; the difference is below 1e-9 at these sizes."""
+    for df in (1e9, 1e11, 1e13):
+        assert P.student_two_sided(2.0, df) == pytest.approx(P.normal_two_sided(2.0), rel=1e-8)
+    for t in (0.5, 2.0, 6.0):
+        assert P.student_two_sided(t, 99_999) == pytest.approx(P.student_two_sided(t, 100_001), rel=1e-4)
+        assert P.student_two_sided(t, 100_001) == pytest.approx(P.regularised_beta(100_001 / 2, 0.5, 100_001 / (100_001 + t * t), t * t / (100_001 + t * t)), rel=1e-7)
+
+
+def test_exact_rank_law(spark):
+    from itertools import combinations
+
+    for small, large in ((1, 1), (2, 3), (3, 5), (4, 4)):
+        us = [sum(r for r in c) - small * (small - 1) // 2 for c in combinations(range(small + large), small)]
+        want = np.bincount(us, minlength=small * large + 1) / len(us)
+        assert P.rank_counts(small, large) == pytest.approx(want)
+    got = S.mann_whitney(long(spark, [1, 2, 3], [4, 5, 6, 7]), "A", "B").first()
+    assert got.mw_p == pytest.approx(2 / 35)
+    tied = S.mann_whitney(long(spark, [1, 2, 4], [4, 5, 6, 7]), "A", "B").first()
+    assert tied.mw_p == pytest.approx(P.normal_two_sided(tied.mw_z))

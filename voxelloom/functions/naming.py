@@ -79,6 +79,7 @@ def strip_marks(name: Column, marks: list[str]) -> Column:
 
 def canonical_label(text: Column) -> Column:
     """Dataset key for a free-text structure name; the first rule that fits."""
+    # The texts looked for and the keys they stand for.
     low = F.lower(text)
     inner = low.contains("cristae") | low.contains("inner")
     return (

@@ -58,6 +58,7 @@ def voxel_size_um(nm: Column) -> Column:
 
 def phenotype_by_shape(elong, flat, euler, branches) -> Column:
     """First matching rule wins."""
+    # Classes and thresholds of the published rule.
     return (
         F.when((elong < 1.6) & (flat < 1.2) & (euler == 1), "Round")
         .when((elong >= 3.5) & (flat < 1.3) & (euler == 1), "Tubular")
@@ -68,6 +69,7 @@ def phenotype_by_shape(elong, flat, euler, branches) -> Column:
 
 
 def phenotype_by_volume(elong, flat, spher, euler, branches, volume, high_volume) -> Column:
+    # Classes and thresholds of the published rule.
     return (
         F.when(euler == 0, "Donut")
         .when(branches > 0, "Branched")

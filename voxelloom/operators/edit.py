@@ -134,11 +134,10 @@ def split_blocks(vox: DataFrame, volumes: DataFrame, block, min_tail: int = 0) -
         out = out.withColumn(f"_b{a}", F.floor(F.col(a) / b))
     # a merged tail belongs to the block before it
     top = grid.groupBy("volume_id").agg(*[F.max(f"b{a}").alias(f"_m{a}") for a in AXES])
-    out = out.join(top, "volume_id")
-    for a in AXES:
+    out = join_small(out, top, ["volume_id"])
+    for a, b in zip(AXES, block):
         out = out.withColumn(f"b{a}", F.least(f"_b{a}", f"_m{a}").cast("long"))
-    out = out.join(grid.select("volume_id", *[f"b{a}" for a in AXES], *[f"{a}0" for a in AXES]), ["volume_id"] + [f"b{a}" for a in AXES])
-    for a in AXES:
+        out = out.withColumn(f"{a}0", F.col(f"b{a}") * b)
         out = out.withColumn(a, F.col(a) - F.col(f"{a}0"))
     return out.select(*[f"b{a}" for a in AXES], *[f"{a}0" for a in AXES], *vox.columns)
 

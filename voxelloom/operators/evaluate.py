@@ -13,7 +13,7 @@ from voxelloom.operators.objects import bounding_box, faces_touched
 from voxelloom.operators.ordered import exact_quantiles, prefix_totals
 from voxelloom.session import cut
 
-EPS = 1e-8
+EPS = 1e-8  # fixed value: part of the score formulas
 # Sweep thresholds.
 THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 
@@ -129,10 +129,13 @@ def ranking_scores(vox: DataFrame, keys: list[str], score: str, positive: Column
 
 
 def threshold_sweep(vox: DataFrame, keys: list[str], score: str, positive: Column, thresholds=THRESHOLDS) -> DataFrame:
-    """Confusion at each threshold (strict >) from one score histogram."""
-    hist = vox.groupBy(*keys, score).agg(_n(positive).alias("pos"), F.count(F.lit(1)).alias("all"))
-    wide = hist.select("*", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
-    hit = F.col(score) > F.col("threshold")
+    """Confusion at each threshold (strict >).  Scores are counted by how many
+    thresholds they pass, so a key shuffles one row more than there are thresholds."""
+    order = sorted(float(t) for t in thresholds)
+    passed = sum((F.coalesce(F.col(score) > t, F.lit(False)).cast("int") for t in order), F.lit(0))
+    hist = vox.groupBy(*keys, passed.alias("_k")).agg(_n(positive).alias("pos"), F.count(F.lit(1)).alias("all"))
+    wide = hist.select("*", F.posexplode(F.array(*[F.lit(t) for t in order])).alias("_i", "threshold"))
+    hit = F.col("_k") > F.col("_i")
     counts = wide.groupBy(*keys, "threshold").agg(
         F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(hit, F.col("all") - F.col("pos")).otherwise(0)).alias("fp"),

@@ -10,7 +10,7 @@ from voxelloom.operators.ordered import dense_index, exact_quantiles
 from voxelloom.session import cut
 
 VOXEL = ["volume_id", "z", "y", "x"]
-EPS = 1e-7
+EPS = 1e-7  # fixed value: part of the normalisation formulas
 
 
 def binarise(vox: DataFrame, condition: Column, out: str = "mask") -> DataFrame:
@@ -24,7 +24,7 @@ def keep_ids(labels: DataFrame, ids: list[int], fallback: DataFrame | None = Non
     if fallback is None:
         return kept
     served = kept.select("volume_id").distinct()
-    spare = fallback.where(F.col("label") != 0).join(served, "volume_id", "left_anti")
+    spare = join_small(fallback.where(F.col("label") != 0), served, ["volume_id"], "left_anti")
     return kept.select(*VOXEL).unionByName(spare.select(*VOXEL))
 
 

@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.functions.pvalues import normal_p, student_p
+from voxelloom.functions.pvalues import rank_p, student_p
 from voxelloom.functions.shape import ratio
 from voxelloom.operators.ordered import exact_quantiles, melt, prefix_totals, suffix_minimum, union_all
 
@@ -44,8 +44,8 @@ def welch(summary: DataFrame) -> DataFrame:
 
 
 def mann_whitney(long: DataFrame, first: str, second: str) -> DataFrame:
-    """U of the first sample with average ranks for ties and the tie-corrected
-    normal p.  Ranks come from a value histogram, so the work per task does not
+    """U of the first sample with average ranks for ties, and its p: exact if a
+    sample is small and nothing is tied, else tie-corrected normal.  Ranks come from a value histogram, so the work per task does not
     depend on how many rows one metric has."""
     hist = long.groupBy("metric", "value").agg(
         F.count(F.when(F.col("dataset") == first, 1)).alias("a"),
@@ -62,7 +62,8 @@ def mann_whitney(long: DataFrame, first: str, second: str) -> DataFrame:
     var = na * nb / 12 * ((n + 1) - F.coalesce(F.col("_ties") / F.nullif(n * (n - 1), F.lit(0.0)), F.lit(0.0)))
     gap = F.abs(u - na * nb / 2) - 0.5
     z = F.when(var > 0, F.greatest(gap, F.lit(0.0)) / F.sqrt(var))
-    return agg.select("metric", "n_a", "n_b", u.alias("mw_u"), z.alias("mw_z")).withColumn("mw_p", normal_p("mw_z"))
+    out = agg.select("metric", "n_a", "n_b", u.alias("mw_u"), z.alias("mw_z"), F.coalesce("_ties", F.lit(0.0)).alias("_ties"))
+    return out.withColumn("mw_p", rank_p("mw_u", "n_a", "n_b", "_ties", "mw_z")).drop("_ties")
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, unique: str, alpha: float = 0.05) -> DataFrame:
