@@ -151,6 +151,7 @@ def test_similar_lines_match_brute_force(texts, monkeypatch, small):
     assert sum(map(len, want.values())) > 50
     assert removed(line_dedup.removals(texts(*docs))) == want
     monkeypatch.setattr(line_dedup, "HOT_BITS", 2)  # nearly all words take the two-step way
+    monkeypatch.setattr(line_dedup, "LONG", 8)
     assert removed(line_dedup.removals(texts(*docs))) == want
     assert removed(line_dedup.removals(texts(*docs), t=0.5)) == brute_lines(enumerate(docs), 0.5)
 

@@ -6,7 +6,7 @@ count level over all lines, ties by hash), and two sets of Jaccard similarity
 ``t`` or more must share a word among the first ``n - ceil(t * n) + 1`` of
 each.  So only those prefixes are joined, under the length filter, the
 positional filter (what can still overlap behind the matching places) and a
-bound from 128-bit parity sketches (each word that differs flips one bit).
+bound from parity sketches of 64 or 256 bits (each word that differs flips one bit).
 Pairs that remain are verified on the words themselves.  A line goes if any
 earlier line, by doc_id and line number, is equal or similar.
 
@@ -15,7 +15,7 @@ read as a session variable; a word whose bucket counts one can have no partner
 and is not joined.  Equal sets are one row of the join, with map-side combining,
 however many lines have them.  Words with more than ``2 ** HOT_BITS`` lines are
 joined in two steps, so that a large group of similar lines does not meet in all
-pairs: first each set meets the earliest set of the word, and only sets that are
+pairs: first each line meets the earliest line of the word, and only lines that are
 not similar to it go on to meet all the others.
 """
 
@@ -26,40 +26,47 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm.common import query, salted_lookup, table, whole_text
+from voxelloom.llm.common import fresh, query, table, whole_text
 from voxelloom.session import cut
 
 THRESHOLD = 0.8
-BUCKET_BITS, BLOCK, HOT_BITS, SALTS = 22, 1024, 8, 64
+BUCKET_BITS, FLAG_BITS, BLOCK, HOT_BITS = 22, 21, 1024, 8
 LEVELS = 3  # per doubling of the count
+LONG = 96  # words from which a line has the wide sketch too
 LEVEL_SHIFT = 57
 EPS = 1e-9
-SPLIT = "[ \t\x0b\f\r]+"
+BLANKS = " \t\x0b\f\r"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``_pos, line_no, line`` and the document's key ``doc_id, _th``; null
-    text is one empty line, rows without a doc_id count as one document."""
+    """``doc_id, _th`` (the document), ``line_no, line``, ``_pos`` (order of all
+    lines) and 128 bits of identity, ``h1`` and ``h2``.  Null text is one empty
+    line; rows without a doc_id count as one document, before all others."""
     base = docs.select("doc_id", F.xxhash64(whole_text()).alias("_th"), F.posexplode(F.split(whole_text(), "\n")).alias("line_no", "line"))
     place = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
-    return base.withColumn("_pos", place.cast("decimal(38,0)"))
+    return base.select("*", place.cast("decimal(38,0)").alias("_pos"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), SPLIT), "")
+    """Lower-case words between blanks; lines with single blanks take the cheap split."""
+    low = F.lower(line)
+    awkward = line.startswith(" ") | line.endswith(" ") | line.contains("  ") | (line == "")
+    for c in BLANKS[1:]:
+        awkward = awkward | line.contains(c)
+    return F.when(awkward, F.array_remove(F.split(low, f"[{BLANKS}]+"), "")).otherwise(F.split(low, " "))
 
 
 def hashes_of(line: Column) -> Column:
     return F.transform(words_of(line), lambda w: F.xxhash64(w))
 
 
-def bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int")
+def bucket(h: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - bits).cast("int")
 
 
-def levels(counts: DataFrame) -> DataFrame:
+def levels(counts: DataFrame, bits: int) -> DataFrame:
     """One row: an array with the level of each bucket.  ``counts``: bucket, n."""
-    zero = counts.sparkSession.range(1 << BUCKET_BITS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
+    zero = counts.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
     total = counts.unionByName(zero).groupBy("bucket").agg(F.sum("n").alias("n"))
     level = F.least(F.lit(62), F.floor(F.log2(F.greatest(F.col("n"), F.lit(1))) * LEVELS + EPS)).cast("tinyint")
     blocks = total.select((F.col("bucket") / BLOCK).cast("int").alias("block"), "bucket", level.alias("level")).groupBy("block").agg(
@@ -67,6 +74,16 @@ def levels(counts: DataFrame) -> DataFrame:
     return blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "levels"))), lambda x: x["levels"])).alias("levels"))
 
 
+def flags(keys: DataFrame) -> DataFrame:
+    """One row: an array that is above zero where a key (column ``key``) falls."""
+    hit = keys.select(bucket(F.xxhash64("key"), FLAG_BITS).alias("bucket"), F.lit(2).cast("long").alias("n")).distinct()
+    return levels(hit, FLAG_BITS)
+
+
+def flagged(flag: Column, key: str) -> Column:
+    return flag[bucket(F.xxhash64(key), FLAG_BITS)] > 0
+
+
 class Lookup:
     """A fixed-size array as a session variable: unlike a joined column it is
     one constant in the plan, and unlike a subquery it may stand in a lambda."""
@@ -85,114 +102,136 @@ class Lookup:
         self.spark.sql(f"DROP TEMPORARY VARIABLE {self.name}")  # plans made so far hold its value
 
 
-def ordered(line: Column, level: Column) -> Column:
-    """Distinct word keys, rarest first: the level above the hash."""
-    mask = (1 << LEVEL_SHIFT) - 1
+def ordered(level: Column) -> Column:
+    """Word keys of ``_set``, rarest first: the level above the hash."""
+    mask = F.lit((1 << LEVEL_SHIFT) - 1)
 
     def key(h):
-        return F.shiftleft(F.element_at(level, bucket(h) + 1).cast("long"), LEVEL_SHIFT).bitwiseOR(h.bitwiseAND(F.lit(mask)))
+        return F.shiftleft(level[F.shiftrightunsigned(h, 64 - BUCKET_BITS)].cast("long"), LEVEL_SHIFT).bitwiseOR(h.bitwiseAND(mask))
 
-    return F.sort_array(F.array_distinct(F.transform(hashes_of(line), key)))
+    return F.sort_array(F.transform("_set", key))
 
 
-def sketch(half: int) -> Column:
-    """Parity of ``_keys`` by their low bits; the seventh bit picks the half."""
-    return F.expr(f"aggregate(_keys, 0L, (a, x) -> if((x & 64L) = {64 * half}L, a ^ shiftleft(1L, cast(x & 63L as int)), a))")
+def prefix_length(n: Column, t: float) -> Column:
+    return (n - F.ceil(n * t - EPS) + 1).cast("int")
 
 
-def identified(lines: DataFrame, level: Column) -> DataFrame:
-    """``lines`` plus ``_keys`` and the identity of the set: ``k, n, s0, s1``."""
-    keyed = lines.withColumn("_keys", ordered(F.col("line"), level))
-    return keyed.select("*", F.xxhash64("_keys").alias("k"), F.size("_keys").alias("n"), sketch(0).alias("s0"), sketch(1).alias("s1")).where("n > 0")
+SKETCH = ["n", "s", "x0", "x1", "x2", "x3"]
 
 
-IDENTITY = ["k", "n", "s0", "s1"]
-SET = [*IDENTITY, "pos"]
+def wide(quarter: int) -> Column:
+    """Quarter of a 256-bit parity sketch of ``_set``, for long lines only: 64
+    bits are full where more words may differ than they can show."""
+    step = f"if(shiftrightunsigned(x, 62) = {quarter}, a ^ shiftleft(1L, cast(shiftrightunsigned(x, 56) & 63 as int)), a)"
+    return F.when(F.size("_set") > LONG, F.expr(f"aggregate(_set, 0L, (a, x) -> {step})"))
 
 
-def prefix_length(n: Column, t: float) -> Column:
-    return (n - F.ceil(n * t - EPS) + 1).cast("int")
+def distinct_lines(lines: DataFrame, level: Column, t: float) -> DataFrame:
+    """One row per distinct line with words, materialised: ``sid, h1, h2, pos``
+    (its first place), ``n`` words, sketches ``s`` and ``x``, and ``prefix`` from place ``skip`` on."""
+    sets = lines.select("h1", "h2", "_pos", F.array_distinct(hashes_of(F.col("line"))).alias("_set")).where(F.size("_set") > 0)
+    size = F.size("_set")
+    sketch = F.expr("aggregate(_set, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)))")
+    full = sets.select("h1", "h2", "_pos", size.alias("n"), sketch.alias("s"), *[wide(q).alias(f"x{q}") for q in range(4)], F.slice(ordered(level), F.lit(1), prefix_length(size, t)).alias("_front"))
+    shared = F.filter("_front", lambda w: w >= F.lit(1 << LEVEL_SHIFT))  # words that occur once stand before these
+    full = full.select("h1", "h2", "_pos", *SKETCH, shared.alias("prefix"), (F.size("_front") - F.size(shared)).alias("skip"))
+    return cut(full.groupBy("h1", "h2", *SKETCH, "prefix", "skip").agg(F.min("_pos").alias("pos"))).withColumn("sid", F.monotonically_increasing_id())
 
 
-def near(t: float, a: str = "a", b: str = "b") -> Column:
-    """What a pair with a common word at places ``i`` must meet to be similar."""
-    def c(side, name):
-        return F.col(f"{side}.{name}")
+def postings(sets: DataFrame, *columns: str) -> DataFrame:
+    """A row per line and prefix word: the columns, ``i`` (place) and ``word``."""
+    rows = sets.select(*columns, "skip", F.posexplode("prefix").alias("_i", "word"))
+    return rows.select(*columns, (F.col("_i") + F.col("skip")).alias("i"), "word")
 
-    na, nb = c(a, "n"), c(b, "n")
+
+def near(t: float) -> Column:
+    """What a pair a, b with a common word at places ``i`` must meet to be similar."""
+    na, nb = F.col("a.n"), F.col("b.n")
     least = F.ceil((na + nb) * (t / (1 + t)) - EPS)
-    differ = F.bit_count(c(a, "s0").bitwiseXOR(c(b, "s0"))) + F.bit_count(c(a, "s1").bitwiseXOR(c(b, "s1")))
-    return ((F.least(na, nb) >= F.greatest(na, nb) * t - EPS) & (F.least(na - c(a, "i"), nb - c(b, "i")) >= least) & (differ <= na + nb - 2 * least))
+    differ = F.bit_count(F.col("a.s").bitwiseXOR(F.col("b.s")))
+    more = sum((F.bit_count(F.col(f"a.x{q}").bitwiseXOR(F.col(f"b.x{q}"))) for q in range(4)), F.lit(0))  # null unless both are long
+    # the first test is implied by the last, but cheap, and nearly all pairs fail it
+    sketch = differ <= (na + nb) * ((1 - t) / (1 + t)) + 2 * EPS
+    differ = F.greatest(differ, more)
+    return (sketch & (F.least(na, nb) >= F.greatest(na, nb) * t - EPS) & (F.least(na - F.col("a.i"), nb - F.col("b.i")) >= least) & (differ <= na + nb - 2 * least))
+
 
+def pair() -> list[Column]:
+    return [F.col("a.sid").alias("a"), F.col("b.sid").alias("b")]
 
-def earlier() -> Column:
-    return F.struct("a.pos", "a.k") < F.struct("b.pos", "b.k")
 
+def verify(pairs: DataFrame, sets: DataFrame, lines: DataFrame, t: float) -> DataFrame:
+    """``late``: the later line of each pair ``a, b`` whose word sets are really
+    similar, materialised.
 
-PAIR = [F.col(f"{s}.{n}").alias(f"{s}_{n}") for s in "ab" for n in ("pos", "k")]
+    One similar earlier line is enough, so each later line is compared with its
+    earliest partner first, and only those that fail with all the others.
+    """
+    place = sets.select("sid", "pos", "h1")
+    known = pairs.distinct()
+    for side in "ab":
+        known = known.join(place.select(F.col("sid").alias(side), F.struct("pos", "h1").alias(f"at_{side}")), side)
+    swap = F.col("at_b") < F.col("at_a")
+    known = cut(known.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("late"), F.greatest("at_a", "at_b").alias("at"), F.least("at_a", "at_b").alias("before")))
+    first = cut(similar(known.groupBy("late", "at").agg(F.min("before").alias("before")), lines, t))
+    rest = known.join(first, "late", "left_anti")
+    rest = rest.join(known.groupBy("late").agg(F.min("before").alias("before")), ["late", "before"], "left_anti")
+    return first.unionByName(cut(similar(rest, lines, t).distinct()))
 
 
-def verify(pairs: DataFrame, lines: DataFrame, level: Column, t: float) -> DataFrame:
-    """The pairs whose lines' word sets are really similar, materialised.
+def similar(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
+    """``late`` of the pairs of places (``at``, ``before``) that are similar.
 
     Only lines that may be in a pair are read again for it: a bucket table of
     their places thins them out before they are joined.
     """
-    pairs = cut(pairs.distinct())
-    wanted = pairs.select(F.col("a_pos").alias("_pos"), F.col("a_k").alias("k")).unionByName(
-        pairs.select(F.col("b_pos").alias("_pos"), F.col("b_k").alias("k"))).distinct()
-    place = bucket(F.xxhash64("_pos"))
-    with Lookup(levels(wanted.select(place.alias("bucket"), F.lit(2).cast("long").alias("n")).distinct()), "TINYINT") as flag:
-        some = lines.where(F.element_at(flag, place + 1) > 0)
-    some = some.select("_pos", "line", F.xxhash64(ordered(F.col("line"), level)).alias("k")).groupBy("_pos", "k").agg(F.min("line").alias("line"))
-
-    def text(side):
-        return some.select(F.col("_pos").alias(f"{side}_pos"), F.col("k").alias(f"{side}_k"), F.col("line").alias(f"{side}_line"))
-
-    both = pairs.join(text("a"), ["a_pos", "a_k"]).join(text("b"), ["b_pos", "b_k"])
-    one, two = F.array_distinct(words_of(F.col("a_line"))), F.array_distinct(words_of(F.col("b_line")))
+    wanted = pairs.select(F.col("at.pos").alias("key")).unionByName(pairs.select(F.col("before.pos").alias("key")))
+    with Lookup(flags(wanted), "TINYINT") as flag:
+        some = lines.where(flagged(flag, "_pos")).select(F.struct(F.col("_pos").alias("pos"), "h1").alias("place"), "line")
+    some = some.groupBy("place").agg(F.min("line").alias("line"))
+    both = pairs.join(some.select(F.col("place").alias("before"), F.col("line").alias("one")), "before")
+    both = both.join(some.select(F.col("place").alias("at"), F.col("line").alias("two")), "at")
+    one, two = F.array_distinct(words_of(F.col("one"))), F.array_distinct(words_of(F.col("two")))
     shared = F.size(F.array_intersect(one, two))
-    return cut(both.where(shared >= (F.size(one) + F.size(two) - shared) * t - EPS).select("a_pos", "a_k", "b_pos", "b_k"))
+    return both.where(shared >= (F.size(one) + F.size(two) - shared) * t - EPS).select("late")
 
 
-def similar(lines: DataFrame, level: Column, t: float) -> tuple[DataFrame, DataFrame]:
-    """(sets with their first place; pairs of sets, the earlier one first).
+def late_lines(sets: DataFrame, lines: DataFrame, t: float) -> DataFrame:
+    """``sid``: the distinct lines that have a similar earlier one."""
+    hot = F.lit((HOT_BITS * LEVELS) << LEVEL_SHIFT)
+    word = F.col("word")
+    cold = postings(sets, "sid", *SKETCH).where(word < hot)
+    pairs = cold.alias("a").join(cold.alias("b"), F.col("a.word") == F.col("b.word")).where((F.col("a.sid") < F.col("b.sid")) & near(t)).select(*pair())
 
-    Every set that has a similar earlier set is in the pairs as the later one.
-    """
-    full = identified(lines, level)
-    sets = cut(full.select(*IDENTITY, "_pos", F.slice("_keys", F.lit(1), prefix_length(F.col("n"), t)).alias("prefix"))
-               .groupBy(*IDENTITY, "prefix").agg(F.min("_pos").alias("pos")))
-    posts = sets.select(*SET, F.posexplode("prefix").alias("i", "word"))
-    rare, hot = 1 << LEVEL_SHIFT, (HOT_BITS * LEVELS) << LEVEL_SHIFT
-    cold = posts.where((F.col("word") >= rare) & (F.col("word") < hot))
-    pairs = cold.alias("a").join(cold.alias("b"), F.col("a.word") == F.col("b.word")).where(near(t) & earlier()).select(*PAIR)
-
-    often = posts.where(F.col("word") >= hot)
-    first = often.groupBy("word").agg(F.min(F.struct("pos", "k", "n", "s0", "s1", "i")).alias("a"), F.count(F.lit(1)).alias("lists")).where("lists > 1")
-    led = often.alias("b").join(first.select(F.col("word").alias("w"), "a"), F.col("b.word") == F.col("w")).where(near(t) & earlier())
-    settled = verify(led.select(*PAIR), lines, level, t)
-    gone = settled.select(F.col("b_pos").alias("pos"), F.col("b_k").alias("k")).distinct()
-    open_ = often.join(gone, ["pos", "k"], "left_anti")
-    rest = often.alias("a").join(open_.alias("b"), F.col("a.word") == F.col("b.word")).where(near(t) & earlier()).select(*PAIR)
-    return sets.select(*SET), settled.unionByName(verify(pairs.unionByName(rest), lines, level, t))
-
-
-def removals(docs: DataFrame, t: float = THRESHOLD, salts: int = SALTS) -> DataFrame:
-    """``doc_id, _th, removed``: per document (id and text hash) the
-    ascending numbers of the lines that go.
+    def often(some):
+        return postings(some, "sid", "pos", *SKETCH).where(word >= hot)
+
+    first = often(sets).groupBy("word").agg(F.min(F.struct("pos", "sid", *SKETCH, "i")).alias("a"), F.count(F.lit(1)).alias("lists")).where("lists > 1")
+    ahead = F.struct("a.pos", "a.sid") < F.struct("b.pos", "b.sid")
+    led = often(sets).alias("b").join(first.select(F.col("word").alias("w"), "a"), F.col("b.word") == F.col("w")).where(near(t) & ahead)
+    settled = verify(led.select(*pair()), sets, lines, t)
+    with Lookup(flags(settled.select(F.col("late").alias("key"))), "TINYINT") as flag:
+        maybe = flagged(flag, "sid")
+        open_ = sets.where(~maybe).unionByName(sets.where(maybe).join(settled, F.col("sid") == F.col("late"), "left_anti"))
+    rest = often(sets).alias("a").join(often(open_).alias("b"), F.col("a.word") == F.col("b.word")).where(near(t) & ahead).select(*pair())
+    return settled.unionByName(verify(pairs.unionByName(rest), sets, lines, t)).select(F.col("late").alias("sid")).distinct()
+
+
+def removals(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
+    """``doc_id, _th, removed``: per document (id and text hash) the ascending
+    numbers of the lines that go.
 
     Lines without words stay.  Rows that repeat a doc_id and its text are one
     document; rows that share a doc_id are read line by line, as one.
     """
     lines = lines_of(docs)
-    words = lines.select(F.explode(hashes_of(F.col("line"))).alias("h")).select(bucket(F.col("h")).alias("bucket"))
-    with Lookup(levels(words.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))), "TINYINT") as level:
-        sets, pairs = similar(lines, level, t)
-        later = pairs.select(F.col("b_pos").alias("pos"), F.col("b_k").alias("k")).distinct().withColumn("_late", F.lit(True))
-        first = sets.join(later, ["pos", "k"], "left").select(F.struct(*IDENTITY).alias("set"), F.col("pos").alias("_first"), F.coalesce("_late", F.lit(False)).alias("_late"))
-        own = identified(lines, level).select("doc_id", "_th", "line_no", "_pos", F.struct(*IDENTITY).alias("set"), F.pmod(F.xxhash64("_pos"), F.lit(salts)).alias("_salt"))
-    told = salted_lookup(own, first, "set", "_salt")
+    words = lines.select(F.explode(words_of(F.col("line"))).alias("word")).select(bucket(F.xxhash64("word"), BUCKET_BITS).alias("bucket"))
+    with Lookup(levels(words.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), BUCKET_BITS), "TINYINT") as level:
+        sets = distinct_lines(lines, level, t)
+    late = late_lines(sets, lines, t).withColumn("_late", F.lit(True))
+    first = sets.join(late, "sid", "left").select("h1", "h2", F.col("pos").alias("_first"), F.coalesce("_late", F.lit(False)).alias("_late"))
+    # a line that a large share of documents has is one row on the right, and skew handling splits the left
+    told = lines.select("doc_id", "_th", "line_no", "_pos", "h1", "h2").join(first, ["h1", "h2"])
     go = F.when(F.col("_late") | (F.col("_pos") != F.col("_first")), F.col("line_no"))
     return told.groupBy("doc_id", "_th").agg(F.sort_array(F.collect_set(go)).alias("removed"))
 
@@ -200,10 +239,11 @@ def removals(docs: DataFrame, t: float = THRESHOLD, salts: int = SALTS) -> DataF
 def deduplicate(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """``docs``, all columns, without the lines that go; documents keep their
     row even when no line is left."""
-    gone = removals(docs, t).where("size(removed) > 0").select(F.col("doc_id").alias("_id"), F.col("_th").alias("_hash"), F.col("removed").alias("_removed"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text()) == F.col("_hash")), "left")
-    kept = F.filter(F.split(whole_text(), "\n"), lambda x, i: ~F.array_contains(F.col("_removed"), i))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    id_, hash_, list_ = fresh(docs, "_id", "_hash", "_removed")
+    gone = removals(docs, t).where("size(removed) > 0").select(F.col("doc_id").alias(id_), F.col("_th").alias(hash_), F.col("removed").alias(list_))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(whole_text()) == F.col(hash_)), "left")
+    kept = F.filter(F.split(whole_text(), "\n"), lambda x, i: ~F.array_contains(F.col(list_), i))
+    text = F.when(F.col(list_).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
