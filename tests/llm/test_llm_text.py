@@ -166,6 +166,17 @@ def test_clean_text_and_numbers_stay():
         assert surrogates.rewrite(t, KEY, {})[0] == t
 
 
+def test_numbers_beside_other_tokens_are_found():
+    """Only what touches a number can make it part of a word."""
+    for text, kind in (("Room B12, 555-123-4567 please", "phone"), ("v2 192.168.10.44 up", "ip"), ("SSN 123-45-6789 2nd copy", "ssn"), ("call 555-867-5309, 3rd floor", "phone"),
+                       ("B12: 4799134681044206, 5th", "card"), ("x1 +49 30 1234 5678 2a", "phone"), ("Tel(555) 123-4567", "phone")):
+        out, kinds = surrogates.rewrite(text, KEY, {})
+        assert kinds == [kind] and out != text and len(out) == len(text)
+        assert re.sub(r"\d", "0", out) == re.sub(r"\d", "0", text)
+    for text in ("id_123-45-6789", "a192.168.10.44", "x@192.168.10.44", "123-45-6789b", "555-123-4567é", "1.192.168.10.44", "192.168.10.44.5"):
+        assert surrogates.rewrite(text, KEY, {}) == (text, [])
+
+
 def test_distinct_and_coreferent_over_the_corpus(spark):
     """More surnames and short addresses than their pools hold: all differ, and
     a name gets the same surrogate in every document."""

@@ -31,13 +31,14 @@ MAX_BROADCAST = 20_000
 DEMO_KEY = b"replace-me"  # for tests and the registered query; a real run passes its own
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+#: Where a number may stand; whether one does is judged match by match.
 WINDOW = re.compile(r"[+(]?\d[\d()., :-]*\d")
 NUMBER = re.compile(
-    r"(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
-    r"|(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?!\d))"
-    r"|(?P<ssn>(?<!\d)\d{3}-\d{2}-\d{4}(?!\d))"
-    r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))"
-    r"|(?P<local>(?<!\d)(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d))")
+    r"(?:(?P<ip>(?<![\w@.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
+    r"|(?P<phone>(?<![\w@])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?!\d)))"
+    r"|(?P<ssn>(?<![\w@])\d{3}-\d{2}-\d{4})"
+    r"|(?P<card>(?<![\w@])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}))"
+    r"|(?P<local>(?:(?<!\d)\(\d{3}\) ?|(?<![\w@])\d{3}[ .-])\d{3}[ .-]\d{4}))(?!\w)")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 IBAN_START = re.compile(r"[A-Z]{2}\d{2} ?[A-Z0-9]{4}")
 MAC = re.compile(r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b")
@@ -90,15 +91,15 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
     for w in WINDOW.finditer(text):
         a, b = w.span()
-        if b - a < 7 or a and (text[a - 1].isalnum() or text[a - 1] in "_@") or b < len(text) and (text[b].isalnum() or text[b] == "_"):
+        if b - a < 7:
             continue
-        for m in NUMBER.finditer(w[0]):
+        for m in NUMBER.finditer(text, a, b + 2):  # the boundary tests see the text around the window
             kind, digits = m.lastgroup, re.sub(r"\D", "", m[0])
             if kind == "ip" and max(map(int, m[0].split("."))) > 255 or kind == "phone" and not 8 <= len(digits) <= 15:
                 continue
             if kind in ("phone", "local"):
                 kind, digits = "phone", digits[-10:] if len(digits) >= 10 else digits
-            found.append((a + m.start(), a + m.end(), kind, m[0] if kind == "ip" else digits))
+            found.append((m.start(), m.end(), kind, m[0] if kind == "ip" else digits))
     if IBAN_START.search(text):
         for m in IBAN.finditer(text):
             plain = m[0].replace(" ", "")
