@@ -150,6 +150,24 @@ def test_encoder_is_the_tokenizer(name):
     assert [x.tolist() for x in got] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_in_a_text_get_their_ids(spark, name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    own = Tokenizer.from_file(path)
+    rnd = random.Random(3)
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|>a", "a\n<|endoftext|>\n b", "<|endoftext|", "<|ENDOFTEXT|>", "plain"]
+    texts += ["".join(rnd.choices(["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "  ", "\n", "é", "ab", "'s", "12"], k=12)) for _ in range(500)]
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in packing.encoder(path).encode(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts[:40])), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in sorted(packing.pieces(docs, path, 64).collect(), key=lambda r: r.start):
+        got[r.doc_id] += r.ids
+    assert [got[i] for i in range(40)] == [[*w, packing.END] for w in want[:40]]
+
+
 def test_hilbert_curve_steps_to_neighbours():
     side = 8
     cells = np.array([[x, y, z] for x in range(side) for y in range(side) for z in range(side)])

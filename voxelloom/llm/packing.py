@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -47,33 +48,42 @@ class Encoder:
 
     A byte-level file whose ids are in the order of its merges is read as a
     table of ranks, which gives the same ids at a third of the time; any other
-    file is left to its own library.
+    file is left to its own library, and so is every text that holds one of the
+    file's added tokens.  With ``added`` their strings in a text get the added
+    tokens' ids, as the library does of itself; without, they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
+        self.path, self.added, self._one, self._own, self._marks = path, added, self.whole, None, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before, model = spec["pre_tokenizer"] or {}, spec["model"]
         vocabulary = model["vocab"]
         merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model.get("merges") or []]
-        self.vocabulary = max(vocabulary.values()) + 1
+        self.vocabulary = max([*vocabulary.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         plain = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and spec["normalizer"] is None
         if plain and model.get("type", "BPE") == "BPE" and merged and merged == sorted(merged):
             import tiktoken
 
-            byte, added = byte_of_character(), {t["content"] for t in spec["added_tokens"]}
-            ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in added}
+            byte, strings = byte_of_character(), {t["content"] for t in spec["added_tokens"]}
+            ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in strings}
             self._one = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
+            if added and strings:
+                self._marks = re.compile("|".join(map(re.escape, strings)))
+
+    def whole(self, text: str) -> list[int]:
+        """Ids by the file's own library, read when first needed."""
+        if self._own is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            own = Tokenizer.from_file(path)
-            own.encode_special_tokens = True  # their strings in a text are ordinary text
-            self._one = lambda text: own.encode(text, add_special_tokens=False).ids
+            self._own = Tokenizer.from_file(self.path)
+            self._own.encode_special_tokens = not self.added
+        return self._own.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(self._one(t), np.uint32) for t in texts]
+        marked = self._marks.search if self._marks else lambda text: None
+        return [np.array(self.whole(t) if marked(t) else self._one(t), np.uint32) for t in texts]
 
 
 ENCODERS: dict[str, Encoder] = {}
@@ -81,7 +91,7 @@ ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
+        ENCODERS[path] = Encoder(path, added=True)
     return ENCODERS[path]
 
 
