@@ -213,3 +213,14 @@ def test_exact_rank_law(spark):
     assert got.mw_p == pytest.approx(2 / 35)
     tied = S.mann_whitney(long(spark, [1, 2, 4], [4, 5, 6, 7]), "A", "B").first()
     assert tied.mw_p == pytest.approx(P.normal_two_sided(tied.mw_z))
+
+
+def test_exact_rank_law_has_no_upper_size(spark):
+    """Samples fully apart: two of all orders; and the tails against the table."""
+    for small, large in ((1, 5), (3, 40), (8, 2000), (8, 3000)):
+        shares = np.cumsum(P.rank_counts(small, large))
+        for u in {k for k in (0, 1, 5, large, small * large // 3, small * large // 2) if 2 * k <= small * large}:
+            assert P.rank_two_sided(u, large, small) == pytest.approx(min(1, 2 * shares[u]), rel=1e-6)
+    rows = spark.createDataFrame([(0.0, 8, n, 0.0, -4.9) for n in (2000, 5000, 10**8)], "u double, a long, b long, ties double, z double")
+    for r in rows.select("b", P.rank_p("u", "a", "b", "ties", "z").alias("p")).collect():
+        assert r.p == pytest.approx(2 / math.comb(8 + r.b, 8), rel=1e-12)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -58,8 +59,8 @@ def student_two_sided(t: float, df: float) -> float:
     return regularised_beta(df / 2, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
-# The exact law of the rank test holds if one sample is this small; the other one is bounded by the table it takes.
-EXACT_SMALL, EXACT_LARGE = 8, 2000
+# Fixed value: the exact law of the rank test is used if one sample is this small, whatever the size of the other.
+EXACT_SMALL = 8
 
 
 def rank_counts(small: int, large: int) -> np.ndarray:
@@ -76,11 +77,43 @@ def rank_counts(small: int, large: int) -> np.ndarray:
     return ways / ways.sum()
 
 
+@cache
+def _partition_numerator(parts: int) -> tuple[int, list[int]]:
+    """``period, N`` such that N(q) / (1 - q**period)**(parts + 1) counts the
+    partitions of at most k into parts of size 1 to ``parts``."""
+    period, out = math.lcm(*range(1, parts + 1)), [1]
+    for step in (1, *range(1, parts + 1)):  # times 1 + q**step + ... up to q**(period - step)
+        wide = out + [0] * (period - step)
+        for i in range(step, len(wide)):
+            wide[i] += wide[i - step]
+        for i in range(len(wide) - 1, period - 1, -1):
+            wide[i] -= wide[i - period]
+        out = wide
+    return period, out
+
+
+def rank_tail(lower: int, small: int, large: int) -> int:
+    """Orders of two tie-free samples with U at most ``lower``, in whole
+    numbers and without a table: the Gaussian binomial is the product of
+    1 - q**(large + i) over that of 1 - q**i, and its 2**small terms above
+    take their counts of partitions from a polynomial."""
+    period, numerator = _partition_numerator(small)
+    shifts = {0: 1}
+    for i in range(1, small + 1):
+        more = dict(shifts)
+        for at, sign in shifts.items():
+            if at + large + i <= lower:
+                more[at + large + i] = more.get(at + large + i, 0) - sign
+        shifts = more
+    return sum(sign * numerator[r] * math.comb((lower - at - r) // period + small, small) for at, sign in shifts.items()
+               for r in range((lower - at) % period, min(len(numerator) - 1, lower - at) + 1, period))
+
+
 def rank_two_sided(u: float, n_a: int, n_b: int) -> float:
     """Exact two-sided p of U without ties."""
     small, large = sorted((int(n_a), int(n_b)))
-    upper = int(max(u, n_a * n_b - u))
-    return float(min(1.0, 2 * rank_counts(small, large)[upper:].sum()))
+    lower = small * large - int(max(u, n_a * n_b - u))
+    return min(1.0, 2 * rank_tail(lower, small, large) / math.comb(small + large, small))
 
 
 def normal_two_sided(z: float) -> float:
@@ -95,10 +128,10 @@ def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
 
 @pandas_udf(DoubleType())
 def rank_p(u: pd.Series, n_a: pd.Series, n_b: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
-    """Exact for small tie-free samples, else the normal tail of ``z``."""
+    """Exact without ties where one sample is small, else the normal tail of ``z``."""
     out = []
     for v, a, b, t, s in zip(u, n_a, n_b, ties, z.astype(float)):
-        if min(a, b) >= 1 and t == 0 and min(a, b) <= EXACT_SMALL and max(a, b) <= EXACT_LARGE:
+        if min(a, b) >= 1 and t == 0 and min(a, b) <= EXACT_SMALL:
             out.append(rank_two_sided(v, a, b))
         else:
             out.append(None if math.isnan(s) else normal_two_sided(s))
