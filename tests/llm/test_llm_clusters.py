@@ -63,7 +63,7 @@ def test_few_and_no_vectors(spark):
 
 def test_bounds_hold_and_filter():
     rng = np.random.default_rng(1)
-    centre = rng.integers(-4000, 4000, (40, 64))
+    centre = rng.integers(-400, 400, (40, 10)) @ rng.integers(-9, 9, (10, 64))  # few true dimensions, as embeddings have
     v = centre[rng.integers(0, 40, 2000)] + rng.integers(-300, 300, (2000, 64))
     simplex = centroids.Simplex(centre)
     apexes, tops = simplex.of(v), simplex.of(centre)
@@ -73,7 +73,7 @@ def test_bounds_hold_and_filter():
     assert (inner + (apexes[:, -1:] - tops[:, -1]) ** 2 - slack <= exact).all() and (inner + (apexes[:, -1:] + tops[:, -1]) ** 2 + slack >= exact).all()
     best, distance, work = centroids.nearest(v, apexes, centre, tops)
     assert (best == exact.argmin(1)).all() and (distance == exact.min(1)).all()
-    assert work < 0.2 * exact.size  # most centroids are never compared
+    assert work < 0.1 * exact.size  # most centroids are never compared
 
 
 def test_too_large_components_are_refused():
