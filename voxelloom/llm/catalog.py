@@ -1,6 +1,7 @@
 """The queries of this subpackage; importing the operator modules fills the registry."""
 
 from voxelloom.llm import (  # noqa: F401
+    alignment,
     centroids,
     chat,
     decontaminate,
