@@ -6,6 +6,7 @@ from voxelloom.llm import (  # noqa: F401
     chat,
     decontaminate,
     exact_dedup,
+    html_text,
     line_dedup,
     lm,
     packing,
