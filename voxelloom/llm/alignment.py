@@ -34,6 +34,7 @@ from voxelloom.session import shared_dir
 STEP = 256  # documents encoded at a time
 #: Groups with more token pairs than this are written by distinct ids of each side.
 WIDE = 4096
+START = 4  # tokens of the first probe of a run
 SHIFT = 32  # a pair is one number: the id of the first tokenizer above that of the second
 
 
@@ -43,6 +44,13 @@ class Side:
     def __init__(self, encode, tokens: list[bytes]):
         self.encode, self.tokens = encode, tokens
         self.width = np.array([len(t) for t in tokens], np.int64)
+        self._spelled: np.ndarray | None = None
+
+    def spelled(self, last: bytes) -> np.ndarray:
+        """Every id in digits with a comma, then every id with the mark ``last``."""
+        if self._spelled is None:
+            self._spelled = np.array([b"%d" % i + mark for mark in (b",", last) for i in range(len(self.tokens))], object)
+        return self._spelled
 
     @classmethod
     def byte_level(cls, path: str) -> Side:
@@ -80,32 +88,36 @@ def sides(byte_path: str, piece_path: str) -> tuple[Side, Side]:
     return SIDES["byte_level", byte_path], SIDES["pieces", piece_path]
 
 
-def meets(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+def meets(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the equal values of two strictly ascending lists that end in
     the same value, by diagonal run skipping."""
-    out_a: list[int] = []
-    out_b: list[int] = []
+    first_a: list[int] = []
+    first_b: list[int] = []
+    length: list[int] = []
     i = j = 0
     n, m = len(a), len(b)
     while i < n and j < m:
         # a run on the diagonal j - i: probe twice the width until a probe fails
         if a[i] == b[j]:
-            run, width = 1, 1
-            while a[i + run : i + run + width] == b[j + run : j + run + width]:
-                run += width
-                if i + run >= n or j + run >= m:
-                    run = min(n - i, m - j)
+            x, y, width = i + 1, j + 1, START
+            while a[x : x + width] == b[y : y + width]:
+                x += width
+                y += width
+                if x >= n or y >= m:  # both sides end in the same value
+                    x = n
                     break
                 width *= 2
             else:  # the first difference lies within the failed probe
                 while width > 1:
                     width //= 2
-                    if a[i + run : i + run + width] == b[j + run : j + run + width]:
-                        run += width
-            out_a.extend(range(i, i + run))
-            out_b.extend(range(j, j + run))
-            i += run
-            j += run
+                    if a[x : x + width] == b[y : y + width]:
+                        x += width
+                        y += width
+            first_a.append(i)
+            first_b.append(j)
+            length.append(x - i)
+            j += x - i
+            i = x
             if i >= n or j >= m:
                 break
         # an irregular group: the side that is behind goes on until both ends meet
@@ -117,7 +129,8 @@ def meets(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
             else:
                 j += 1
                 y = b[j]
-    return out_a, out_b
+    size = np.array(length, np.int64)
+    return ragged(np.array(first_a, np.int64), size), ragged(np.array(first_b, np.int64), size)
 
 
 def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -148,21 +161,22 @@ def linked(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray)
     return keys, times
 
 
-def spelled_groups(a: list[int], b: list[int], last_a: list[int], last_b: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of every group."""
-    one, two = list(map(str, a)), list(map(str, b))
-    out, i, j = [], 0, 0
-    for x, y in zip(last_a, last_b):
-        x, y = x + 1, y + 1
-        left = one[i] if x - i == 1 else ",".join(one[i:x])
-        out.append(f"{left}|{two[j] if y - j == 1 else ','.join(two[j:y])}")
-        i, j = x, y
-    return ";".join(out)
+def spelled_groups(one: Side, two: Side, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> bytes:
+    """``a1,a2|b1;a3|b2,b3``: the ids of every group, from tables of each side's
+    ids with the mark that follows them."""
+    end_a, end_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    end_a[last_a], end_b[last_b] = True, True
+    # a token's place: those of its own side before it, and the other side's of all earlier groups
+    before_b = np.concatenate([[0], last_b[:-1] + 1])
+    out = np.empty(len(a) + len(b), object)
+    out[np.arange(len(a)) + np.repeat(before_b, np.diff(last_a, prepend=-1))] = one.spelled(b"|")[a + end_a * len(one.tokens)]
+    out[np.arange(len(b)) + np.repeat(last_a + 1, np.diff(last_b, prepend=-1))] = two.spelled(b";")[b + end_b * len(two.tokens)]
+    return b"".join(out.tolist())[:-1]
 
 
 def align(one: Side, two: Side, texts: list[str]):
-    """Per text: ids a, ids b, last token of each group in a and in b; ``None``
-    where a side's bytes are not those of the text."""
+    """Per text: ids a, ids b, last token of each group in a and in b (arrays);
+    ``None`` where a side's bytes are not those of the text."""
     full = [i for i, t in enumerate(texts) if t]
     out: list[tuple | None] = [None] * len(texts)
     some = [texts[i] for i in full]
@@ -171,7 +185,7 @@ def align(one: Side, two: Side, texts: list[str]):
         if b"".join(map(one.tokens.__getitem__, a)) != want or b"".join(map(two.tokens.__getitem__, b)) != want:
             continue
         x, y = np.array(a, np.int64), np.array(b, np.int64)
-        out[i] = (a, b, *meets(np.cumsum(one.width[x]).tolist(), np.cumsum(two.width[y]).tolist()))
+        out[i] = (x, y, *meets(np.cumsum(one.width[x]).tolist(), np.cumsum(two.width[y]).tolist()))
     return out
 
 
@@ -190,10 +204,9 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
                     if found is None:
                         rows.append((0, 0, 0, 0, "", [], []))
                         continue
-                    a, b, last_a, last_b = found
-                    keys, times = linked(np.array(a, np.int64), np.array(b, np.int64), np.array(last_a, np.int64), np.array(last_b, np.int64))
-                    digest = hashlib.sha256(spelled_groups(a, b, last_a, last_b).encode()).hexdigest()
-                    rows.append((len(a), len(b), len(last_a), int(times.sum()), digest, keys, times))
+                    keys, times = linked(*found)
+                    digest = hashlib.sha256(spelled_groups(one, two, *found)).hexdigest()
+                    rows.append((*map(len, found[:3]), int(times.sum()), digest, keys, times))
                 n_a, n_b, groups, links, digests, keys, times = zip(*rows)
                 columns = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n_a, n_b, groups, links)), pa.array(digests, pa.string()),
                            pa.array(keys, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
