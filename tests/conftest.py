@@ -6,6 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from tests.helpers import rows_of  # noqa: E402
 from voxelloom.session import get_spark  # noqa: E402
 
 
@@ -16,12 +17,6 @@ def spark():
     session.stop()
 
 
-def rows_of(array, volume=0, name="label", background=0):
-    """Sparse rows of one numpy volume."""
-    at = np.argwhere(array != background)
-    return [(volume, int(z), int(y), int(x), array[z, y, x].item()) for z, y, x in at]
-
-
 @pytest.fixture(scope="session")
 def frame(spark):
     """Label frame of one or several numpy volumes."""
@@ -39,10 +34,3 @@ def shapes(spark):
         return spark.createDataFrame([(i, *np.asarray(a).shape) for i, a in enumerate(arrays)], "volume_id long, nz long, ny long, nx long")
 
     return build
-
-
-def dense(df, shape, name="label", volume=0, dtype=np.int64):
-    out = np.zeros(shape, dtype=dtype)
-    for r in df.where(f"volume_id = {volume}").collect():
-        out[r.z, r.y, r.x] = r[name]
-    return out

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import dense
+from tests.helpers import dense
 from voxelloom.sources import chunks as CH
 from voxelloom.sources import files as FI
 from voxelloom.sources import stores as ST

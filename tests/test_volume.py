@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import dense
+from tests.helpers import dense
 from voxelloom.operators import blocks as B
 from voxelloom.operators import components as C
 from voxelloom.operators import distance as D
