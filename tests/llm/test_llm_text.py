@@ -177,6 +177,44 @@ def test_numbers_beside_other_tokens_are_found():
         assert surrogates.rewrite(text, KEY, {}) == (text, [])
 
 
+def kinds_of(text):
+    return surrogates.rewrite(text, KEY, {})[1]
+
+
+def test_names_of_many_forms():
+    for text, kinds in (("John F. Kennedy spoke", ["given", "surname"]), ("Dr. van Helsing came", ["surname"]), ("Mr. O'Brien left", ["surname"]), ("DAVID O'NEILL", ["given", "surname"]),
+                        ("Prof Ada van der Berg", ["given", "surname"]), ("Mme Dupont-Leroy", ["surname"])):
+        out, got = surrogates.rewrite(text, KEY, {})
+        assert got == kinds and out != text, text
+    out, kinds = surrogates.rewrite("Keller was late. Anna Keller sat down, Keller left. KELLER!", KEY, {})
+    words = re.findall(r"\w+", out)
+    assert kinds == ["given", "surname", "surname", "surname"] and words[0] == "Keller"  # before she is named, it may be any word
+    assert words[4] == words[7] != "Keller" and words[9] == words[7].upper()
+
+
+def test_numbers_need_a_reason():
+    for text in ("id 1719847362123", "ISBN 9780306406157", "x=12345678901234567", "pi 3.1415926535897932", "version 1.2.3.4", "v1.2.3.4 is out", "rooms 123 45 6789"):
+        assert kinds_of(text) == [], text
+    assert kinds_of("SSN 123 45 6789") == ["ssn"] and kinds_of("host 1.2.3.4 up") == ["ip"] and kinds_of("card 4222222222222 ok") == ["card"]
+    for text in ("at 2001:db8:85a3:0:0:8a2e:370:7334 now", "at fe80::1ff:fe23:4567:890a now"):
+        out, kinds = surrogates.rewrite(text, KEY, {})
+        assert kinds == ["ipv6"] and re.sub("[0-9a-f]", "x", out) == re.sub("[0-9a-f]", "x", text)
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    start = time.time()
+    for text in ("a." * 500_000, "A" * 1_000_000 + "@", "a@" * 500_000, "1 " * 500_000, "1.2." * 250_000, "Mr. " * 250_000, "A'" * 500_000, "1:" * 500_000, "Anna " * 200_000):
+        surrogates.mentions(text + " x@y ")
+    assert time.time() - start < 60
+
+
+def test_clashing_kinds_column(spark):
+    out = surrogates.pseudonymise(spark.createDataFrame([(1, "Anna Keller", "mine")], "doc_id long, text string, pii_kinds string"), KEY)
+    assert out.columns == ["doc_id", "text", "pii_kinds", "pii_kinds_"] and out.first().pii_kinds == "mine"
+
+
 def test_distinct_and_coreferent_over_the_corpus(spark):
     """More surnames and short addresses than their pools hold: all differ, and
     a name gets the same surrogate in every document."""

@@ -10,8 +10,15 @@ original; the entities that lose try again with the next attempt number until
 all are settled.
 
 Only entities whose attempt is not zero have to be told to the tasks, as the
-rest follows from the key.  Texts are not shuffled while those few documents
-are small enough to broadcast (``MAX_BROADCAST``, counted before).
+rest follows from the key.  Texts are not shuffled while what those few
+documents need is small enough to broadcast (``MAX_BROADCAST`` bytes, measured
+before).
+
+What counts: card numbers are 16 digits, or 13 to 19 with a right check digit,
+not behind a decimal point; an SSN with blanks and a dotted quad need their
+neighbourhood (a label, no "version"); a name is what follows a title or begins
+with a known given name, and, once a document has named somebody so, every
+later bare mention of that surname in it.
 """
 
 from __future__ import annotations
@@ -27,20 +34,23 @@ from pyspark.sql import functions as F
 from voxelloom.llm.common import fresh, query, table, whole_text
 from voxelloom.session import cut
 
-MAX_BROADCAST = 20_000
+MAX_BROADCAST = 32 << 20
 DEMO_KEY = b"replace-me"  # for tests and the registered query; a real run passes its own
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+#: Letters of an address before its ``@``, and what follows it; lengths are those the format allows.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,63}")
 #: Where a number may stand; whether one does is judged match by match.
 WINDOW = re.compile(r"[+(]?\d[\d()., :-]*\d")
 NUMBER = re.compile(
     r"(?:(?P<ip>(?<![\w@.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
     r"|(?P<phone>(?<![\w@])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?!\d)))"
-    r"|(?P<ssn>(?<![\w@])\d{3}-\d{2}-\d{4})"
-    r"|(?P<card>(?<![\w@])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}))"
+    r"|(?P<ssn>(?<![\w@])\d{3}(?:-\d{2}-|\x20\d{2}\x20)\d{4})"
+    r"|(?P<card>(?<![\w@.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}))"
     r"|(?P<local>(?:(?<!\d)\(\d{3}\) ?|(?<![\w@])\d{3}[ .-])\d{3}[ .-]\d{4}))(?!\w)")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 IBAN_START = re.compile(r"[A-Z]{2}\d{2} ?[A-Z0-9]{4}")
+IPV6 = re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])")
 MAC = re.compile(r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b")
 
 # Pools of common names, by script and gender; public knowledge, in no way complete.
@@ -66,9 +76,18 @@ SYLLABLES = {
 TITLES = {"Mr.": "m", "Mrs.": "f", "Ms.": "f", "Miss": "f", "Dr.": "", "Prof.": "", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f",
           "Señor": "m", "Señora": "f", "Sra.": "f", "господин": "m", "госпожа": "f", "κύριος": "m", "κυρία": "f"}
 GENDER = {n: g for (_, g), names in GIVEN.items() for n in names}
-NAME = r"[^\W\d_a-z][^\W\d_]+(?:[-'’][^\W\d_]+)*"
-TITLED = re.compile(r"(?<!\w)(%s) ((?:%s)(?: (?:%s)){0,2})" % ("|".join(map(re.escape, TITLES)), NAME, NAME))
-KNOWN = re.compile(r"(?<!\w)(%s) (%s)" % ("|".join(sorted(map(re.escape, GENDER), key=len, reverse=True)), NAME))
+# Words inside a name that stay as they are, and initials, which stay too.
+PARTICLES = "van von de der den la le di da del dos du ter ten bin ibn al el".split()
+NAME = r"[^\W\d_a-z](?:[^\W\d_]+(?:[-'’][^\W\d_]+)*|(?:[-'’][^\W\d_]+)+)"
+INNER = rf"(?:(?:{'|'.join(PARTICLES)}) |[^\W\d_a-z]\. )"
+TITLED = re.compile(r"(?<!\w)(%s)\.? ((?:%s){0,2}%s(?: %s{0,2}%s){0,2})" % ("|".join(re.escape(t.rstrip(".")) for t in TITLES), INNER, NAME, INNER, NAME))
+GIVEN_NAMES = sorted({form for n in GENDER for form in (n, n.upper())}, key=len, reverse=True)
+KNOWN = re.compile(r"(?<!\w)(%s) (?:%s{0,3}%s)" % ("|".join(map(re.escape, GIVEN_NAMES)), INNER, NAME))
+GENDER_OF = {n.casefold(): g for n, g in GENDER.items()}
+TITLE_GENDER = {t.rstrip("."): g for t, g in TITLES.items()}
+SPELLING = {n.casefold(): n for pool in (*GIVEN.values(), *SURNAMES.values()) for n in pool}
+WORDS = re.compile(rf"(?<![\w'’-]){NAME}(?![\w'’-])")
+VERSION = re.compile(r"(?:\b(?:version|release|ver|build|firmware)\.?|\bv\.?)\s*$", re.IGNORECASE)
 
 
 def script_of(word: str) -> str:
@@ -87,8 +106,13 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the mentions, left to right,
     without overlaps; on the same place the longer one counts."""
     found = []
-    if "@" in text:
-        found += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
+    at = text.find("@")
+    while at >= 0:
+        before = text[max(0, at - 64) : at]
+        local, domain = len(before) - len(before.rstrip(LOCAL)), DOMAIN.match(text, at + 1)
+        if local and domain:
+            found.append((at - local, domain.end(), "email", text[at - local : domain.end()].lower()))
+        at = text.find("@", at + 1)
     for w in WINDOW.finditer(text):
         a, b = w.span()
         if b - a < 7:
@@ -97,6 +121,12 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             kind, digits = m.lastgroup, re.sub(r"\D", "", m[0])
             if kind == "ip" and max(map(int, m[0].split("."))) > 255 or kind == "phone" and not 8 <= len(digits) <= 15:
                 continue
+            if kind == "ip" and VERSION.search(text[max(0, m.start() - 16) : m.start()]):
+                continue
+            if kind == "card" and len(digits) != 16 and not luhn(digits):
+                continue
+            if kind == "ssn" and " " in m[0] and not re.search(r"ssn|social", text[max(0, m.start() - 24) : m.start()], re.IGNORECASE):
+                continue
             if kind in ("phone", "local"):
                 kind, digits = "phone", digits[-10:] if len(digits) >= 10 else digits
             found.append((m.start(), m.end(), kind, m[0] if kind == "ip" else digits))
@@ -107,9 +137,19 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((m.start(), m.end(), "iban", plain))
     if ":" in text:
         found += [(m.start(), m.end(), "mac", m[0].lower().replace(":", "")) for m in MAC.finditer(text)]
-    for m in TITLED.finditer(text) if any(t in text for t in TITLES) else ():
-        found += names_in(m[2], m.start(2), TITLES[m[1]])
-    found += [x for m in KNOWN.finditer(text) for x in names_in(m[0], m.start(), GENDER[m[1]])]
+        found += [(m.start(), m.end(), "ipv6", m[0].lower()) for m in IPV6.finditer(text)]
+    named = [x for m in TITLED.finditer(text) for x in names_in(m[2], m.start(2), TITLE_GENDER[m[1]])] if any(t in text for t in TITLE_GENDER) else []
+    named += [x for m in KNOWN.finditer(text) for x in names_in(m[0], m.start(), GENDER_OF[m[1].casefold()])]
+    found += named
+    surnames: dict[str, tuple[int, str]] = {}
+    for x in sorted(named):
+        if x[2].startswith("surname"):
+            surnames.setdefault(x[3], (x[1], x[2]))
+    if surnames:  # somebody named in full goes by the bare surname later on
+        for m in WORDS.finditer(text, min(end for end, _ in surnames.values())):
+            known = surnames.get(m[0].casefold())
+            if known and m.start() >= known[0]:
+                found.append((m.start(), m.end(), known[1], m[0].casefold()))
     found.sort(key=lambda x: (x[0], -x[1]))
     out, end = [], 0
     for x in found:
@@ -125,8 +165,10 @@ def names_in(words: str, at: int, gender: str):
     parts = words.split(" ")
     for i, word in enumerate(parts):
         inflected = ":f" if script_of(word) == "cyrillic" and word.endswith(("ова", "ева", "ина")) else ""
-        kind = f"surname:{script_of(word)}{inflected}" if i == len(parts) - 1 else f"given:{script_of(word)}:{GENDER.get(word, gender) or 'm'}"
-        out.append((at, at + len(word), kind, word.casefold()))
+        folded = word.casefold()
+        kind = f"surname:{script_of(word)}{inflected}" if i == len(parts) - 1 else f"given:{script_of(word)}:{GENDER_OF.get(folded, gender) or 'm'}"
+        if i == len(parts) - 1 or folded not in PARTICLES and not word.endswith("."):
+            out.append((at, at + len(word), kind, folded))
         at += len(word) + 1
     return out
 
@@ -156,6 +198,11 @@ class Draw:
                 return chr(ord(a) + self.below(ord(b) - ord(a) + 1))
         return c
 
+    def like_hex(self, place: int, more: int) -> str:
+        """A hexadecimal digit, not zero at the first place of a group."""
+        first = place == 0 and not more
+        return "0123456789abcdef"[first + self.below(16 - first)]
+
     def word(self, s: str) -> str:
         return "".join(map(self.like, s))
 
@@ -180,6 +227,8 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
             low, high = {1: (1, 9), 2: (10, 99), 3: (100, 254)}[len(str(int(part)))] if not more else (1, 254)
             out.append(str(low + d.below(high - low + 1)))
         return ".".join(out)
+    if kind == "ipv6":
+        return ":".join("".join(d.like_hex(i, more) for i in range(len(group))) for group in canonical.split(":"))
     if kind == "card":
         body = canonical[0] + d.word(canonical[1:-1]) + d.word("0" * more)
         if luhn(canonical):
@@ -219,9 +268,14 @@ def dress(mention: str, kind: str, canonical: str, core: str) -> str:
         return pairs.upper() if mention.upper() == mention else pairs
     if kind == "ip":
         return core
+    if kind == "ipv6":
+        return core.upper() if mention.upper() == mention else core
     if kind == "email":
         return "".join(c.upper() if i < len(mention) and mention[i].isupper() else c for i, c in enumerate(core))
-    return core.upper() if mention.isupper() and len(mention) > 1 else core.capitalize()
+    if mention.isupper() and len(mention) > 1:
+        return core.upper()
+    named = SPELLING.get(core) or core.capitalize()
+    return named[:-1] + "ς" if named.endswith("σ") else named
 
 
 def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, list[str]]:
@@ -272,7 +326,8 @@ def settle(entities: DataFrame, key: bytes) -> DataFrame:
 
 def pseudonymise(docs: DataFrame, key: bytes, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """``docs`` with mentions replaced in ``text``, plus ``pii_kinds``
-    (array: the kind of each replaced mention, in order).
+    (array: the kind of each replaced mention, in order; ``pii_kinds_`` where
+    the input has a column of that name).
 
     Null texts become empty; texts without mentions stay as they are, and
     repeated rows come out alike.
@@ -286,10 +341,11 @@ def pseudonymise(docs: DataFrame, key: bytes, max_broadcast: int = MAX_BROADCAST
     mark = F.xxhash64("doc_id", whole_text())  # a clash would only tell a document of an entity it hasn't got
     seen = cut(docs.select(mark.alias("_k"), whole_text().alias("_text")).mapInPandas(find, "_k long, kind string, canonical string"))
     again = settle(seen.select("kind", "canonical").distinct(), key)
-    key_, again_, new_ = fresh(docs, "_k", "_again", "_new")
+    key_, again_, new_, kinds_ = fresh(docs, "_k", "_again", "_new", "pii_kinds")
     told = cut(seen.join(again, ["kind", "canonical"]).groupBy(F.col("_k").alias(key_)).agg(
         F.collect_set(F.struct("kind", "canonical", "attempt")).alias(again_)))
-    if told.limit(max_broadcast + 1).count() <= max_broadcast:
+    size = told.agg(F.sum(64 + 2 * F.octet_length(F.to_json(again_)))).first()[0] or 0
+    if size <= max_broadcast:
         told = F.broadcast(told)
 
     @F.pandas_udf("text string, kinds array<string>")
@@ -299,7 +355,7 @@ def pseudonymise(docs: DataFrame, key: bytes, max_broadcast: int = MAX_BROADCAST
 
     joined = docs.withColumn(key_, mark).join(told, key_, "left").withColumn(new_, replaced(whole_text(), F.col(again_)))
     new = F.col(new_)
-    return joined.select(*[new["text"].alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], new["kinds"].alias("pii_kinds"))
+    return joined.select(*[new["text"].alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], new["kinds"].alias(kinds_))
 
 
 @query("op3_pii_surrogates")
