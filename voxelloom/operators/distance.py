@@ -6,11 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.operators.blocks import AXES, BLOCK, gather, inner_origin, map_blocks
+from voxelloom.operators.blocks import BLOCK, gather, inner_origin, map_blocks
+from voxelloom.operators.envelope import nearest_site
 from voxelloom.operators.joins import join_small
 from voxelloom.operators.labels import offsets
 from voxelloom.operators.morphology import BOX, _inside, shifted, volume_boxes
-from voxelloom.operators.nearest import nearest
 from voxelloom.session import cut
 
 VOXEL = ["volume_id", "z", "y", "x"]
@@ -40,8 +40,8 @@ def distance(mask: DataFrame, volumes: DataFrame, radius: int = 8, spacing=(1.0,
 
     A window of ``radius`` voxels answers most of them inside one block pass.
     Only a hit no farther than the window's smallest physical half-width is
-    final; the few others are settled by a bucketed nearest join against the
-    outside voxels that touch the mask.
+    final; the others are settled by lower envelopes over the outside voxels
+    that touch the mask, among which the nearest always is.
     """
     reach = (radius,) * 3
     sure = radius * min(spacing)
@@ -62,10 +62,7 @@ def distance(mask: DataFrame, volumes: DataFrame, radius: int = 8, spacing=(1.0,
     if far.isEmpty():
         return near
     rim = _outer_rim(mask, volumes, block)
-    scale = dict(zip(AXES, spacing))
-    q = far.select("volume_id", *AXES, *[(F.col(a) * scale[a]).alias(f"_{a}") for a in AXES])
-    t = rim.select("volume_id", *[(F.col(a) * scale[a]).alias(f"_{a}") for a in AXES])
-    found = nearest(q, t, ["volume_id"], list(AXES), None, [f"_{a}" for a in AXES], [f"_{a}" for a in AXES], max(sure, max(spacing)))
+    found = nearest_site(far, rim, spacing)
     return near.where(F.col("dist").isNotNull()).unionByName(found.select(*VOXEL, "dist"))
 
 
@@ -86,8 +83,8 @@ def _outer_rim(mask: DataFrame, volumes: DataFrame, block) -> DataFrame:
 
 def grow_labels(seeds: DataFrame, mask: DataFrame) -> DataFrame:
     """Every mask voxel takes the label of its nearest seed (smallest label on ties)."""
-    found = nearest(mask.select(*VOXEL), seeds.select(*VOXEL, "label"), ["volume_id"], list(AXES), "label", list(AXES), list(AXES), 3.0)
-    return found.where(F.col("nearest_id").isNotNull()).select(*VOXEL, F.col("nearest_id").alias("label"))
+    found = nearest_site(mask.select(*VOXEL), seeds.select(*VOXEL, "label"))
+    return found.where(F.col("label").isNotNull()).select(*VOXEL, "label")
 
 
 def height_map(vox: DataFrame, dist: DataFrame, fg: str, bd: str, penalty: float | None = 2.0,

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.operators.components import pack
+from voxelloom.operators.envelope import nearest_site
 from voxelloom.operators.joins import join_small
 from voxelloom.operators.labels import overlaps_of
-from voxelloom.operators.nearest import nearest
 from voxelloom.operators.objects import bounding_box, faces_touched
 from voxelloom.operators.ordered import exact_quantiles, prefix_totals
 from voxelloom.session import cut
@@ -174,20 +173,11 @@ def surface_voxels(mask: DataFrame, block=None) -> DataFrame:
 def hausdorff95(gt: DataFrame, pred: DataFrame, volumes: DataFrame, spacing, block=None) -> DataFrame:
     """95th percentile of both directed surface distances per volume; 0 when
     both masks are empty, NULL when one is."""
-    def surface(df):
-        s = surface_voxels(df, block)
-        return s.select("volume_id", pack(F.col("z"), F.col("y"), F.col("x")).alias("_id"),
-                        *[(F.col(a) * v).alias(a) for a, v in zip(("z", "y", "x"), spacing)])
-
-    a, b = surface(gt), surface(pred)
-    xyz = ["z", "y", "x"]
-
-    def sided(first, second):
-        return cut(first.withColumn("_side", F.lit(0)).unionByName(second.withColumn("_side", F.lit(1))))
-
-    asking = sided(a, b)
+    voxel = ["volume_id", "z", "y", "x"]
+    a, b = (surface_voxels(df, block).select(*voxel) for df in (gt, pred))
+    asking = cut(a.withColumn("_side", F.lit(0)).unionByName(b.withColumn("_side", F.lit(1))))
     given = asking.withColumn("_side", 1 - F.col("_side"))
-    d = nearest(asking, given, ["volume_id", "_side"], ["_id"], None, xyz, xyz, 2 * min(spacing))
+    d = nearest_site(asking, given, spacing, ["volume_id", "_side"])
     q = exact_quantiles(d, ["volume_id"], "dist", [0.95], ["_q"])
     have = asking.select("volume_id", F.lit(True).alias("_any")).distinct()
     out = volumes.select("volume_id").join(have, "volume_id", "left").join(q, "volume_id", "left")
