@@ -1,119 +1,19 @@
-"""Seeded watershed as two fixpoints, and the segmentation pipelines on top.
-
-Fixpoint 1 finds each voxel's flooding level, the smallest possible maximum
-height on a path from a seed.  Fixpoint 2 spreads labels along steps that keep
-that level, shortest path first, smaller label on ties.  Both have exactly one
-solution, so neither block size nor partitioning changes the result.  Blocks
-relax to rest on their own and exchange one voxel layer per round.
-"""
+"""Segmentation pipelines on top of the seeded watershed."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.operators.blocks import AXES, BLOCK, map_blocks
+from voxelloom.operators.blocks import BLOCK
 from voxelloom.operators.components import components, size_filter
 from voxelloom.operators.distance import distance, height_map
-from voxelloom.operators.joins import join_small
-from voxelloom.operators.labels import offsets
+from voxelloom.operators.flood import VOXEL, watershed
 from voxelloom.operators.morphology import clean_objects
 from voxelloom.session import cut
 
-VOXEL = ["volume_id", "z", "y", "x"]
-FAR = np.iinfo(np.int64).max
-
-
-def _neighbours(a: np.ndarray, fill):
-    """The six face-shifted copies of a padded box, cut to its inner part."""
-    padded = np.pad(a, 1, constant_values=fill)
-    n = a.shape
-    for off in offsets(6):
-        yield padded[tuple(slice(1 + o, 1 + o + k) for o, k in zip(off, n))]
-
-
-def _inner_mask(shape, inner):
-    m = np.zeros(shape, dtype=bool)
-    m[inner] = True
-    return m
-
-
-def _relax_level(arrays, origin, inner, meta):
-    h, level = arrays["height"], arrays["level"]
-    start = level
-    own = _inner_mask(h.shape, inner) & np.isfinite(h)
-    while True:
-        best = np.minimum.reduce(list(_neighbours(level, np.inf)))
-        new = np.where(own, np.minimum(level, np.maximum(h, best)), level)
-        if np.array_equal(new, level):
-            break
-        level = new
-    return _rows(own, inner, origin, height=h, seed=arrays["seed"], level=level, changed=level < start)
-
-
-def _relax_label(arrays, origin, inner, meta):
-    h, level, steps, label = (arrays[n] for n in ("height", "level", "steps", "label"))
-    was_steps, was_label = steps, label
-    own = _inner_mask(h.shape, inner) & np.isfinite(level)
-    fixed = arrays["seed"] > 0
-    levels = list(_neighbours(level, np.inf))
-    while True:
-        new_s, new_l = steps, label
-        for lv, st, lb in zip(levels, _neighbours(steps, FAR), _neighbours(label, 0)):
-            tight = own & ~fixed & (lb > 0) & (np.maximum(lv, h) == level)
-            cost = np.where(tight, st + 1, FAR)
-            better = tight & ((cost < new_s) | ((cost == new_s) & (lb < new_l)))
-            new_s, new_l = np.where(better, cost, new_s), np.where(better, lb, new_l)
-        if np.array_equal(new_s, steps) and np.array_equal(new_l, label):
-            break
-        steps, label = new_s, new_l
-    return _rows(own, inner, origin, height=h, seed=arrays["seed"], level=level, steps=steps, label=label,
-                 changed=(steps != was_steps) | (label != was_label))
-
-
-def _rows(own, inner, origin, **cols) -> pd.DataFrame:
-    at = np.nonzero(own)
-    out = {a: (w + o).astype(np.int64) for a, w, o in zip(AXES, at, origin)}
-    return pd.DataFrame({**out, **{n: c[at] for n, c in cols.items()}})
-
-
-_STATE1 = "z long, y long, x long, height double, seed long, level double, changed boolean"
-_STATE2 = "z long, y long, x long, height double, seed long, level double, steps long, label long, changed boolean"
-_COLS1 = {"height": (np.float64, np.inf), "seed": (np.int64, 0), "level": (np.float64, np.inf)}
-_COLS2 = {**_COLS1, "steps": (np.int64, FAR), "label": (np.int64, 0)}
-
-
-def _to_rest(state: DataFrame, kernel, schema, columns, block) -> DataFrame:
-    resting = None
-    while True:
-        state = cut(map_blocks(state, kernel, schema, columns, block, lo=(1, 1, 1), hi=(1, 1, 1), core_only=True))
-        busy = cut(state.where("changed").select("volume_id").distinct())
-        if busy.isEmpty():
-            return state if resting is None else resting.unionByName(state)
-        # volumes at rest leave the loop
-        done = join_small(state, busy, ["volume_id"], "left_anti", materialise=False)
-        resting = done if resting is None else resting.unionByName(done)
-        state = join_small(state, busy, ["volume_id"], "left_semi", materialise=False)
-
-
-def watershed(height: DataFrame, seeds: DataFrame, block=BLOCK) -> DataFrame:
-    """``volume_id, z, y, x, label`` for the mask voxels a seed can reach.
-
-    ``height``: mask voxels with ``height``.  ``seeds``: voxels with ``label``.
-    """
-    start = height.select(*VOXEL, "height").join(
-        seeds.select(*VOXEL, F.col("label").alias("seed")), VOXEL, "left").withColumn("seed", F.coalesce("seed", F.lit(0)))
-    start = start.withColumn("level", F.when(F.col("seed") > 0, F.col("height")).otherwise(F.lit(float("inf"))))
-    flooded = _to_rest(start, _relax_level, _STATE1, _COLS1, block)
-    ready = flooded.drop("changed").where(F.col("level") < float("inf")).select(
-        "*", F.when(F.col("seed") > 0, 0).otherwise(F.lit(int(FAR))).cast("long").alias("steps"), F.col("seed").alias("label"))
-    done = _to_rest(ready, _relax_label, _STATE2, _COLS2, block)
-    return done.where(F.col("label") > 0).select(*VOXEL, "label")
-
 
 @dataclass(frozen=True)
 class SegParams:
