@@ -237,3 +237,20 @@ def test_surrogates_odd_rows(odd, none):
     out = surrogates.pseudonymise(odd, KEY)
     assert out.columns == [*odd.columns, "pii_kinds"] and out.count() == odd.count()
     assert surrogates.pseudonymise(none, KEY).count() == 0
+
+
+def test_rest_of_a_touched_run_is_a_candidate():
+    text = "x1y2z3w4v5u6t7s8-" + "0123456789abcdef" * 2 + "=Qq9Ww8Ee7Rr6Tt5Yy4 k=" + "ab" * 3
+    spans = secret_scan.base_spans(text)
+    assert [text[a:e] for a, _, e, _ in spans] == ["0123456789abcdef" * 2]
+    assert secret_scan.candidates(text, spans) == [(0, "x1y2z3w4v5u6t7s8-"), (49, "=Qq9Ww8Ee7Rr6Tt5Yy4")]
+    assert secret_scan.candidates(text, []) == [(0, text.split(" ")[0])]
+
+
+def test_secret_scan_is_linear():
+    import time
+
+    text = ("0" * 32 + " secret=abcdefgh " + "Q" * 20 + " ") * 20_000
+    start = time.time()
+    spans = secret_scan.base_spans(text)
+    assert len(secret_scan.candidates(text, spans)) == 20_000 and time.time() - start < 10

@@ -59,11 +59,28 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, spans) -> list[tuple[int, str]]:
-    """Runs of token characters that no base span touches."""
-    runs = [(m.start(), m[0]) for m in RUN.finditer(text)]
-    if not spans:
-        return runs
-    return [(s, r) for s, r in runs if not any(s < e and a < s + len(r) for a, _, e, _ in spans)]
+    """Runs of token characters outside the base spans; of a run that one
+    touches, the parts that are left and long enough."""
+    covered: list[list[int]] = []
+    for start, _, end, _ in spans:  # by start
+        if covered and start <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
+    out, i = [], 0
+    for m in RUN.finditer(text):
+        at, stop = m.span()
+        while i < len(covered) and covered[i][1] <= at:
+            i += 1
+        j = i
+        while j < len(covered) and covered[j][0] < stop:
+            if covered[j][0] - at >= MIN_RUN:
+                out.append((at, text[at : covered[j][0]]))
+            at = covered[j][1]
+            j += 1
+        if stop - at >= MIN_RUN:
+            out.append((at, text[at:stop]))
+    return out
 
 
 def transitions(strings: list[str]) -> np.ndarray:
