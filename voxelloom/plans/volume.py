@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelloom.fixtures import VOX
@@ -190,6 +194,19 @@ def _(t):
     return O.voxel_count(W.segment(probabilities(t), t.volumes, p, radius=3, block=SMALL_BLOCK))
 
 
+@query("vol_12_presets")
+def _(t):
+    """Every named parameter set, with sizes that suit these small volumes: objects and voxels per volume."""
+    v, parts = probabilities(t), []
+    for name, preset in W.PRESETS.items():
+        p = replace(preset, min_size=min(preset.min_size, 20), seed_min_size=min(preset.seed_min_size, 3),
+                    seed_distance=preset.seed_distance and 1.2, clean=preset.clean and (8, 1, 1))
+        found = W.segment(v, t.volumes, p, radius=3, block=SMALL_BLOCK).groupBy("volume_id").agg(
+            F.countDistinct("label").alias("objects"), F.count(F.lit(1)).alias("voxels"))
+        parts.append(t.volumes.select(F.lit(name).alias("preset"), "volume_id").join(found, "volume_id", "left").fillna(0, ["objects", "voxels"]))
+    return reduce(DataFrame.unionByName, parts).select("preset", "volume_id", "objects", "voxels")
+
+
 @query("vol_13_grow_labels", f"""{VOX}, s AS (SELECT volume_id, z, y, x, gt label FROM vox WHERE gt>0 AND raw<30), m AS (SELECT volume_id, z, y, x FROM vox WHERE gt>0 OR pred>0),
   d AS (SELECT m.*, label, (m.z-s.z)*(m.z-s.z)+(m.y-s.y)*(m.y-s.y)+(m.x-s.x)*(m.x-s.x) q FROM m JOIN s USING (volume_id))
   SELECT volume_id, z, y, x, label FROM (SELECT *, row_number() OVER (PARTITION BY volume_id,z,y,x ORDER BY q, label) r FROM d) WHERE r=1""")
