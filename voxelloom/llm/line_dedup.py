@@ -14,16 +14,16 @@ Word counts live in a table of fixed size (``2 ** BUCKET_BITS`` hash buckets),
 read as a session variable; a word whose bucket counts one can have no partner
 and is not joined.  Equal sets are one row of the join, with map-side combining,
 however many lines have them.  Words with more than ``2 ** HOT_BITS`` lines are
-joined in two steps, so that a large group of similar lines does not meet in all
-pairs: first each line meets the earliest line of the word, and only lines that are
-not similar to it go on to meet all the others.
+joined in rounds, so that a large group of similar lines does not meet in all
+pairs: in each round every open line meets the earliest open line of the word,
+and only lines that are similar to none of these go on to meet all the others.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelloom.llm.common import fresh, query, table, whole_text
@@ -31,6 +31,8 @@ from voxelloom.session import cut
 
 THRESHOLD = 0.8
 BUCKET_BITS, FLAG_BITS, BLOCK, HOT_BITS = 22, 21, 1024, 8
+ROUNDS = 2  # of leaders; what they leave open still meets all lines
+WINDOWS = (1, 8)  # candidates of a line up to which it is compared in the first steps
 LEVELS = 3  # per doubling of the count
 LONG = 96  # words from which a line has the wide sketch too
 LEVEL_SHIFT = 57
@@ -129,7 +131,9 @@ def wide(quarter: int) -> Column:
 def distinct_lines(lines: DataFrame, level: Column, t: float) -> DataFrame:
     """One row per distinct line with words, materialised: ``sid, h1, h2, pos``
     (its first place), ``n`` words, sketches ``s`` and ``x``, and ``prefix`` from place ``skip`` on."""
-    sets = lines.select("h1", "h2", "_pos", F.array_distinct(hashes_of(F.col("line"))).alias("_set")).where(F.size("_set") > 0)
+    # a test on the set itself would be pushed below it and hash every word twice
+    some = lines.where(F.length(F.translate("line", BLANKS, "")) > 0)
+    sets = some.select("h1", "h2", "_pos", F.array_distinct(hashes_of(F.col("line"))).alias("_set"))
     size = F.size("_set")
     sketch = F.expr("aggregate(_set, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)))")
     full = sets.select("h1", "h2", "_pos", size.alias("n"), sketch.alias("s"), *[wide(q).alias(f"x{q}") for q in range(4)], F.slice(ordered(level), F.lit(1), prefix_length(size, t)).alias("_front"))
@@ -165,18 +169,24 @@ def verify(pairs: DataFrame, sets: DataFrame, lines: DataFrame, t: float) -> Dat
     similar, materialised.
 
     One similar earlier line is enough, so each later line is compared with its
-    earliest partner first, and only those that fail with all the others.
+    earliest partner first, those that fail with the next few, and only lines
+    that fail all of these with all the others.
     """
     place = sets.select("sid", "pos", "h1")
     known = pairs.distinct()
     for side in "ab":
         known = known.join(place.select(F.col("sid").alias(side), F.struct("pos", "h1").alias(f"at_{side}")), side)
     swap = F.col("at_b") < F.col("at_a")
-    known = cut(known.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("late"), F.greatest("at_a", "at_b").alias("at"), F.least("at_a", "at_b").alias("before")))
-    first = cut(similar(known.groupBy("late", "at").agg(F.min("before").alias("before")), lines, t))
-    rest = known.join(first, "late", "left_anti")
-    rest = rest.join(known.groupBy("late").agg(F.min("before").alias("before")), ["late", "before"], "left_anti")
-    return first.unionByName(cut(similar(rest, lines, t).distinct()))
+    known = known.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("late"), F.greatest("at_a", "at_b").alias("at"), F.least("at_a", "at_b").alias("before"))
+    place = F.row_number().over(Window.partitionBy("late").orderBy("before"))
+    known = cut(known.withColumn("place", place))
+    settled, low = None, 0
+    for high in (*WINDOWS, None):
+        some = known.where(F.col("place") > low) if high is None else known.where(F.col("place").between(low + 1, high))
+        some = some.drop("place") if settled is None else cut(some.drop("place").join(settled, "late", "left_anti"))
+        found = cut(similar(some, lines, t).distinct())
+        settled, low = found if settled is None else settled.unionByName(found), high
+    return settled
 
 
 def similar(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
@@ -204,19 +214,34 @@ def late_lines(sets: DataFrame, lines: DataFrame, t: float) -> DataFrame:
     pairs = cold.alias("a").join(cold.alias("b"), F.col("a.word") == F.col("b.word")).where((F.col("a.sid") < F.col("b.sid")) & near(t)).select(*pair())
 
     def often(some):
-        return postings(some, "sid", "pos", *SKETCH).where(word >= hot)
+        return postings(some, "sid", "pos", "h1", *SKETCH).where(word >= hot)
 
-    first = often(sets).groupBy("word").agg(F.min(F.struct("pos", "sid", *SKETCH, "i")).alias("a"), F.count(F.lit(1)).alias("lists")).where("lists > 1")
     ahead = F.struct("a.pos", "a.sid") < F.struct("b.pos", "b.sid")
-    led = often(sets).alias("b").join(first.select(F.col("word").alias("w"), "a"), F.col("b.word") == F.col("w")).where(near(t) & ahead)
-    settled = verify(led.select(*pair()), sets, lines, t)
-    with Lookup(flags(settled.select(F.col("late").alias("key"))), "TINYINT") as flag:
-        maybe = flagged(flag, "sid")
-        open_ = sets.where(~maybe).unionByName(sets.where(maybe).join(settled, F.col("sid") == F.col("late"), "left_anti"))
+    settled, open_ = None, sets
+    for _ in range(ROUNDS):
+        found = led(often(open_), near(t) & ahead, lines, t)
+        settled = found if settled is None else settled.unionByName(found)
+        open_ = without(open_, found)
     rest = often(sets).alias("a").join(often(open_).alias("b"), F.col("a.word") == F.col("b.word")).where(near(t) & ahead).select(*pair())
     return settled.unionByName(verify(pairs.unionByName(rest), sets, lines, t)).select(F.col("late").alias("sid")).distinct()
 
 
+def led(posted: DataFrame, ahead: Column, lines: DataFrame, t: float) -> DataFrame:
+    """``late``: the lines similar to the earliest line of one of their words; of
+    several such lines the first is compared, the others are left to later steps."""
+    first = posted.groupBy("word").agg(F.min(F.struct("pos", "sid", "h1", *SKETCH, "i")).alias("a"), F.count(F.lit(1)).alias("lists")).where("lists > 1")
+    met = posted.alias("b").join(first.select(F.col("word").alias("w"), "a"), F.col("b.word") == F.col("w")).where(ahead)
+    pairs = met.select(F.col("b.sid").alias("late"), F.struct("b.pos", "b.h1").alias("at"), F.struct("a.pos", "a.h1").alias("before"))
+    return cut(similar(cut(pairs.groupBy("late", "at").agg(F.min("before").alias("before"))), lines, t))
+
+
+def without(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """``sets`` less those in ``found.late``; a bucket table spares most of them the join."""
+    with Lookup(flags(found.select(F.col("late").alias("key"))), "TINYINT") as flag:
+        maybe = flagged(flag, "sid")
+        return sets.where(~maybe).unionByName(sets.where(maybe).join(found, F.col("sid") == F.col("late"), "left_anti"))
+
+
 def removals(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """``doc_id, _th, removed``: per document (id and text hash) the ascending
     numbers of the lines that go.
