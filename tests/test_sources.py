@@ -155,3 +155,53 @@ def test_manifest_by_extension(spark, tmp_path):
         put(tmp_path, name, b"1")
     names = [sorted(r.path.rsplit("/", 1)[1] for r in FI.manifest(spark, str(tmp_path), g).collect()) for g in ("*.zarr", "*.h5")]
     assert names == [["a.zarr", "c.zarr"], ["b.h5"]]
+
+
+def read_back(spark, root, shape, volume):
+    rows = CH.decode(ST.read_zarr(ST.zarr_plan(ST.zarr_catalog(spark, str(root)))))
+    number = F.regexp_extract("volume_id", r"(\d+)\.zarr", 1).cast("long")
+    return dense(rows.withColumn("volume_id", number), shape, volume=volume)
+
+
+def test_copy_takes_equal_shapes_only(spark, tmp_path, frame, shapes):
+    rng = np.random.default_rng(1)
+    a, b, c = rng.integers(0, 4, (5, 6, 7)), rng.integers(1, 4, (4, 4, 4)), np.zeros((3, 3, 3), int)
+    parts = CH.encode(frame(a, b, c), "label", shapes(a, b, c), block=(2, 4, 4))
+    guard = shapes(a, np.zeros((4, 4, 5)), c)
+    out = ST.copy_guarded(parts, shapes(a, b, c), guard, str(tmp_path), "labels/m", (2, 4, 4), "r1")
+    got = {r.volume_id: (r.copied, r.chunks) for r in out.collect()}
+    assert got == {0: (True, 12), 1: (False, 0), 2: (True, 0)}
+    assert np.array_equal(read_back(spark, tmp_path, a.shape, 0), a)
+    assert not (tmp_path / "1.zarr").exists()
+    assert json.loads((tmp_path / "2.zarr/labels/m/.zarray").read_text())["shape"] == [3, 3, 3]
+    # the same run again changes nothing, another one does not overwrite
+    before = (tmp_path / "0.zarr/labels/m/0.0.0").stat().st_mtime_ns
+    again = ST.copy_guarded(parts, shapes(a, b, c), guard, str(tmp_path), "labels/m", (2, 4, 4), "r1")
+    assert {r.volume_id: (r.copied, r.chunks) for r in again.collect()} == got
+    assert (tmp_path / "0.zarr/labels/m/0.0.0").stat().st_mtime_ns == before
+    assert not (tmp_path / ".copy-r1/0").exists()
+    with pytest.raises(Exception, match="not of this copy"):
+        ST.copy_guarded(parts, shapes(a, b, c), guard, str(tmp_path), "labels/m", (2, 4, 4), "r2")
+
+
+def test_failed_copy_leaves_no_array(spark, tmp_path, frame, shapes):
+    a = np.random.default_rng(2).integers(0, 4, (6, 6, 6))
+    parts = CH.encode(frame(a), "label", shapes(a), block=(2, 4, 4))
+    broken = parts.withColumn("dtype", F.when(F.col("z0") == 4, "<f8").otherwise(F.col("dtype")))
+    with pytest.raises(Exception, match="chunk of <f8"):
+        ST.copy_guarded(broken, shapes(a), shapes(a), str(tmp_path), "labels/m", (2, 4, 4), "r1")
+    assert not (tmp_path / "0.zarr").exists()
+    ST.copy_guarded(parts, shapes(a), shapes(a), str(tmp_path), "labels/m", (2, 4, 4), "r1")
+    assert np.array_equal(read_back(spark, tmp_path, a.shape, 0), a)
+    assert not [p for p in (tmp_path / "0.zarr/labels/m").iterdir() if len(p.name) > 8]  # no file of an attempt
+
+
+def test_commit_survives_a_lost_attempt(tmp_path):
+    from types import SimpleNamespace
+
+    row = SimpleNamespace(volume_id=7, nz=2, ny=2, nx=2, chunks=1, bytes=3)
+    ST._stage(str(tmp_path), "r", 7, "0.0.0", b"abc")
+    meta = ST.array_file(row, (2, 2, 2), "zlib", "<i8")
+    for _ in range(2):  # the second attempt finds the array in place
+        ST.commit_array(row, str(tmp_path), "m", "r", meta)
+    assert (tmp_path / "7.zarr/m/0.0.0").read_bytes() == b"abc"

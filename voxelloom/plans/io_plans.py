@@ -202,6 +202,16 @@ def _(t):
     return FI.guarded_copy(t.volumes, target, ["volume_id"]).select("volume_id", "nz", "ny", "nx")
 
 
+@query("src_15_copied_arrays", f"{VOX} SELECT volume_id, z, y, x, gt AS label FROM vox JOIN vol USING (volume_id) WHERE gt>0 AND nz%4=0")
+def _(t):
+    """Chunks are copied for equal shapes only; what the new arrays hold is read back."""
+    target = t.volumes.withColumn("nz", (F.floor((F.col("nz") + 3) / 4) * 4).cast("long"))
+    parts = CH.encode(t.labels("gt"), "label", t.volumes, "<i8", SMALL_BLOCK)
+    root = staging(t, "copied")
+    drain(ST.copy_guarded(parts, t.volumes, target, root, "labels/mito", SMALL_BLOCK, "first"))
+    return CH.decode(ST.read_zarr(ST.zarr_plan(ST.zarr_catalog(t.spark, root)))).withColumn("volume_id", volume_number())
+
+
 @query("stm_1_pick_up", f"{VOX} SELECT volume_id, gt AS label, count(*) volume_vx FROM vox WHERE gt>0 GROUP BY 1,2")
 def _(t):
     """New voxel files are measured once; the per-batch partial counts add up."""

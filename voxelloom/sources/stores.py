@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import uuid
 import zlib
 
 import numpy as np
@@ -16,7 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.session import parallelism
+from voxelloom.operators.joins import join_small
+from voxelloom.session import cut, parallelism
+from voxelloom.sources.files import guarded_copy
 
 CHUNK = ("volume_id string, key string, z0 long, y0 long, x0 long, nz int, ny int, nx int, dtype string, data binary")
 
@@ -152,6 +155,23 @@ def read_zarr(plan: DataFrame) -> DataFrame:
     return spread.mapInPandas(load, CHUNK.replace("key string,", "key string, channel long,"))
 
 
+def chunk_file(r, block, codec: str, dtype: str) -> tuple[str, bytes]:
+    """Name and content of the file of one chunk row, padded to a full block."""
+    if np.dtype(r.dtype) != np.dtype(dtype):
+        raise ValueError(f"chunk of {r.dtype} in an array of {dtype}")
+    box = np.zeros(block, dtype=r.dtype)
+    box[:r.nz, :r.ny, :r.nx] = np.frombuffer(r.data, dtype=r.dtype).reshape(r.nz, r.ny, r.nx)
+    name = ".".join(str(int(o) // b) for o, b in zip((r.z0, r.y0, r.x0), block))
+    return name, zlib.compress(box.tobytes()) if codec == "zlib" else box.tobytes()
+
+
+def array_file(r, block, codec: str, dtype: str) -> bytes:
+    """Array metadata of a row with ``nz, ny, nx``."""
+    spec = {"zarr_format": 2, "shape": [int(r.nz), int(r.ny), int(r.nx)], "chunks": list(block), "dtype": np.dtype(dtype).str, "order": "C",
+            "compressor": {"id": "zlib", "level": 1} if codec == "zlib" else None, "fill_value": 0, "filters": None}
+    return json.dumps(spec).encode()
+
+
 def write_zarr(chunks: DataFrame, volumes: DataFrame, root: str, key: str, block, codec: str = "zlib", attrs: dict | None = None,
                dtype: str = "<i8", array_attrs: dict | None = None) -> DataFrame:
     """Write chunk rows as ``<root>/<volume_id>.zarr/<key>`` and return one row
@@ -165,22 +185,15 @@ def write_zarr(chunks: DataFrame, volumes: DataFrame, root: str, key: str, block
         for pdf in frames:
             names = []
             for r in pdf.itertuples(index=False):
-                if np.dtype(r.dtype) != np.dtype(dtype):
-                    raise ValueError(f"chunk of {r.dtype} in an array of {dtype}")
-                box = np.zeros(block, dtype=r.dtype)
-                box[:r.nz, :r.ny, :r.nx] = np.frombuffer(r.data, dtype=r.dtype).reshape(r.nz, r.ny, r.nx)
-                name = ".".join(str(o // b) for o, b in zip((r.z0, r.y0, r.x0), block))
-                data = box.tobytes()
-                write_bytes(f"{root}/{r.volume_id}.zarr/{key}/{name}", zlib.compress(data) if codec == "zlib" else data)
+                name, data = chunk_file(r, block, codec, dtype)
+                write_bytes(f"{root}/{r.volume_id}.zarr/{key}/{name}", data)
                 names.append([str(r.volume_id), name])
             yield pd.DataFrame(names, columns=["volume_id", "chunk"])
 
     def put_meta(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                spec = {"zarr_format": 2, "shape": [int(r.nz), int(r.ny), int(r.nx)], "chunks": list(block), "dtype": np.dtype(dtype).str, "order": "C",
-                        "compressor": {"id": "zlib", "level": 1} if codec == "zlib" else None, "fill_value": 0, "filters": None}
-                write_bytes(f"{root}/{r.volume_id}.zarr/{key}/.zarray", json.dumps(spec).encode())
+                write_bytes(f"{root}/{r.volume_id}.zarr/{key}/.zarray", array_file(r, block, codec, dtype))
                 write_bytes(f"{root}/{r.volume_id}.zarr/.zattrs", json.dumps(attrs or {}).encode())
                 if array_attrs:
                     write_bytes(f"{root}/{r.volume_id}.zarr/{key}/.zattrs", json.dumps(array_attrs).encode())
@@ -191,6 +204,96 @@ def write_zarr(chunks: DataFrame, volumes: DataFrame, root: str, key: str, block
     return need.mapInPandas(put_chunk, out).unionByName(volumes.select("volume_id", "nz", "ny", "nx").mapInPandas(put_meta, out))
 
 
+def copy_guarded(chunks: DataFrame, source: DataFrame, target: DataFrame, root: str, key: str, block, run: str,
+                 codec: str = "zlib", dtype: str = "<i8") -> DataFrame:
+    """Copy chunk rows into ``<root>/<volume_id>.zarr/<key>`` for the volumes of
+    ``source`` whose shape ``target`` has too (one row per volume in each), in two
+    phases; per volume of ``source``: ``volume_id, copied, chunks, bytes``.
+
+    Tasks first stage chunk files outside the stores, each under a name of the
+    attempt that is then renamed, so a repeated or speculative attempt replaces a
+    whole file by the same bytes.  Only when all are staged does one task per
+    volume add metadata and rename the staged folder to the array.  Until then a
+    reader sees no array, and afterwards a whole one; a failed run leaves nothing
+    but its staging folder, and a run repeated under the same name ``run`` starts
+    over.  A volume that ``run`` has committed already stays as it is; an array of any
+    other origin is never overwritten, the copy fails.  The folder rename is
+    atomic on file systems where rename is.  Volumes without chunk rows become
+    arrays of fill value; a volume of another or unknown shape is not copied.
+    """
+    fits = cut(guarded_copy(source.select("volume_id", "nz", "ny", "nx"), target, ["volume_id"]))
+    need = join_small(chunks.select("volume_id", "z0", "y0", "x0", "nz", "ny", "nx", "dtype", "data"), fits.select("volume_id"), ["volume_id"],
+                      "left_semi", materialise=False)
+    id_type = source.schema["volume_id"].dataType.simpleString()
+
+    def stage(frames):
+        for pdf in frames:
+            done = []
+            for r in pdf.itertuples(index=False):
+                name, data = chunk_file(r, block, codec, dtype)
+                _stage(root, run, r.volume_id, name, data)
+                done.append([r.volume_id, name, len(data)])
+            yield pd.DataFrame(done, columns=["volume_id", "chunk", "bytes"])
+
+    staged = cut(need.mapInPandas(stage, f"volume_id {id_type}, chunk string, bytes long"))  # all staged before any is committed
+    written = staged.groupBy("volume_id", "chunk").agg(F.max("bytes").alias("bytes")).groupBy("volume_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum("bytes").alias("bytes"))
+    zero = F.lit(0).cast("long")
+    ready = fits.join(written, "volume_id", "left").select("volume_id", "nz", "ny", "nx", F.coalesce("chunks", zero).alias("chunks"), F.coalesce("bytes", zero).alias("bytes"))
+
+    def commit(frames):
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                commit_array(r, root, key, run, array_file(r, block, codec, dtype))
+            yield pdf[["volume_id", "chunks", "bytes"]]
+
+    copied = cut(ready.mapInPandas(commit, f"volume_id {id_type}, chunks long, bytes long"))
+    return source.select("volume_id").join(copied, "volume_id", "left").select(
+        "volume_id", F.col("chunks").isNotNull().alias("copied"), F.coalesce("chunks", zero).alias("chunks"), F.coalesce("bytes", zero).alias("bytes"))
+
+
+def _staged(root: str, run: str, volume) -> str:
+    return f"{root}/.copy-{run}/{volume}"
+
+
+def _stage(root: str, run: str, volume, name: str, data: bytes) -> None:
+    """Write a file aside and rename it into the staged folder, so that it is whole there at any time."""
+    own, uri = f"{_staged(root, run, '.attempts')}/{uuid.uuid4().hex}", f"{_staged(root, run, volume)}/{name}"
+    write_bytes(own, data)
+    system, path = _open(uri)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    system.move(_open(own)[1], path)
+
+
+def commit_array(r, root: str, key: str, run: str, meta: bytes) -> None:
+    """Rename the staged folder of volume ``r`` to its array, once per run."""
+    from pyarrow import fs
+
+    final, origin = f"{root}/{r.volume_id}.zarr/{key}", {"copied_by": run, "chunks": int(r.chunks), "bytes": int(r.bytes)}
+    system, path = _open(final)
+    folder = _open(_staged(root, run, r.volume_id))[1]
+
+    def committed() -> bool:
+        if system.get_file_info(path).type == fs.FileType.NotFound:
+            return False
+        if json.loads(_read(f"{final}/.zattrs") or b"{}").get("copied_by") != run:
+            raise FileExistsError(f"{final} exists and is not of this copy")
+        return True
+
+    if committed():
+        if system.get_file_info(folder).type != fs.FileType.NotFound:
+            system.delete_dir(folder)  # staged once more by a repeated run
+        return
+    _stage(root, run, r.volume_id, ".zattrs", json.dumps(origin).encode())
+    _stage(root, run, r.volume_id, ".zarray", meta)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    try:
+        system.move(folder, path)
+    except OSError:
+        if not committed():  # another attempt may have been quicker
+            raise
+
+
 # ------------------------------------------------------------------ MRC
 # MRC mode numbers and the header length in bytes.
 MRC_MODES = {0: "<i1", 1: "<i2", 2: "<f4", 6: "<u2", 12: "<f2"}
