@@ -243,3 +243,15 @@ def _(t):
     (ledger.writeStream.outputMode("complete").option("checkpointLocation", check)
      .trigger(availableNow=True).foreachBatch(keep).start().awaitTermination())
     return rounded(t.spark.read.parquet(f"{out}/latest"), "mean_value")
+
+
+@query("stm_2_ledger_updates", "SELECT event_type run_id, count(*) files, round(avg(value),6) mean_value FROM events GROUP BY 1")
+def _(t):
+    """The ledger in update mode with bounded state; all scores arrive again after a restart."""
+    folder, out, check = staging(t, "scores"), staging(t, "ledger"), staging(t, "progress")
+    scores = t.table("events").selectExpr("event_type run_id", "event_id file", "cast(ts as timestamp) scored", "value")
+    for _ in range(2):
+        scores.write.mode("append").parquet(folder)
+        stream = t.spark.readStream.schema(scores.schema).parquet(folder)
+        J.keep_ledger(stream, out, check, "run_id", "file", ["value"], "scored", "60 days").awaitTermination()
+    return rounded(J.read_ledger(t.spark, out, "run_id"), "mean_value")

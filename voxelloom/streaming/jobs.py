@@ -37,3 +37,22 @@ def running_means(stream: DataFrame, run: str, file: str, metrics: list[str], ti
     once = (stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([run, file]) if time
             else stream.dropDuplicates([run, file]))
     return once.groupBy(run).agg(F.count(F.lit(1)).alias("files"), *[F.avg(m).alias(f"mean_{m}") for m in metrics])
+
+
+def keep_ledger(stream: DataFrame, path: str, checkpoint: str, run: str, file: str, metrics: list[str], time: str, delay: str = "1 day"):
+    """Start the ledger in update mode: every batch writes only the runs it
+    changed, into a folder of its own that a replayed batch overwrites.
+
+    State is one row per run and, for ``delay``, one per file.  A score that
+    comes later than ``delay`` behind the newest one is not counted.
+    """
+    means = running_means(stream, run, file, metrics, time, delay)
+    return (means.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+            .foreachBatch(batch_to_table(lambda batch: batch, path)).start())
+
+
+def read_ledger(spark: SparkSession, path: str, run: str) -> DataFrame:
+    """The newest row of each run."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (run, "batch")]
+    return rows.groupBy(run).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(run, *[F.col(f"_v.{c}") for c in values])
