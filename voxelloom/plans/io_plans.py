@@ -19,6 +19,7 @@ from voxelloom.session import shared_dir
 from voxelloom.sources import chunks as CH
 from voxelloom.sources import files as FI
 from voxelloom.sources import stores as ST
+from voxelloom.sources import zarr_source as ZS
 from voxelloom.streaming import jobs as J
 
 VK = ["volume_id", "z", "y", "x"]
@@ -59,8 +60,7 @@ def _(t):
 
 @query("src_2_zarr_pruned", f"{VOX} SELECT volume_id, z, y, x, gt AS label FROM vox WHERE gt>0 AND x>=16")
 def _(t):
-    plan = CH.prune(ST.zarr_plan(ST.zarr_catalog(t.spark, zarr_store(t))), x=(16, None))
-    return CH.decode(ST.read_zarr(plan)).withColumn("volume_id", volume_number())
+    return CH.decode(ZS.scan_zarr(t.spark, zarr_store(t), keys=["labels/mitochondria"], x=(16, None))).withColumn("volume_id", volume_number())
 
 
 @query("src_3_mrc_scan", f"{VOX} SELECT volume_id, z, count(*) n, sum(raw)::BIGINT total, 1.0::DOUBLE nm_z FROM vox WHERE raw>0 GROUP BY 1,2")

@@ -11,6 +11,7 @@ import gzip
 import json
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,31 +53,57 @@ def write_bytes(uri: str, data: bytes) -> None:
 
 
 # ------------------------------------------------------------------ Zarr v2
-def _members(spark: SparkSession, root: str) -> DataFrame:
-    """Folders inside stores that may hold an array or a group: every folder
-    with chunk files and its ancestors up to the store.  (Spark's file listing
-    leaves dot files out, so metadata is fetched by name in the tasks.)"""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    inside = F.regexp_extract("path", r"\.zarr/(.*)/[^/]*$", 1)
-    parts = F.split(inside, "/")
-    keys = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    return (files.where(F.col("path").contains(".zarr/"))
-            .select(F.regexp_extract("path", r"^(.*?\.zarr)/", 1).alias("volume_id"), F.explode(keys).alias("key")).distinct())
+def _folders(uri: str) -> list[str]:
+    """Names of the folders in a folder; none if it does not exist."""
+    from pyarrow import fs
+
+    system, path = _open(uri)
+    found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return sorted(f.base_name for f in found if f.type == fs.FileType.Directory)
+
+
+def stores_under(root: str) -> list[str]:
+    """Stores (folders named ``*.zarr``) at any depth below ``root``, which may
+    be one itself; hidden folders are left out.  Nothing inside a store is listed."""
+    root = root.rstrip("/")
+    if root.endswith(".zarr"):
+        return [root]
+    return [s for name in _folders(root) if name[0] not in "._" for s in stores_under(f"{root}/{name}")]
+
+
+def store_files(store: str, name: str) -> Iterator[tuple[str, str]]:
+    """(key, text) of the metadata files ``name`` of a store: from consolidated
+    metadata where there are any, else folder by folder.  Arrays are leaves: a
+    folder with array metadata is not listed, however many chunk files it has."""
+    whole = _read(f"{store}/.zmetadata")
+    if whole is not None:
+        for path, spec in sorted(json.loads(whole)["metadata"].items()):
+            key, _, last = path.rpartition("/")
+            if last == name:
+                yield key, json.dumps(spec)
+        return
+    keys = [""]
+    while keys:
+        key = keys.pop()
+        here = f"{store}/{key}".rstrip("/")
+        array = _read(f"{here}/.zarray")
+        text = array if name == ".zarray" else _read(f"{here}/{name}")
+        if text is not None:
+            yield key, text.decode()
+        if array is None:
+            keys += [f"{key}/{f}".lstrip("/") for f in _folders(here)]
 
 
-def _fetch(members: DataFrame, name: str) -> DataFrame:
-    """``volume_id, key, json`` of the metadata files that exist."""
+def _fetch(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """``volume_id, key, json`` of the metadata files of all stores, read in tasks; the driver lists stores only."""
 
     def load(frames):
         for pdf in frames:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                raw = _read("/".join(p for p in (r.volume_id, r.key, name) if p))
-                if raw is not None:
-                    rows.append([r.volume_id, r.key, raw.decode()])
+            rows = [[store, *file] for store in pdf["volume_id"] for file in store_files(store, name)]
             yield pd.DataFrame(rows, columns=["volume_id", "key", "json"])
 
-    return members.mapInPandas(load, "volume_id string, key string, json string")
+    stores = spark.createDataFrame([(s,) for s in stores_under(root)], "volume_id string")
+    return stores.repartition(parallelism(spark), "volume_id").mapInPandas(load, "volume_id string, key string, json string")
 
 
 def zarr_catalog(spark: SparkSession, root: str) -> DataFrame:
@@ -88,7 +115,7 @@ def zarr_catalog(spark: SparkSession, root: str) -> DataFrame:
     """
     spec = F.from_json("json", "shape array<long>, chunks array<long>, dtype string, compressor struct<id:string>, fill_value double, "
                                "dimension_separator string, order string, filters array<struct<id:string>>")
-    found = _fetch(_members(spark, root), ".zarray").select("volume_id", "key", spec.alias("m"))
+    found = _fetch(spark, root, ".zarray").select("volume_id", "key", spec.alias("m"))
     rank = F.size("m.shape")
     ahead = F.when(rank == 4, F.lit(1)).otherwise(F.lit(0))
     sizes = [F.get(f"m.{name}", ahead + i).alias(f"{short}{a}") for name, short in (("shape", "s"), ("chunks", "c")) for i, a in enumerate("zyx")]
@@ -101,7 +128,7 @@ def zarr_catalog(spark: SparkSession, root: str) -> DataFrame:
 
 def zarr_attributes(spark: SparkSession, root: str) -> DataFrame:
     """Attributes of stores and arrays as JSON text."""
-    return _fetch(_members(spark, root), ".zattrs").withColumnRenamed("json", "attrs")
+    return _fetch(spark, root, ".zattrs").withColumnRenamed("json", "attrs")
 
 
 def zarr_plan(catalog: DataFrame) -> DataFrame:
@@ -132,22 +159,28 @@ def _unpack(data: bytes, codec: str | None) -> bytes:
     raise ValueError(f"chunk codec {codec} is not supported")
 
 
+def chunk_bytes(r, channel: int, index: list[int], size) -> bytes:
+    """C-ordered bytes of one chunk of array ``r`` (a row of the catalog), cut to
+    ``size``; an absent chunk file holds the fill value."""
+    many = r.rank == 4
+    place = ([channel // int(r.cc)] if many else []) + index
+    raw = _read("/".join(p for p in (r.volume_id, r.key, r.separator.join(str(int(i)) for i in place)) if p))
+    full = ([int(r.cc)] if many else []) + [int(r.cz), int(r.cy), int(r.cx)]
+    codec = None if pd.isna(r.codec) else r.codec
+    box = (np.full(full, r.fill, dtype=r.dtype) if raw is None
+           else np.frombuffer(_unpack(raw, codec), dtype=r.dtype).reshape(full, order=r.order))
+    if many:
+        box = box[channel % int(r.cc)]
+    return np.ascontiguousarray(box[: size[0], : size[1], : size[2]]).tobytes()
+
+
 def read_zarr(plan: DataFrame) -> DataFrame:
     """Chunk rows of the planned chunks; absent chunk files hold the fill value."""
 
     def load(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                many = r.rank == 4
-                index = ([int(r.channel) // int(r.cc)] if many else []) + [r.iz, r.iy, r.ix]
-                raw = _read(f"{r.volume_id}/{r.key}/{r.separator.join(str(i) for i in index)}")
-                full = ([int(r.cc)] if many else []) + [int(r.cz), int(r.cy), int(r.cx)]
-                codec = None if pd.isna(r.codec) else r.codec
-                box = (np.full(full, r.fill, dtype=r.dtype) if raw is None
-                       else np.frombuffer(_unpack(raw, codec), dtype=r.dtype).reshape(full, order=r.order))
-                if many:
-                    box = box[int(r.channel) % int(r.cc)]
-                data = np.ascontiguousarray(box[:r.nz, :r.ny, :r.nx]).tobytes()
+                data = chunk_bytes(r, int(r.channel), [r.iz, r.iy, r.ix], (r.nz, r.ny, r.nx))
                 yield pd.DataFrame([[r.volume_id, r.key, r.channel, r.z0, r.y0, r.x0, r.nz, r.ny, r.nx, r.dtype, data]],
                                    columns=["volume_id", "key", "channel", "z0", "y0", "x0", "nz", "ny", "nx", "dtype", "data"])
 
