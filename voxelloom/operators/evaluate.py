@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelloom.operators.assignment import best_matching
 from voxelloom.operators.envelope import nearest_site
 from voxelloom.operators.joins import join_small
 from voxelloom.operators.labels import overlaps_of
@@ -38,15 +39,14 @@ def binary_scores(vox: DataFrame, gt: Column, pred: Column, keys: list[str], ign
 def instance_scores(vox: DataFrame, gt: str, pred: str, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """Matching at an IoU threshold plus symmetric best Dice.
 
-    Pairs above 0.5 are one-to-one by themselves.  At or below it, pairs that
-    are each other's best partner are matched first and removed, round by
-    round, until none is left.
+    Pairs above 0.5 are one-to-one by themselves.  Below it, as many pairs as
+    possible are matched, with the largest total IoU (``best_matching``).
     """
     table = cut(vox.groupBy(*keys, gt, pred).agg(F.count(F.lit(1)).alias("n")))
     pairs = overlaps_of(table, gt, pred, keys)
     hits = pairs.where(F.col("iou") >= threshold)
     if threshold < 0.5:
-        hits = _mutual_best(hits, gt, pred, keys)
+        hits = best_matching(hits, gt, pred, keys)
     elif threshold == 0.5:
         # two pairs can share an object only when both sit exactly at one half
         hits = (hits.groupBy(*keys, gt).agg(F.min(F.struct((-F.col("iou")).alias("s"), F.col(pred).alias("p"))).alias("_b"))
@@ -75,20 +75,6 @@ def instance_scores(vox: DataFrame, gt: str, pred: str, keys: list[str], thresho
         F.concat_ws(" / ", np_.cast("string"), ng.cast("string")).alias("pred_actual"))
 
 
-def _mutual_best(pairs: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """Greedy one-to-one matching by falling IoU (ties by smaller ids)."""
-    left = cut(pairs.select(*keys, a, b, "iou"))
-    done = left.limit(0)
-    while not left.isEmpty():
-        order = F.struct((-F.col("iou")).alias("s"), F.col(a).alias("a"), F.col(b).alias("b"))
-        by_a = left.groupBy(*keys, a).agg(F.min(order).alias("_m")).select(*keys, a, F.col("_m.b").alias(b))
-        by_b = left.groupBy(*keys, b).agg(F.min(order).alias("_m")).select(*keys, F.col("_m.a").alias(a), b)
-        now = cut(left.join(by_a.join(by_b, keys + [a, b]), keys + [a, b], "left_semi"))
-        done = done.unionByName(now)
-        left = cut(left.join(now, keys + [a], "left_anti").join(now, keys + [b], "left_anti"))
-    return done
-
-
 def class_scores(vox: DataFrame, gt_class: str, pred_class: str, gt: str, pred: str, keys: list[str]) -> DataFrame:
     """Voxel and instance scores per semantic class."""
     classes = F.array_distinct(F.filter(F.array(gt_class, pred_class), lambda c: c > 0))

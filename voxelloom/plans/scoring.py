@@ -59,6 +59,11 @@ def _(t):
     return rounded(instances(t), *_I6).drop("sbd_score", "pred_actual")
 
 
+@query("evl_2_matching_low_threshold")
+def _(t):
+    return rounded(E.instance_scores(t.vox, "gt", "pred", ["volume_id"], 0.1), *_I6).drop("sbd_score", "pred_actual")
+
+
 @query("evl_3_symmetric_best_dice", f"{INST} SELECT volume_id, round(sbd_score,6)::DOUBLE sbd_score FROM inst")
 def _(t):
     return rounded(instances(t), *_I6).select("volume_id", "sbd_score")
