@@ -1,10 +1,12 @@
 import json
 import random
 import re
+import time
 
+import pytest
+from pyspark.sql import functions as F
 
 from voxelloom.llm import chat, decontaminate, secret_scan, surrogates
-from pyspark.sql import functions as F
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 
@@ -47,6 +49,24 @@ def test_render_round_trip(spark):
         assert r.learn == "".join(t for role, t in convs[r.id] if role == "assistant")
 
 
+@pytest.mark.parametrize("block, page", [(256, 4096), (2, 3)])
+def test_long_conversations_take_no_square_of_their_turns(spark, monkeypatch, block, page):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    monkeypatch.setattr(chat, "PAGE", page)
+    n = 40_000 if block > 2 else 41
+    text = F.concat(F.lit("é\U0001f600<|&\n"), F.repeat(F.lit("z"), (F.col("id") % 60).cast("int")))
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    one = spark.range(n).groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("at"), role.alias("role"), text.alias("text")))).alias("turns"))
+    begun = time.monotonic()
+    r = one.withColumn("r", chat.render(F.col("turns"))).select(
+        "r.formatted", "r.loss", chat.read_back(F.col("r.formatted")).alias("back"), chat.masked(F.col("r.formatted"), F.col("r.loss")).alias("learn")).first()
+    assert time.monotonic() - begun < 40
+    want = ["é\U0001f600<|&\n" + "z" * (i % 60) for i in range(n)]
+    assert [t.text for t in r.back] == want and r.learn == "".join(want[1::2])
+    at = [s.start for s in r.loss]
+    assert [r.formatted[a - len("assistant\n"):a] for a in (at[0], at[-1])] == ["assistant\n"] * 2 and len(at) == n // 2
+
+
 def test_gather_orders_turns_and_keeps_null_keys(spark):
     rows = [(None, 1, "assistant", "b"), (None, 0, "user", "a"), (5, 0, "user", None), (5, 0, None, "z"), (5, None, "user", "first")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

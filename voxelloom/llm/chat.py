@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from voxelloom.llm.common import fresh, query, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: Turns and code points that are taken together in long conversations.
+BLOCK, PAGE = 256, 4096
 TURN = "array<struct<at:bigint,role:string,text:string>>"
 
 
@@ -130,19 +132,41 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("&nl;"), F.lit("\n")))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once; used inside a lambda as it
+    is, it would be evaluated anew for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
+
+
+def starts(width: Column) -> Column:
+    """What stands before each element of ``width``; summed by blocks of
+    ``BLOCK``, so that a long array does not cost its square."""
+    count = F.ceil(F.size(width) / BLOCK).cast("int")
+    sums = F.transform(F.slice(F.sequence(F.lit(0), count), 1, count), lambda k: total(F.slice(width, k * BLOCK + 1, BLOCK)))
+    return let(sums, lambda b: F.transform(width, lambda w, i: total(F.slice(b, 1, (i / BLOCK).cast("int"))) + total(
+        F.slice(width, i - i % BLOCK + 1, i % BLOCK))))
+
+
 def render(turns: Column, learn: str = "assistant") -> Column:
     """struct(formatted, loss): the template's text and the code-point spans
     (start, length) in it that carry loss."""
     parts = F.transform(turns, lambda t: F.struct(
         F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == learn).alias("learn")))
     tail = len(CLOSE) + 1
-    width = F.transform(parts, lambda p: F.char_length(p["head"]) + F.char_length(p["body"]) + tail)
-    spans = F.transform(parts, lambda p, i: F.struct(
-        (F.aggregate(F.slice(width, 1, i), F.lit(0), lambda a, b: a + b) + F.char_length(p["head"])).alias("start"),
-        F.char_length(p["body"]).alias("length"), p["learn"].alias("learn")))
-    loss = F.transform(F.filter(spans, lambda s: s["learn"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
-    text = F.array_join(F.transform(parts, lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE + "\n"))), "")
-    return F.struct(text.alias("formatted"), loss.alias("loss"))
+
+    def made(p):
+        width = F.transform(p, lambda x: F.char_length(x["head"]) + F.char_length(x["body"]) + tail)
+        spans = F.zip_with(p, let(width, starts), lambda x, at: F.struct(
+            (at + F.char_length(x["head"])).alias("start"), F.char_length(x["body"]).alias("length"), x["learn"].alias("learn")))
+        loss = F.transform(F.filter(spans, lambda s: s["learn"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+        text = F.array_join(F.transform(p, lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE + "\n"))), "")
+        return F.struct(text.alias("formatted"), loss.alias("loss"))
+
+    return let(parts, made)
 
 
 def read_back(formatted: Column) -> Column:
@@ -154,8 +178,18 @@ def read_back(formatted: Column) -> Column:
 
 
 def masked(formatted: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"]))), "")
+    """All text under the loss mask, unescaped, nothing between.
+
+    The text is read in pages of ``PAGE`` code points, as finding a place in a
+    text starts at its beginning.
+    """
+    pages = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+    def part(p, s):
+        first, last = (s["start"] / PAGE).cast("int"), ((s["start"] + s["length"]) / PAGE).cast("int")
+        return unescape(F.substr(F.array_join(F.slice(p, first + 1, last - first + 1), ""), s["start"] % PAGE + 1, s["length"]))
+
+    return let(pages, lambda p: F.array_join(F.transform(loss, lambda s: part(p, s)), ""))
 
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
