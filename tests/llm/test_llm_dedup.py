@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -166,3 +167,11 @@ def test_line_dedup_rewrites_texts(odd, none, texts, small):
     assert by.count((1, "one two three four five six\nseven")) in (0, 2)  # repeated rows come out alike
     assert (2, None) in by and (8, "") in by
     assert line_dedup.deduplicate(none).count() == 0
+
+
+def test_many_removed_lines_of_one_text(texts, small):
+    lines = [f"left{i} right{i} middle{i}" for i in range(30_000)]
+    begun = time.monotonic()
+    got = line_dedup.deduplicate(texts("\n".join(lines), "\n".join([*lines[::-1], "new one here"]))).orderBy("doc_id").collect()
+    assert [r.text for r in got] == ["\n".join(lines), "new one here"]
+    assert time.monotonic() - begun < 60

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelloom.llm.common import fresh, query, table
+from voxelloom.llm.common import fresh, let, query, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Turns and code points that are taken together in long conversations.
@@ -132,12 +132,6 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("&nl;"), F.lit("\n")))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once; used inside a lambda as it
-    is, it would be evaluated anew for every element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
 

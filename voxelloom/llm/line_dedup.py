@@ -26,7 +26,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelloom.llm.common import fresh, query, table, whole_text
+from voxelloom.llm.common import fresh, let, query, table, whole_text
 from voxelloom.session import cut
 
 THRESHOLD = 0.8
@@ -267,8 +267,12 @@ def deduplicate(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     id_, hash_, list_ = fresh(docs, "_id", "_hash", "_removed")
     gone = removals(docs, t).where("size(removed) > 0").select(F.col("doc_id").alias(id_), F.col("_th").alias(hash_), F.col("removed").alias(list_))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(whole_text()) == F.col(hash_)), "left")
-    kept = F.filter(F.split(whole_text(), "\n"), lambda x, i: ~F.array_contains(F.col(list_), i))
-    text = F.when(F.col(list_).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+
+    def kept(lines):  # a set difference of line numbers takes no square of them
+        stay = F.array_except(F.transform(lines, lambda x, i: i), F.col(list_))
+        return F.array_join(F.transform(stay, lambda i: lines[i]), "\n")
+
+    text = F.when(F.col(list_).isNull(), F.col("text")).otherwise(let(F.split(whole_text(), "\n"), kept))
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
