@@ -60,24 +60,61 @@ def box_mean(vox: DataFrame, factors, value: str) -> DataFrame:
     return vox.groupBy("volume_id", *keys).agg(F.avg(value).alias(value))
 
 
-def linear(vox: DataFrame, volumes: DataFrame, shape, value: str) -> DataFrame:
-    """Separable linear interpolation at pixel centres, edges held."""
+def _separable(vox: DataFrame, volumes: DataFrame, shape, value: str, weights) -> DataFrame:
+    """Sums of weighted voxels, axis by axis.  ``weights(table, axis)`` turns
+    ``volume_id, n*, _t, _o`` (output index) into ``volume_id, _o, <axis>, _w``."""
     out = vox.select("volume_id", *AXES, F.col(value).cast("double").alias("_v"))
     for a, t in zip(AXES, _as_columns(shape)):
-        n = F.col(f"n{a}")
         table = volumes.withColumn("_t", t)
         table = table.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_t") - 1)))
-        at = F.greatest(F.lit(0.0), F.least((n - 1).cast("double"), (F.col("_o") + 0.5) * n / F.col("_t") - 0.5))
-        low = F.floor(at)
-        table = table.select("volume_id", "_o", F.explode(F.array(
-            F.struct(low.alias("s"), (1 - (at - low)).alias("w")), F.struct((low + 1).alias("s"), (at - low).alias("w")))).alias("_e"))
-        table = table.select("volume_id", "_o", F.col("_e.s").alias(a), F.col("_e.w").alias("_w")).where("_w > 0")
         rest = [b for b in AXES if b != a]
-        out = (join_small(out, table, ["volume_id", a], materialise=False).groupBy("volume_id", "_o", *rest)
+        out = (join_small(out, weights(table, a), ["volume_id", a], materialise=False).groupBy("volume_id", "_o", *rest)
                .agg(F.sum(F.col("_v") * F.col("_w")).alias("_v")).withColumnRenamed("_o", a))
     return out.select("volume_id", *AXES, F.col("_v").alias(value))
 
 
+def _linear_weights(table: DataFrame, a: str) -> DataFrame:
+    n = F.col(f"n{a}")
+    at = F.greatest(F.lit(0.0), F.least((n - 1).cast("double"), (F.col("_o") + 0.5) * n / F.col("_t") - 0.5))
+    low = F.floor(at)
+    table = table.select("volume_id", n, "_t", "_o", F.explode(F.array(
+        F.struct(low.alias("s"), (1 - (at - low)).alias("w")), F.struct((low + 1).alias("s"), (at - low).alias("w")))).alias("_e"))
+    return table.select("volume_id", f"n{a}", "_t", "_o", F.col("_e.s").alias(a), F.col("_e.w").alias("_w")).where("_w > 0")
+
+
+def _smooth_weights(table: DataFrame, a: str) -> DataFrame:
+    """Linear weights of Gaussian means: both are linear, so one table holds both."""
+    n, half = F.col(f"n{a}"), F.greatest(F.lit(0.0), (F.col(f"n{a}") / F.col("_t") - 1) / 2)  # half is the deviation
+    reach = F.floor(half * 4 + 0.5)
+    taps = F.sequence(-reach, reach)
+
+    def bell(k):
+        return F.exp(-(k * k) / F.greatest(2 * half * half, F.lit(1e-300)))
+
+    total = F.aggregate(taps, F.lit(0.0), lambda s, k: s + bell(k))
+    spread = _linear_weights(table, a).withColumn("_total", total).withColumn("_k", F.explode(taps))
+    period = F.greatest(2 * (n - 1), F.lit(1))
+    at = F.pmod(F.col(a) + F.col("_k"), period)
+    spread = spread.select("volume_id", "_o", F.least(at, period - at).alias(a), (F.col("_w") * bell(F.col("_k")) / F.col("_total")).alias("_w"))
+    return spread.groupBy("volume_id", "_o", a).agg(F.sum("_w").alias("_w"))
+
+
+def linear(vox: DataFrame, volumes: DataFrame, shape, value: str) -> DataFrame:
+    """Separable linear interpolation at pixel centres, edges held."""
+    return _separable(vox, volumes, shape, value, lambda table, a: _linear_weights(table, a).drop(f"n{a}", "_t"))
+
+
+def antialiased(vox: DataFrame, volumes: DataFrame, shape, value: str) -> DataFrame:
+    """Linear interpolation of Gaussian means, for smaller shapes.
+
+    Along an axis that shrinks by ``f`` the deviation is ``(f - 1) / 2``, cut off at
+    four deviations, with the volume mirrored at its outer voxels (which are not
+    repeated); an axis that does not shrink is interpolated only.  A voxel reaches
+    a handful of output places whatever ``f`` is.  Voxels not stored are 0.
+    """
+    return _separable(vox, volumes, shape, value, _smooth_weights)
+
+
 def rescale_plan(volumes: DataFrame, source_size, target_size, skip_ratio: float = 4.0) -> DataFrame:
     """Output shape for a target voxel size; volumes whose ratio reaches
     ``skip_ratio`` on an axis are flagged and left alone."""

@@ -407,6 +407,22 @@ def _(t):
     return rounded(R.linear(t.vox, t.volumes, (3, 20, 24), "raw"), "raw", digits=5)
 
 
+def _smooth(a, s):
+    """Per axis: Gaussian means of the mirrored line (g), then the linear weights (l) of ``_lin`` on them."""
+    d = f"greatest(0.0,(n{a}::DOUBLE/{s}-1)/2)"
+    bell = f"exp(-(k*k)/(2*({d})*({d})))"
+    return f"""{_lin(a, s)}, k{a} AS (SELECT volume_id, n{a} n, i, k, CASE WHEN {d}=0 THEN 1.0 ELSE {bell} END b FROM vol, range(64) r(i), range(-200,201) q(k) WHERE i<n{a} AND abs(k)<=floor(4*{d}+0.5)),
+      g{a} AS (SELECT volume_id, i, CASE WHEN m<n THEN m ELSE 2*(n-1)-m END s, sum(b)/any_value(t) w FROM (
+        SELECT *, CASE WHEN n=1 THEN 0 ELSE (((i+k)%(2*(n-1)))+2*(n-1))%(2*(n-1)) END m, sum(b) OVER (PARTITION BY volume_id, i) t FROM k{a}) GROUP BY 1,2,3),
+      h{a} AS (SELECT g.volume_id, o{a}, s {a}, sum(l.w{a}*g.w) w{a} FROM l{a} l JOIN g{a} g ON g.volume_id=l.volume_id AND g.i=l.{a} GROUP BY 1,2,3)"""
+
+
+@query("shp_4_antialiased", f"""{VOX}, {_smooth('z', 2)}, {_smooth('y', 9)}, {_smooth('x', 12)} SELECT v.volume_id, oz z, oy y, ox x, round(sum(raw*wz*wy*wx),4)+0.0 raw
+  FROM vox v JOIN hz USING (volume_id,z) JOIN hy USING (volume_id,y) JOIN hx USING (volume_id,x) GROUP BY ALL""")
+def _(t):
+    return rounded(R.antialiased(t.vox, t.volumes, (2, 9, 12), "raw"), "raw", digits=4)
+
+
 @query("shp_5_rescale_plan", f"""{VOX} SELECT volume_id, nz, ny, nx, round_even(nz*(0.025::DOUBLE/0.010),0)::BIGINT out_nz, round_even(ny*(0.005::DOUBLE/0.010),0)::BIGINT out_ny, round_even(nx*(0.005::DOUBLE/0.010),0)::BIGINT out_nx,
   round(0.025/0.010::DOUBLE,6) ratio_z, 0.5::DOUBLE ratio_y, 0.5::DOUBLE ratio_x, false skipped FROM vol""")
 def _(t):
