@@ -118,6 +118,27 @@ def test_contains_match_takes_the_first(spark):
     assert got == {"a_1": "first", "zz": None, "b": "b"}
 
 
+def test_contains_match_of_all_lengths(spark):
+    """Against brute force; needles of 1 to 9 characters, some empty, null or repeated."""
+    texts = ["abcabcabd", "bca", "", "aabbaabba", "cab", "dddddddddd", "abcdabcd"]
+    needles = sorted({t[i : i + n] for t in texts for n in range(1, 10) for i in range(len(t))} | {"", "x", "abx", "ddddddddddd"}) + ["bca", None]
+    raw = spark.createDataFrame([(i, n) for i, n in enumerate(needles)], "i int, n string")
+    lab = spark.createDataFrame([(t, -i, f"p{i}") for i, t in enumerate(texts)] + [(None, -99, "null")], "text string, pos int, path string")
+    want = {i: (max((k for k, t in enumerate(texts) if n in t), default=None) if n else None) for i, n in enumerate(needles)}
+    for limit in (PA.MAX_HEADS, -1):  # heads sent to the tasks, and joined by shuffle
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(PA, "MAX_HEADS", limit)
+            got = {r.i: r.path for r in PA.contains_match(raw, lab, "n", "text", "pos", "path").collect()}
+        assert got == {i: None if k is None else f"p{k}" for i, k in want.items()}
+
+
+def test_contains_match_broadcasts_no_exploded_table(spark):
+    raw = spark.range(50).select(F.concat(F.lit("a_"), "id").alias("stem"))
+    out = PA.contains_match(raw, raw.select("stem", F.col("stem").alias("text"), F.col("stem").alias("pos")), "stem", "text", "pos", "pos")
+    plan = out._jdf.queryExecution().toString()
+    assert "SortMergeJoin [stem" in plan and "BroadcastHashJoin [stem" not in plan
+
+
 def test_pairing_fails_on_unequal_lists(spark):
     a = spark.createDataFrame([("a",), ("b",)], "p string")
     with pytest.raises(Exception, match="lists differ"):

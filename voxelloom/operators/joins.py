@@ -23,11 +23,11 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
 
     The small side is materialised once and measured.  Up to ``limit`` bytes it
     is broadcast, so the voxel rows are not shuffled and a hot key costs
-    nothing; above that the join is left to the optimizer, whose skew handling
-    splits hot keys (the small side has one row per key).
+    nothing; above that both sides are shuffled, whatever the optimizer takes
+    their size for, and skew handling splits hot keys (the small side has one
+    row per key).
     """
     if materialise:
         small = cut(small)
-    if size_of(small) <= limit:
-        small = F.broadcast(small)
+    small = F.broadcast(small) if size_of(small) <= limit else small.hint("merge")
     return big.join(small, on, how)
