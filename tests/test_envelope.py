@@ -68,3 +68,22 @@ def test_sweep_ties_and_long_lines():
     assert best.ravel().tolist() == [0, 1, 4, 1, 0] and which.ravel().tolist() == [5, 5, 1, 4, 4]
     with pytest.raises(ValueError):
         V.sweep(np.zeros((2, 1), np.int64), np.zeros((2, 1), np.int64), np.array([0, 2_000_000]), np.array([0]), 1, far)
+
+
+@pytest.mark.parametrize("kind", [np.int64, np.float64])
+def test_short_lines_as_long_ones(kind):
+    rng = np.random.default_rng(8)
+    far = V.far_of(kind)
+    for share, names in ((0.1, 4), (0.8, 4), (0.5, 1), (0.0, 4)):
+        height = np.where(rng.random((20, 64)) < share, rng.integers(0, 60, (20, 64)), far).astype(kind)
+        label = rng.integers(1, names + 1, height.shape)
+        pos, at = np.sort(rng.choice(40, 20, replace=False)), np.arange(-2, 44, 3)
+        one, two = V.sweep(height, label, pos, at, 2, far)[:2], V.compare(height, label, pos, at, 2, far)
+        assert all(np.array_equal(a, b) for a, b in zip(one, two))
+
+
+def test_short_lines_take_few_steps(monkeypatch):
+    """Lines of a small volume do not go through the envelope."""
+    monkeypatch.setattr(V, "sweep", None)
+    best, _ = V.lowest(np.zeros((4, 9), np.int64), np.ones((4, 9), np.int64), np.arange(4), np.arange(30), 1, V.far_of(np.int64))
+    assert best[:, 0].tolist() == [0] * 4 + [(i - 3) ** 2 for i in range(4, 30)]

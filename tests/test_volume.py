@@ -13,6 +13,7 @@ from voxelloom.operators import edit as E
 from voxelloom.operators import labels as LB
 from voxelloom.operators import morphology as M
 from voxelloom.operators import resample as R
+from voxelloom.operators import blocks as BL
 from voxelloom.operators import watershed as W
 
 
@@ -281,3 +282,10 @@ def test_slices_link_labels_of_any_size(spark):
 def test_packed_coordinates_fail_beyond_their_range(spark):
     with pytest.raises(Exception, match="beyond the packed range"):
         spark.range(1).select(C.pack(F.lit(1 << 21), F.lit(0), F.lit(0))).collect()
+
+
+def test_halo_copies_stay_inside_the_volume(spark):
+    """Rows near the end of a volume are not sent to blocks that lie behind it."""
+    rows = spark.createDataFrame([(0, 3, 5, 5, 4, 6, 6), (0, 3, 5, 5, 5, 7, 6)], "volume_id long, z long, y long, x long, z1 long, y1 long, x1 long")
+    got = BL.with_blocks(rows, (4, 6, 6), (1, 1, 1), (1, 1, 1), inside=True).select("z1", "bz", "by", "bx").collect()
+    assert sorted(map(tuple, got)) == [(4, 0, 0, 0), (5, 0, 0, 0), (5, 0, 1, 0), (5, 1, 0, 0), (5, 1, 1, 0)]

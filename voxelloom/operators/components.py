@@ -9,7 +9,6 @@ its first voxel in scan order, which does not depend on the block size.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +122,7 @@ def components(labels: DataFrame, connectivity: int = 26, same_value: bool = Tru
         root = pack_roots(local_components(lab if same_value else (lab != 0).astype(np.int8), offs), origin)
         at = np.nonzero(lab)
         out = {a: (w + o).astype(np.int64) for a, w, o in zip(AXES, at, origin)}
-        return pd.DataFrame({**out, "label": lab[at], "node": root[at]})
+        return {**out, "label": lab[at], "node": root[at]}
 
     local = cut(map_blocks(labels, kernel, "z long, y long, x long, label long, node long", {"label": (np.int64, 0)}, block))
     edges = face_edges(local, block, offs, ["volume_id"], "label" if same_value else None)

@@ -55,7 +55,7 @@ def distance(mask: DataFrame, volumes: DataFrame, radius: int = 8, spacing=(1.0,
 
     rows = join_small(mask.select(*VOXEL, F.lit(True).alias("_on")), volume_boxes(volumes), ["volume_id"], materialise=False)
     near = map_blocks(rows, kernel, "z long, y long, x long, dist double", {"_on": (np.bool_, False)}, block,
-                      lo=reach, hi=reach, meta=BOX, core_only=True)
+                      lo=reach, hi=reach, meta=BOX, core_only=True, inside=True)
     near = near.withColumn("dist", F.when(F.isnan("dist"), None).otherwise(F.col("dist")))
     near = cut(near)
     far = near.where(F.col("dist").isNull())
@@ -78,7 +78,7 @@ def _outer_rim(mask: DataFrame, volumes: DataFrame, block) -> DataFrame:
 
     rows = join_small(mask.select(*VOXEL, F.lit(True).alias("_on")), volume_boxes(volumes), ["volume_id"], materialise=False)
     return map_blocks(rows, kernel, "z long, y long, x long", {"_on": (np.bool_, False)}, block,
-                      lo=(1, 1, 1), hi=(1, 1, 1), meta=BOX)
+                      lo=(1, 1, 1), hi=(1, 1, 1), meta=BOX, inside=True)
 
 
 def grow_labels(seeds: DataFrame, mask: DataFrame) -> DataFrame:

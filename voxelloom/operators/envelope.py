@@ -18,13 +18,15 @@ from fractions import Fraction
 from math import gcd, lcm
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelloom.operators.blocks import arrow_table
 from voxelloom.session import cut, parallelism
 
 TILE = 16
+SHORT = 48  # length of a line up to which every pair is compared: fewer and larger steps than an envelope takes
 NONE = np.iinfo(np.int64).max  # label of no site
 AXES = ("z", "y", "x")
 
@@ -109,6 +111,32 @@ def sweep(height: np.ndarray, label: np.ndarray, pos: np.ndarray, at: np.ndarray
     return best, which, steps
 
 
+def compare(height: np.ndarray, label: np.ndarray, pos: np.ndarray, at: np.ndarray, weight, far) -> tuple[np.ndarray, np.ndarray]:
+    """What ``sweep`` finds, for short lines: the parabolas one after the other, all places and lines at once."""
+    top = far if height.dtype != np.int64 else 1 << 61  # above all sums of bounded lines, and no sum overflows
+    lifted = np.minimum(height, top)
+    best = np.full((len(at), height.shape[1]), top, height.dtype)
+    some = label[height < far]
+    alike = not len(some) or some.min() == some.max()
+    which = np.full(best.shape, NONE)
+    for k in np.flatnonzero((height < far).any(axis=1)):
+        now = lifted[k] + (weight * (at - pos[k]) ** 2)[:, None].astype(height.dtype)
+        if not alike:
+            tie = np.where(now == best, np.minimum(which, label[k]), which)
+            which = np.where(now < best, label[k], tie)
+        np.minimum(best, now, out=best)
+    found = best < top
+    if alike and len(some):
+        which[found] = some[0]
+    return np.where(found, best, far), np.where(found, which, NONE)
+
+
+def lowest(height: np.ndarray, label: np.ndarray, pos: np.ndarray, at: np.ndarray, weight, far) -> tuple[np.ndarray, np.ndarray]:
+    both = np.concatenate([pos, at])
+    short = len(both) and both.max() - both.min() < SHORT
+    return compare(height, label, pos, at, weight, far) if short else sweep(height, label, pos, at, weight, far)[:2]
+
+
 def spread(tiles) -> np.ndarray:
     """Coordinates of the given tiles."""
     return (np.sort(np.asarray(tiles, np.int64))[:, None] * TILE + np.arange(TILE)).ravel()
@@ -127,6 +155,7 @@ def nearest_site(asking: DataFrame, sites: DataFrame, spacing=(1.0, 1.0, 1.0), k
     types = ", ".join(f"{k} {asking.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{types}, tz long, ty long, tx long, d binary, l binary"
     names = [*keys, "tz", "ty", "tx", "d", "l"]
+    answer = f"{types}, z long, y long, x long, dist double, label long"
     asked = cut(asking.select(*keys, *AXES, *tile.values()))
     spots = asked.select(*keys, "ty", "tx").distinct()
     wanted_x = spots.groupBy(*keys).agg(F.collect_set("tx").alias("want"))  # at most side / TILE numbers per key
@@ -138,54 +167,56 @@ def nearest_site(asking: DataFrame, sites: DataFrame, spacing=(1.0, 1.0, 1.0), k
         for i, t in enumerate(moving):
             part, name = (m[i * TILE : (i + 1) * TILE].reshape(shape).transpose(order) for m in (values, which))
             if (part < far).any():
-                rows.append((*key, *fixed(t), np.ascontiguousarray(part).tobytes(), np.ascontiguousarray(name).tobytes()))
-        return pd.DataFrame(rows, columns=names)
+                rows.append((*key, *fixed(t), part.tobytes(), name.tobytes()))
+        return arrow_table(schema, **dict(zip(names, zip(*rows) if rows else [()] * len(names))))
+
+    def wanted(table):
+        return np.sort(np.array(table["want"][0].as_py(), np.int64))
 
-    def along_x(key, pdf):
-        tz, ty = key[-2:]
-        pos, column = np.unique(pdf["x"].to_numpy(np.int64), return_inverse=True)
-        line = (pdf["z"].to_numpy(np.int64) - tz * TILE) * TILE + pdf["y"].to_numpy(np.int64) - ty * TILE
+    def along_x(key, table):
+        *key, tz, ty = (k.as_py() for k in key)
+        pos, column = np.unique(table["x"].to_numpy(), return_inverse=True)
+        line = (table["z"].to_numpy() - tz * TILE) * TILE + table["y"].to_numpy() - ty * TILE
         height, label = np.full((len(pos), TILE * TILE), far, kind), np.full((len(pos), TILE * TILE), NONE)
         height[column, line] = 0
-        np.minimum.at(label, (column, line), pdf["label"].to_numpy(np.int64))
-        moving = np.sort(pdf["want"].iloc[0])
-        best, which, _ = sweep(height, label, pos, spread(moving), weights[2], far)
-        return emit(key[:-2], lambda t: (tz, ty, int(t)), moving, best, which, (1, 2, 0))
+        np.minimum.at(label, (column, line), table["label"].to_numpy())
+        moving = wanted(table)
+        best, which = lowest(height, label, pos, spread(moving), weights[2], far)
+        return emit(key, lambda t: (tz, ty, int(t)), moving, best, which, (1, 2, 0))
 
-    def column(pdf, axis, order):
+    def column(table, axis, order):
         """Heights and labels of a column of tiles, the swept axis first."""
-        pdf = pdf.sort_values(axis)
+        place = table[axis].to_numpy()
         both = []
         for name, dtype in (("d", kind), ("l", np.int64)):
-            tiles = [np.frombuffer(v, dtype).reshape(shape).transpose(order).reshape(TILE, -1) for v in pdf[name]]
+            cells = table[name].to_pylist()
+            tiles = [np.frombuffer(cells[i], dtype).reshape(shape).transpose(order).reshape(TILE, -1) for i in np.argsort(place)]
             both.append(np.concatenate(tiles) if tiles else np.empty((0, TILE * TILE), dtype))
-        return *both, spread(pdf[axis])
+        return *both, spread(place)
 
-    def along_y(key, pdf):
-        tz, tx = key[-2:]
-        moving = np.sort(pdf["want"].iloc[0])
-        best, which, _ = sweep(*column(pdf, "ty", (1, 0, 2)), spread(moving), weights[1], far)
-        return emit(key[:-2], lambda t: (tz, int(t), tx), moving, best, which, (1, 0, 2))
+    def along_y(key, table):
+        *key, tz, tx = (k.as_py() for k in key)
+        moving = wanted(table)
+        best, which = lowest(*column(table, "ty", (1, 0, 2)), spread(moving), weights[1], far)
+        return emit(key, lambda t: (tz, int(t), tx), moving, best, which, (1, 0, 2))
 
     def along_z(key, tiles, ask):
-        ty, tx = key[-2:]
-        at, row = np.unique(ask["z"].to_numpy(np.int64), return_inverse=True)
-        best, which, _ = sweep(*column(tiles, "tz", (0, 1, 2)), at, weights[0], far)
-        line = (ask["y"].to_numpy(np.int64) - ty * TILE) * TILE + ask["x"].to_numpy(np.int64) - tx * TILE
+        *_, ty, tx = (k.as_py() for k in key)
+        at, row = np.unique(ask["z"].to_numpy(), return_inverse=True)
+        best, which = lowest(*column(tiles, "tz", (0, 1, 2)), at, weights[0], far)
+        line = (ask["y"].to_numpy() - ty * TILE) * TILE + ask["x"].to_numpy() - tx * TILE
         d = best[row, line] if len(ask) else np.empty(0, kind)
         found = d < far
-        out = ask[[*keys, *AXES]].copy()
-        out["dist"] = np.where(found, np.sqrt(np.where(found, d, 0).astype(float)) * unit, np.nan)
-        out["label"] = pd.array(np.where(found, which[row, line], 0) if len(ask) else [], "Int64")
-        out.loc[~found, "label"] = pd.NA
-        return out
+        dist = np.where(found, np.sqrt(np.where(found, d, 0).astype(float)) * unit, np.nan)
+        label = pa.array(np.where(found, which[row, line], 0) if len(ask) else np.empty(0, np.int64), mask=~found)
+        return arrow_table(answer, **{c: ask[c] for c in (*keys, *AXES)}, dist=dist, label=label)
 
     n = parallelism(spark)
     named = sites.select(*keys, *AXES, (F.col("label") if "label" in sites.columns else F.lit(0)).cast("long").alias("label"))
     lines = named.select("*", tile["z"], tile["y"]).join(wanted_x, keys).repartition(n, *keys, "tz", "ty")
-    first = lines.groupBy(*keys, "tz", "ty").applyInPandas(along_x, schema)
-    second = first.join(wanted_y, [*keys, "tx"]).repartition(n, *keys, "tz", "tx").groupBy(*keys, "tz", "tx").applyInPandas(along_y, schema)
+    first = lines.groupBy(*keys, "tz", "ty").applyInArrow(along_x, schema)
+    second = first.join(wanted_y, [*keys, "tx"]).repartition(n, *keys, "tz", "tx").groupBy(*keys, "tz", "tx").applyInArrow(along_y, schema)
     tiles = second.repartition(n, *keys, "ty", "tx").groupBy(*keys, "ty", "tx")
     ask = asked.repartition(n, *keys, "ty", "tx").groupBy(*keys, "ty", "tx")
-    out = tiles.cogroup(ask).applyInPandas(along_z, f"{types}, z long, y long, x long, dist double, label long")
+    out = tiles.cogroup(ask).applyInArrow(along_z, answer)
     return out.withColumn("dist", F.when(F.isnan("dist"), None).otherwise(F.col("dist")))

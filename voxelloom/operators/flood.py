@@ -17,7 +17,6 @@ are written twice: with their basin, and with their label.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +83,7 @@ def join_inside(cost: np.ndarray, u: np.ndarray, v: np.ndarray, fixed: np.ndarra
         basin = root[basin]
 
 
-def block_basins(arrays, origin, inner, meta) -> pd.DataFrame:
+def block_basins(arrays, origin, inner, meta) -> dict[str, np.ndarray]:
     """Rows of one block: its voxels with their basin, its basins, and the
     cheapest edges between basins and to voxels of other blocks."""
     h, d, seed = (arrays[c].ravel() for c in ("height", "far", "seed"))
@@ -124,15 +123,15 @@ def block_basins(arrays, origin, inner, meta) -> pd.DataFrame:
         top, low = np.where(rank[x] > rank[y], x, y), np.where(rank[x] > rank[y], y, x)
         kind = np.where(own[y], INNER_EDGE, OUTER_EDGE)
         rows.append(frame(kind, len(x), a=name[basin[x]], b=name[goal], h1=h[top], d1=d[top], p1=name[top], h2=h[low], d2=d[low], p2=name[low]))
-    return pd.concat(rows, ignore_index=True)
+    return {c: np.concatenate([r[c] for r in rows]) for c in rows[0]}
 
 
-def frame(kind, n: int, **given) -> pd.DataFrame:
+def frame(kind, n: int, **given) -> dict[str, np.ndarray]:
     zero = {"h1": 0.0, "d1": 0.0, "h2": 0.0, "d2": 0.0}
     out = {"kind": np.broadcast_to(np.asarray(kind, np.int32), n)}
     for c in (*AXES, "a", "b", *COST):
         out[c] = given[c] if c in given else np.full(n, zero.get(c, 0))
-    return pd.DataFrame(out)
+    return out
 
 
 def follow(up: DataFrame) -> DataFrame:
@@ -212,10 +211,13 @@ def watershed(height: DataFrame, seeds: DataFrame, block=BLOCK, few: int = FEW)
     """
     mask = height.select(*VOXEL, "height")
     inside = cut(seeds.select(*VOXEL, "label").join(mask.select(*VOXEL), VOXEL, "left_semi"))
-    away = nearest_site(mask, inside).select(*VOXEL, F.coalesce("dist", F.lit(0.0)).alias("far"))
+    ends = [f"{a}1" for a in AXES]
+    box = mask.groupBy("volume_id").agg(*[(F.max(a) + 1).alias(e) for a, e in zip(AXES, ends)])
+    away = nearest_site(mask, inside.drop("label")).select(*VOXEL, F.coalesce("dist", F.lit(0.0)).alias("far"))
     start = mask.join(away, VOXEL).join(inside.withColumnRenamed("label", "seed"), VOXEL, "left").withColumn("seed", F.coalesce("seed", F.lit(0)))
     columns = {"height": (np.float64, np.inf), "far": (np.float64, 0.0), "seed": (np.int64, 0)}
-    made = cut(map_blocks(start, block_basins, _SCHEMA, columns, block, lo=(1, 1, 1), hi=(1, 1, 1), core_only=True))
+    start = join_small(start, box, ["volume_id"])
+    made = cut(map_blocks(start, block_basins, _SCHEMA, columns, block, lo=(1, 1, 1), hi=(1, 1, 1), meta=ends, core_only=True, inside=True))
     voxels = made.where(F.col("kind") == VOXEL_ROW).select(*VOXEL, "a")
     basins = made.where(F.col("kind") == BASIN_ROW).select("volume_id", "a", F.col("b").alias("label"))
     cost = F.struct(*COST).alias("cost")
