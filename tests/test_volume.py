@@ -13,8 +13,8 @@ from voxelloom.operators import edit as E
 from voxelloom.operators import labels as LB
 from voxelloom.operators import morphology as M
 from voxelloom.operators import resample as R
-from voxelloom.operators import blocks as BL
 from voxelloom.operators import watershed as W
+from voxelloom.plans.catalog import QUERIES
 
 
 def flood(values, offs):
@@ -287,5 +287,21 @@ def test_packed_coordinates_fail_beyond_their_range(spark):
 def test_halo_copies_stay_inside_the_volume(spark):
     """Rows near the end of a volume are not sent to blocks that lie behind it."""
     rows = spark.createDataFrame([(0, 3, 5, 5, 4, 6, 6), (0, 3, 5, 5, 5, 7, 6)], "volume_id long, z long, y long, x long, z1 long, y1 long, x1 long")
-    got = BL.with_blocks(rows, (4, 6, 6), (1, 1, 1), (1, 1, 1), inside=True).select("z1", "bz", "by", "bx").collect()
+    got = B.with_blocks(rows, (4, 6, 6), (1, 1, 1), (1, 1, 1), inside=True).select("z1", "bz", "by", "bx").collect()
     assert sorted(map(tuple, got)) == [(4, 0, 0, 0), (5, 0, 0, 0), (5, 0, 1, 0), (5, 1, 0, 0), (5, 1, 1, 0)]
+
+
+def test_presets_take_each_distance_once(spark, monkeypatch):
+    """Sets of one boundary threshold share the distance."""
+    made, given, real = [], {}, W.distance
+
+    def segment(vox, volumes, p, radius, block, dist=None):
+        given[p] = dist
+        return vox.select("volume_id", F.lit(1).alias("label"))
+
+    monkeypatch.setattr(W, "distance", lambda *a, **k: made.append(1) or real(*a, **k))
+    monkeypatch.setattr(W, "segment", segment)
+    out = QUERIES["vol_12_presets"](spark, "/root/testdata/sf0.001")
+    wanting = [p for p in given if p.flood and p.height == "distance"]
+    assert len(wanting) == 3 and all(given[p] is not None for p in wanting) and len(made) == 2
+    assert {r.preset for r in out.select("preset").collect()} == set(W.PRESETS)

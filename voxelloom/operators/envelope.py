@@ -142,11 +142,12 @@ def spread(tiles) -> np.ndarray:
     return (np.sort(np.asarray(tiles, np.int64))[:, None] * TILE + np.arange(TILE)).ravel()
 
 
-def nearest_site(asking: DataFrame, sites: DataFrame, spacing=(1.0, 1.0, 1.0), keys=("volume_id",)) -> DataFrame:
+def nearest_site(asking: DataFrame, sites: DataFrame, spacing=(1.0, 1.0, 1.0), keys=("volume_id",), carry=()) -> DataFrame:
     """``keys, z, y, x, dist, label`` of every asking voxel: distance to the
     nearest site of the same keys and its label (the smallest on ties; without
-    a ``label`` column all sites are 0).  Both are null where there is no site."""
-    keys = list(keys)
+    a ``label`` column all sites are 0).  Both are null where there is no site.
+    ``carry``: further columns of ``asking``, of plain types, that come after these."""
+    keys, carry = list(keys), list(carry)
     weights, unit, kind = integer_weights(spacing)
     far = far_of(kind)
     shape = (TILE,) * 3
@@ -155,8 +156,9 @@ def nearest_site(asking: DataFrame, sites: DataFrame, spacing=(1.0, 1.0, 1.0), k
     types = ", ".join(f"{k} {asking.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{types}, tz long, ty long, tx long, d binary, l binary"
     names = [*keys, "tz", "ty", "tx", "d", "l"]
-    answer = f"{types}, z long, y long, x long, dist double, label long"
-    asked = cut(asking.select(*keys, *AXES, *tile.values()))
+    more = "".join(f", {c} {asking.schema[c].dataType.simpleString()}" for c in carry)
+    answer = f"{types}, z long, y long, x long, dist double, label long{more}"
+    asked = cut(asking.select(*keys, *AXES, *carry, *tile.values()))
     spots = asked.select(*keys, "ty", "tx").distinct()
     wanted_x = spots.groupBy(*keys).agg(F.collect_set("tx").alias("want"))  # at most side / TILE numbers per key
     wanted_y = spots.groupBy(*keys, "tx").agg(F.collect_set("ty").alias("want"))
@@ -209,7 +211,7 @@ def nearest_site(asking: DataFrame, sites: DataFrame, spacing=(1.0, 1.0, 1.0), k
         found = d < far
         dist = np.where(found, np.sqrt(np.where(found, d, 0).astype(float)) * unit, np.nan)
         label = pa.array(np.where(found, which[row, line], 0) if len(ask) else np.empty(0, np.int64), mask=~found)
-        return arrow_table(answer, **{c: ask[c] for c in (*keys, *AXES)}, dist=dist, label=label)
+        return arrow_table(answer, **{c: ask[c] for c in (*keys, *AXES, *carry)}, dist=dist, label=label)
 
     n = parallelism(spark)
     named = sites.select(*keys, *AXES, (F.col("label") if "label" in sites.columns else F.lit(0)).cast("long").alias("label"))

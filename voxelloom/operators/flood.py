@@ -118,7 +118,7 @@ def block_basins(arrays, origin, inner, meta) -> dict[str, np.ndarray]:
         use = own[one] & ~seeded[basin[one]] & (basin[one] != basin[two])
         x, y = one[use], two[use]
         goal = np.where(own[y], basin[y], y)
-        _, first = np.unique(np.column_stack([basin[x], goal]), axis=0, return_index=True) if len(x) else (None, np.empty(0, int))
+        _, first = np.unique(basin[x] * len(h) + goal, return_index=True)
         x, y, goal = x[first], y[first], goal[first]
         top, low = np.where(rank[x] > rank[y], x, y), np.where(rank[x] > rank[y], y, x)
         kind = np.where(own[y], INNER_EDGE, OUTER_EDGE)
@@ -209,12 +209,12 @@ def watershed(height: DataFrame, seeds: DataFrame, block=BLOCK, few: int = FEW)
     ``height``: mask voxels with ``height``.  ``seeds``: voxels with ``label``;
     those outside the mask do not count.
     """
-    mask = height.select(*VOXEL, "height")
-    inside = cut(seeds.select(*VOXEL, "label").join(mask.select(*VOXEL), VOXEL, "left_semi"))
+    found = seeds.select(*VOXEL, F.col("label").alias("seed"))
+    mask = cut(height.select(*VOXEL, "height").join(found, VOXEL, "left").withColumn("seed", F.coalesce("seed", F.lit(0))))
     ends = [f"{a}1" for a in AXES]
     box = mask.groupBy("volume_id").agg(*[(F.max(a) + 1).alias(e) for a, e in zip(AXES, ends)])
-    away = nearest_site(mask, inside.drop("label")).select(*VOXEL, F.coalesce("dist", F.lit(0.0)).alias("far"))
-    start = mask.join(away, VOXEL).join(inside.withColumnRenamed("label", "seed"), VOXEL, "left").withColumn("seed", F.coalesce("seed", F.lit(0)))
+    away = nearest_site(mask, mask.where("seed > 0").select(*VOXEL), carry=["height", "seed"])
+    start = away.select(*VOXEL, "height", "seed", F.coalesce("dist", F.lit(0.0)).alias("far"))
     columns = {"height": (np.float64, np.inf), "far": (np.float64, 0.0), "seed": (np.int64, 0)}
     start = join_small(start, box, ["volume_id"])
     made = cut(map_blocks(start, block_basins, _SCHEMA, columns, block, lo=(1, 1, 1), hi=(1, 1, 1), meta=ends, core_only=True, inside=True))

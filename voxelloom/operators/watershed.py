@@ -47,11 +47,16 @@ PRESETS = {
 }
 
 
-def segment(vox: DataFrame, volumes: DataFrame, params: SegParams, radius: int = 8, block=BLOCK) -> DataFrame:
+def boundary_distance(vox: DataFrame, volumes: DataFrame, params: SegParams, radius: int = 8, block=BLOCK) -> DataFrame:
+    """Distance inside the boundary threshold, materialised; the same for all parameters with that threshold."""
+    return cut(distance(vox.where(F.col("bd") < params.bd_threshold), volumes, radius, block=block))
+
+
+def segment(vox: DataFrame, volumes: DataFrame, params: SegParams, radius: int = 8, block=BLOCK, dist: DataFrame | None = None) -> DataFrame:
     """Instance labels from foreground and boundary probabilities.
 
     ``vox``: one row per voxel with ``fg`` and ``bd``.  Labels are the packed
-    first-voxel ids of the seed components.
+    first-voxel ids of the seed components.  ``dist``: ``boundary_distance`` where it is known already.
     """
     fg, bd = F.col("fg"), F.col("bd")
     if not params.flood:
@@ -59,11 +64,10 @@ def segment(vox: DataFrame, volumes: DataFrame, params: SegParams, radius: int =
         parts = components(mask, 26, False, block).select(*VOXEL, (F.col("component") + 1).alias("label"))
         return size_filter(parts, params.min_size)
 
-    dist = None
     seed_rule = fg > params.fg_threshold
     rows = vox.select(*VOXEL, "fg", "bd")
     if params.height == "distance":
-        dist = cut(distance(vox.where(bd < params.bd_threshold), volumes, radius, block=block))
+        dist = boundary_distance(vox, volumes, params, radius, block) if dist is None else dist
         rows = cut(height_map(rows, dist, "fg", "bd", params.penalty, params.bd_threshold, params.barrier_fg_threshold))
     else:
         rows = rows.withColumn("height", bd)

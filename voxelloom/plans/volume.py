@@ -23,6 +23,7 @@ from voxelloom.operators import resample as R
 from voxelloom.operators import watershed as W
 from voxelloom.plans.measure import SMALL_BLOCK, rounded
 from voxelloom.plans.registry import query
+from voxelloom.session import cut
 
 VK = ["volume_id", "z", "y", "x"]
 RVOX = VOX.replace("WITH ", "WITH RECURSIVE ", 1)
@@ -197,11 +198,13 @@ def _(t):
 @query("vol_12_presets")
 def _(t):
     """Every named parameter set, with sizes that suit these small volumes: objects and voxels per volume."""
-    v, parts = probabilities(t), []
+    v, parts, known = cut(probabilities(t)), [], {}
     for name, preset in W.PRESETS.items():
         p = replace(preset, min_size=min(preset.min_size, 20), seed_min_size=min(preset.seed_min_size, 3),
                     seed_distance=preset.seed_distance and 1.2, clean=preset.clean and (8, 1, 1))
-        found = W.segment(v, t.volumes, p, radius=3, block=SMALL_BLOCK).groupBy("volume_id").agg(
+        if p.flood and p.height == "distance" and p.bd_threshold not in known:
+            known[p.bd_threshold] = W.boundary_distance(v, t.volumes, p, 3, SMALL_BLOCK)
+        found = W.segment(v, t.volumes, p, radius=3, block=SMALL_BLOCK, dist=known.get(p.bd_threshold)).groupBy("volume_id").agg(
             F.countDistinct("label").alias("objects"), F.count(F.lit(1)).alias("voxels"))
         parts.append(t.volumes.select(F.lit(name).alias("preset"), "volume_id").join(found, "volume_id", "left").fillna(0, ["objects", "voxels"]))
     return reduce(DataFrame.unionByName, parts).select("preset", "volume_id", "objects", "voxels")
