@@ -10,6 +10,9 @@ bound from parity sketches of 64 or 256 bits (each word that differs flips one b
 Pairs that remain are verified on the words themselves.  A line goes if any
 earlier line, by doc_id and line number, is equal or similar.
 
+Of two similar lines the smaller shares a word of an even shorter prefix, its
+core, with the prefix of the larger one; rare words meet in core and core or core and tail.
+
 Word counts live in a table of fixed size (``2 ** BUCKET_BITS`` hash buckets),
 read as a session variable; a word whose bucket counts one can have no partner
 and is not joined.  Equal sets are one row of the join, with map-side combining,
@@ -36,16 +39,21 @@ WINDOWS = (1, 8)  # candidates of a line up to which it is compared in the first
 LEVELS = 3  # per doubling of the count
 LONG = 96  # words from which a line has the wide sketch too
 LEVEL_SHIFT = 57
+LINES = 2**32  # places of a document; line numbers stay below half of it
 EPS = 1e-9
 BLANKS = " \t\x0b\f\r"
 
 
+def document() -> Column:
+    return F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id, _th`` (the document), ``line_no, line``, ``_pos`` (order of all
     lines) and 128 bits of identity, ``h1`` and ``h2``.  Null text is one empty
     line; rows without a doc_id count as one document, before all others."""
     base = docs.select("doc_id", F.xxhash64(whole_text()).alias("_th"), F.posexplode(F.split(whole_text(), "\n")).alias("line_no", "line"))
-    place = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
+    place = document().cast("decimal(20,0)") * F.lit(LINES).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")
     return base.select("*", place.cast("decimal(38,0)").alias("_pos"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
 
@@ -66,31 +74,43 @@ def bucket(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits).cast("int")
 
 
+def packed(words: DataFrame, size: int, parts) -> DataFrame:
+    """One row: an array of the ``parts`` (an array each) of ``size`` longs, each the
+    union of the bits that ``words`` (``place, bits``) has for it, zero where there are none."""
+    zero = words.sparkSession.range(size).select(F.col("id").cast("int").alias("place"), F.lit(0).cast("long").alias("bits"))
+    full = words.unionByName(zero).groupBy("place").agg(F.bit_or("bits").alias("bits"))
+    blocks = full.groupBy((F.col("place") / BLOCK).cast("int").alias("block")).agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "bits"))), lambda x: parts(x["bits"]))).alias("words"))
+    return blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "words"))), lambda x: x["words"])).alias("words"))
+
+
 def levels(counts: DataFrame, bits: int) -> DataFrame:
-    """One row: an array with the level of each bucket.  ``counts``: bucket, n."""
-    zero = counts.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
-    total = counts.unionByName(zero).groupBy("bucket").agg(F.sum("n").alias("n"))
-    level = F.least(F.lit(62), F.floor(F.log2(F.greatest(F.col("n"), F.lit(1))) * LEVELS + EPS)).cast("tinyint")
-    blocks = total.select((F.col("bucket") / BLOCK).cast("int").alias("block"), "bucket", level.alias("level")).groupBy("block").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("bucket", "level"))), lambda x: x["level"]).alias("levels"))
-    return blocks.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "levels"))), lambda x: x["levels"])).alias("levels"))
+    """One row: an array with the level of each bucket.  ``counts``: bucket, n.
+
+    Eight levels are one long until the array is made, which takes an eighth of the rows."""
+    level = F.least(F.lit(62), F.floor(F.log2("n") * LEVELS + EPS)).cast("long")
+    byte = F.call_function("shiftleft", level, (F.col("bucket").bitwiseAND(7) * 8).cast("int"))
+    return packed(counts.where("n > 1").select(F.shiftright("bucket", 3).alias("place"), byte.alias("bits")), 1 << bits - 3,
+                  lambda x: F.array(*[F.shiftrightunsigned(x, 8 * k).bitwiseAND(127).cast("tinyint") for k in range(8)]))
 
 
 def flags(keys: DataFrame) -> DataFrame:
-    """One row: an array that is above zero where a key (column ``key``) falls."""
-    hit = keys.select(bucket(F.xxhash64("key"), FLAG_BITS).alias("bucket"), F.lit(2).cast("long").alias("n")).distinct()
-    return levels(hit, FLAG_BITS)
+    """One row: a bit for each bucket, set where a hash (column ``key``) falls."""
+    at = bucket(F.col("key"), FLAG_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63))
+    return packed(keys.select(F.shiftright(at, 6).alias("place"), bit.alias("bits")), 1 << FLAG_BITS - 6, F.array)
 
 
-def flagged(flag: Column, key: str) -> Column:
-    return flag[bucket(F.xxhash64(key), FLAG_BITS)] > 0
+def flagged(flag: Column, key: Column) -> Column:
+    at = bucket(key, FLAG_BITS)
+    return F.call_function("shiftrightunsigned", flag[F.shiftright(at, 6)], at.bitwiseAND(63)).bitwiseAND(1) == 1
 
 
 class Lookup:
     """A fixed-size array as a session variable: unlike a joined column it is
     one constant in the plan, and unlike a subquery it may stand in a lambda."""
 
-    def __init__(self, one_row: DataFrame, kind: str):
+    def __init__(self, one_row: DataFrame, kind: str = "BIGINT"):
         self.spark, self.name = one_row.sparkSession, f"lookup_{uuid.uuid4().hex}"
         one_row.createOrReplaceTempView(self.name)
         self.spark.sql(f"DECLARE OR REPLACE VARIABLE {self.name} ARRAY<{kind}>")
@@ -114,6 +134,11 @@ def ordered(level: Column) -> Column:
     return F.sort_array(F.transform("_set", key))
 
 
+def index_length(n: Column, t: float) -> Column:
+    """The prefix that is long enough for partners of ``n`` words or more: they share at least 2tn / (1 + t) words."""
+    return (n - F.ceil(n * (2 * t / (1 + t)) - EPS) + 1).cast("int")
+
+
 def prefix_length(n: Column, t: float) -> Column:
     return (n - F.ceil(n * t - EPS) + 1).cast("int")
 
@@ -130,22 +155,41 @@ def wide(quarter: int) -> Column:
 
 def distinct_lines(lines: DataFrame, level: Column, t: float) -> DataFrame:
     """One row per distinct line with words, materialised: ``sid, h1, h2, pos``
-    (its first place), ``n`` words, sketches ``s`` and ``x``, and ``prefix`` from place ``skip`` on."""
+    (its first place), ``times`` (its places), ``n`` words, sketches ``s`` and
+    ``x``, and its prefix from place ``skip`` on: ``cold`` words, then ``hot`` ones."""
     # a test on the set itself would be pushed below it and hash every word twice
     some = lines.where(F.length(F.translate("line", BLANKS, "")) > 0)
     sets = some.select("h1", "h2", "_pos", F.array_distinct(hashes_of(F.col("line"))).alias("_set"))
     size = F.size("_set")
     sketch = F.expr("aggregate(_set, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)))")
     full = sets.select("h1", "h2", "_pos", size.alias("n"), sketch.alias("s"), *[wide(q).alias(f"x{q}") for q in range(4)], F.slice(ordered(level), F.lit(1), prefix_length(size, t)).alias("_front"))
-    shared = F.filter("_front", lambda w: w >= F.lit(1 << LEVEL_SHIFT))  # words that occur once stand before these
-    full = full.select("h1", "h2", "_pos", *SKETCH, shared.alias("prefix"), (F.size("_front") - F.size(shared)).alias("skip"))
-    return cut(full.groupBy("h1", "h2", *SKETCH, "prefix", "skip").agg(F.min("_pos").alias("pos"))).withColumn("sid", F.monotonically_increasing_id())
+    cold = F.filter("_front", lambda w: (w >= F.lit(1 << LEVEL_SHIFT)) & (w < hot_from()))  # words that occur once stand before these
+    hot = F.filter("_front", lambda w: w >= hot_from())
+    full = full.select("h1", "h2", "_pos", *SKETCH, cold.alias("cold"), hot.alias("hot"), (F.size("_front") - F.size(cold) - F.size(hot)).alias("skip"))
+    one = full.groupBy("h1", "h2", *SKETCH, "cold", "hot", "skip").agg(F.min("_pos").alias("pos"), F.count(F.lit(1)).alias("times"))
+    return cut(one).withColumn("sid", F.monotonically_increasing_id())
 
 
-def postings(sets: DataFrame, *columns: str) -> DataFrame:
-    """A row per line and prefix word: the columns, ``i`` (place) and ``word``."""
-    rows = sets.select(*columns, "skip", F.posexplode("prefix").alias("_i", "word"))
-    return rows.select(*columns, (F.col("_i") + F.col("skip")).alias("i"), "word")
+def hot_from() -> Column:
+    return F.lit((HOT_BITS * LEVELS) << LEVEL_SHIFT)
+
+
+def postings(sets: DataFrame, words: Column, start: Column, *columns: str) -> DataFrame:
+    """A row per line and word of a part of its prefix that starts at place
+    ``start``: the columns, ``i`` (place) and ``word``."""
+    rows = sets.where(F.size(words) > 0).select(*columns, start.alias("_start"), F.posexplode(words).alias("_i", "word"))
+    return rows.select(*columns, (F.col("_i") + F.col("_start")).alias("i"), "word")
+
+
+def cold_postings(sets: DataFrame, t: float, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Of the cold words those that a partner of the same size or larger must share, and the others."""
+    core = F.greatest(F.lit(0), F.least(F.size("cold"), index_length(F.col("n"), t) - F.col("skip")))
+    return (postings(sets, F.slice("cold", F.lit(1), core), F.col("skip"), *columns),
+            postings(sets, F.slice("cold", core + 1, F.size("cold")), F.col("skip") + core, *columns))
+
+
+def hot_postings(sets: DataFrame) -> DataFrame:
+    return postings(sets, F.col("hot"), F.col("skip") + F.size("cold"), "sid", "pos", "h1", *SKETCH)
 
 
 def near(t: float) -> Column:
@@ -164,7 +208,7 @@ def pair() -> list[Column]:
     return [F.col("a.sid").alias("a"), F.col("b.sid").alias("b")]
 
 
-def verify(pairs: DataFrame, sets: DataFrame, lines: DataFrame, t: float) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """``late``: the later line of each pair ``a, b`` whose word sets are really
     similar, materialised.
 
@@ -172,8 +216,9 @@ def verify(pairs: DataFrame, sets: DataFrame, lines: DataFrame, t: float) -> Dat
     earliest partner first, those that fail with the next few, and only lines
     that fail all of these with all the others.
     """
-    place = sets.select("sid", "pos", "h1")
-    known = pairs.distinct()
+    known = cut(pairs.distinct())
+    with Lookup(flags(known.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("key")))) as flag:
+        place = sets.where(flagged(flag, F.xxhash64("sid"))).select("sid", "pos", "h1")
     for side in "ab":
         known = known.join(place.select(F.col("sid").alias(side), F.struct("pos", "h1").alias(f"at_{side}")), side)
     swap = F.col("at_b") < F.col("at_a")
@@ -184,20 +229,21 @@ def verify(pairs: DataFrame, sets: DataFrame, lines: DataFrame, t: float) -> Dat
     for high in (*WINDOWS, None):
         some = known.where(F.col("place") > low) if high is None else known.where(F.col("place").between(low + 1, high))
         some = some.drop("place") if settled is None else cut(some.drop("place").join(settled, "late", "left_anti"))
-        found = cut(similar(some, lines, t).distinct())
+        found = cut(similar(some, docs, t).distinct())
         settled, low = found if settled is None else settled.unionByName(found), high
     return settled
 
 
-def similar(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
+def similar(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """``late`` of the pairs of places (``at``, ``before``) that are similar.
 
-    Only lines that may be in a pair are read again for it: a bucket table of
-    their places thins them out before they are joined.
+    Only documents and lines that may be in a pair are read again for it: a bucket
+    table of both thins them out, documents before they are split, lines before they are joined.
     """
-    wanted = pairs.select(F.col("at.pos").alias("key")).unionByName(pairs.select(F.col("before.pos").alias("key")))
-    with Lookup(flags(wanted), "TINYINT") as flag:
-        some = lines.where(flagged(flag, "_pos")).select(F.struct(F.col("_pos").alias("pos"), "h1").alias("place"), "line")
+    keys = [F.xxhash64(k) for side in ("at", "before") for k in (F.col(f"{side}.pos"), F.floor(F.col(f"{side}.pos") / F.lit(LINES).cast("decimal(10,0)")).cast("long"))]
+    with Lookup(flags(pairs.select(F.explode(F.array(*keys)).alias("key")))) as flag:
+        lines = lines_of(docs.where(flagged(flag, F.xxhash64(document().cast("long")))))
+        some = lines.where(flagged(flag, F.xxhash64("_pos"))).select(F.struct(F.col("_pos").alias("pos"), "h1").alias("place"), "line")
     some = some.groupBy("place").agg(F.min("line").alias("line"))
     both = pairs.join(some.select(F.col("place").alias("before"), F.col("line").alias("one")), "before")
     both = both.join(some.select(F.col("place").alias("at"), F.col("line").alias("two")), "at")
@@ -206,45 +252,43 @@ def similar(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
     return both.where(shared >= (F.size(one) + F.size(two) - shared) * t - EPS).select("late")
 
 
-def late_lines(sets: DataFrame, lines: DataFrame, t: float) -> DataFrame:
+def late_lines(sets: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """``sid``: the distinct lines that have a similar earlier one."""
-    hot = F.lit((HOT_BITS * LEVELS) << LEVEL_SHIFT)
-    word = F.col("word")
-    cold = postings(sets, "sid", *SKETCH).where(word < hot)
-    pairs = cold.alias("a").join(cold.alias("b"), F.col("a.word") == F.col("b.word")).where((F.col("a.sid") < F.col("b.sid")) & near(t)).select(*pair())
-
-    def often(some):
-        return postings(some, "sid", "pos", "h1", *SKETCH).where(word >= hot)
+    same = F.col("a.word") == F.col("b.word")
+    # the smaller line of a pair shares a word of its core with the larger one, so tails need not meet each other
+    core, tail = cold_postings(sets, t, "sid", *SKETCH)
+    pairs = core.alias("a").join(core.alias("b"), same).where((F.col("a.sid") < F.col("b.sid")) & near(t)).select(*pair())
+    pairs = pairs.unionByName(core.alias("a").join(tail.alias("b"), same).where((F.col("a.n") <= F.col("b.n")) & near(t)).select(*pair()))
 
     ahead = F.struct("a.pos", "a.sid") < F.struct("b.pos", "b.sid")
     settled, open_ = None, sets
     for _ in range(ROUNDS):
-        found = led(often(open_), near(t) & ahead, lines, t)
+        found = led(hot_postings(open_), near(t) & ahead, docs, t)
         settled = found if settled is None else settled.unionByName(found)
         open_ = without(open_, found)
-    rest = often(sets).alias("a").join(often(open_).alias("b"), F.col("a.word") == F.col("b.word")).where(near(t) & ahead).select(*pair())
-    return settled.unionByName(verify(pairs.unionByName(rest), sets, lines, t)).select(F.col("late").alias("sid")).distinct()
+    rest = hot_postings(sets).alias("a").join(hot_postings(open_).alias("b"), same).where(near(t) & ahead).select(*pair())
+    return settled.unionByName(verify(pairs.unionByName(rest), sets, docs, t)).select(F.col("late").alias("sid")).distinct()
 
 
-def led(posted: DataFrame, ahead: Column, lines: DataFrame, t: float) -> DataFrame:
+def led(posted: DataFrame, ahead: Column, docs: DataFrame, t: float) -> DataFrame:
     """``late``: the lines similar to the earliest line of one of their words; of
     several such lines the first is compared, the others are left to later steps."""
     first = posted.groupBy("word").agg(F.min(F.struct("pos", "sid", "h1", *SKETCH, "i")).alias("a"), F.count(F.lit(1)).alias("lists")).where("lists > 1")
     met = posted.alias("b").join(first.select(F.col("word").alias("w"), "a"), F.col("b.word") == F.col("w")).where(ahead)
     pairs = met.select(F.col("b.sid").alias("late"), F.struct("b.pos", "b.h1").alias("at"), F.struct("a.pos", "a.h1").alias("before"))
-    return cut(similar(cut(pairs.groupBy("late", "at").agg(F.min("before").alias("before"))), lines, t))
+    return cut(similar(cut(pairs.groupBy("late", "at").agg(F.min("before").alias("before"))), docs, t))
 
 
 def without(sets: DataFrame, found: DataFrame) -> DataFrame:
     """``sets`` less those in ``found.late``; a bucket table spares most of them the join."""
-    with Lookup(flags(found.select(F.col("late").alias("key"))), "TINYINT") as flag:
-        maybe = flagged(flag, "sid")
+    with Lookup(flags(found.select(F.xxhash64("late").alias("key")))) as flag:
+        maybe = flagged(flag, F.xxhash64("sid"))
         return sets.where(~maybe).unionByName(sets.where(maybe).join(found, F.col("sid") == F.col("late"), "left_anti"))
 
 
 def removals(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """``doc_id, _th, removed``: per document (id and text hash) the ascending
-    numbers of the lines that go.
+    """``doc_id, _th, removed``: per document (id and text hash) with lines
+    that go, their ascending numbers.
 
     Lines without words stay.  Rows that repeat a doc_id and its text are one
     document; rows that share a doc_id are read line by line, as one.
@@ -253,19 +297,24 @@ def removals(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     words = lines.select(F.explode(words_of(F.col("line"))).alias("word")).select(bucket(F.xxhash64("word"), BUCKET_BITS).alias("bucket"))
     with Lookup(levels(words.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), BUCKET_BITS), "TINYINT") as level:
         sets = distinct_lines(lines, level, t)
-    late = late_lines(sets, lines, t).withColumn("_late", F.lit(True))
-    first = sets.join(late, "sid", "left").select("h1", "h2", F.col("pos").alias("_first"), F.coalesce("_late", F.lit(False)).alias("_late"))
+    late = cut(late_lines(sets, docs, t).withColumn("_late", F.lit(True)))
+    # lines that are neither late nor repeated stay, and meet nothing more
+    with Lookup(flags(late.select(F.xxhash64("sid").alias("key")))) as flag:
+        some = sets.where((F.col("times") > 1) | flagged(flag, F.xxhash64("sid"))).select("sid", "h1", "h2", "pos", "times")
+    some = some.join(late, "sid", "left").where((F.col("times") > 1) | F.col("_late"))
+    first = cut(some.select("h1", "h2", F.col("pos").alias("_first"), F.coalesce("_late", F.lit(False)).alias("_late")))
+    with Lookup(flags(first.select(F.col("h1").alias("key")))) as flag:
+        told = lines.where(flagged(flag, F.col("h1"))).select("doc_id", "_th", "line_no", "_pos", "h1", "h2")
     # a line that a large share of documents has is one row on the right, and skew handling splits the left
-    told = lines.select("doc_id", "_th", "line_no", "_pos", "h1", "h2").join(first, ["h1", "h2"])
-    go = F.when(F.col("_late") | (F.col("_pos") != F.col("_first")), F.col("line_no"))
-    return told.groupBy("doc_id", "_th").agg(F.sort_array(F.collect_set(go)).alias("removed"))
+    go = F.col("_late") | (F.col("_pos") != F.col("_first"))
+    return told.join(first, ["h1", "h2"]).where(go).groupBy("doc_id", "_th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def deduplicate(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """``docs``, all columns, without the lines that go; documents keep their
     row even when no line is left."""
     id_, hash_, list_ = fresh(docs, "_id", "_hash", "_removed")
-    gone = removals(docs, t).where("size(removed) > 0").select(F.col("doc_id").alias(id_), F.col("_th").alias(hash_), F.col("removed").alias(list_))
+    gone = removals(docs, t).select(F.col("doc_id").alias(id_), F.col("_th").alias(hash_), F.col("removed").alias(list_))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(whole_text()) == F.col(hash_)), "left")
 
     def kept(lines):  # a set difference of line numbers takes no square of them
