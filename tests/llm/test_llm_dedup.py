@@ -175,3 +175,13 @@ def test_many_removed_lines_of_one_text(texts, small):
     got = line_dedup.deduplicate(texts("\n".join(lines), "\n".join([*lines[::-1], "new one here"]))).orderBy("doc_id").collect()
     assert [r.text for r in got] == ["\n".join(lines), "new one here"]
     assert time.monotonic() - begun < 60
+
+
+def test_verification_splits_each_line_once(spark, texts, small):
+    docs = texts("a b c d e f", "a b c d e f g")
+    lines = line_dedup.lines_of(docs)
+    place = F.struct(F.col("_pos").alias("pos"), "h1")
+    pairs = lines.where("doc_id = 1").select(F.lit(1).alias("late"), place.alias("at")).crossJoin(lines.where("doc_id = 0").select(place.alias("before")))
+    found = line_dedup.similar(pairs, lines, 0.8)
+    assert found.collect() == [(1,)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_intersect") == 1

@@ -132,7 +132,7 @@ def distinct_lines(lines: DataFrame, level: Column, t: float) -> DataFrame:
     """One row per distinct line with words, materialised: ``sid, h1, h2, pos``
     (its first place), ``n`` words, sketches ``s`` and ``x``, and ``prefix`` from place ``skip`` on."""
     # a test on the set itself would be pushed below it and hash every word twice
-    some = lines.where(F.length(F.translate("line", BLANKS, "")) > 0)
+    some = lines.where(F.ltrim(F.col("line"), F.lit(BLANKS)) != "")
     sets = some.select("h1", "h2", "_pos", F.array_distinct(hashes_of(F.col("line"))).alias("_set"))
     size = F.size("_set")
     sketch = F.expr("aggregate(_set, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)))")
@@ -201,9 +201,9 @@ def similar(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
     some = some.groupBy("place").agg(F.min("line").alias("line"))
     both = pairs.join(some.select(F.col("place").alias("before"), F.col("line").alias("one")), "before")
     both = both.join(some.select(F.col("place").alias("at"), F.col("line").alias("two")), "at")
-    one, two = F.array_distinct(words_of(F.col("one"))), F.array_distinct(words_of(F.col("two")))
-    shared = F.size(F.array_intersect(one, two))
-    return both.where(shared >= (F.size(one) + F.size(two) - shared) * t - EPS).select("late")
+    # each line is split once; a plain condition would split it anew wherever its words stand
+    alike = let(words_of(F.col("one")), lambda one: let(words_of(F.col("two")), lambda two: F.size(F.array_intersect(one, two)) >= F.size(F.array_union(one, two)) * t - EPS))
+    return both.where(alike).select("late")
 
 
 def late_lines(sets: DataFrame, lines: DataFrame, t: float) -> DataFrame:
