@@ -177,6 +177,11 @@ def test_many_removed_lines_of_one_text(texts, small):
     assert time.monotonic() - begun < 60
 
 
+def test_only_lines_that_go_are_grouped(texts, small):
+    docs = texts("a b c d e\nkeep one", "A b  c e d\nkeep two", "stays whole")
+    assert [(r.doc_id, list(r.removed)) for r in line_dedup.removals(docs).collect()] == [(1, [0])]
+
+
 def test_verification_splits_each_line_once(spark, texts, small):
     docs = texts("a b c d e f", "a b c d e f g")
     lines = line_dedup.lines_of(docs)

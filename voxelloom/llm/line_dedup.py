@@ -243,8 +243,8 @@ def without(sets: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
-    """``doc_id, _th, removed``: per document (id and text hash) the ascending
-    numbers of the lines that go.
+    """``doc_id, _th, removed``: per document (id and text hash) that loses lines
+    the ascending numbers of these.
 
     Lines without words stay.  Rows that repeat a doc_id and its text are one
     document; rows that share a doc_id are read line by line, as one.
@@ -257,15 +257,15 @@ def removals(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     first = sets.join(late, "sid", "left").select("h1", "h2", F.col("pos").alias("_first"), F.coalesce("_late", F.lit(False)).alias("_late"))
     # a line that a large share of documents has is one row on the right, and skew handling splits the left
     told = lines.select("doc_id", "_th", "line_no", "_pos", "h1", "h2").join(first, ["h1", "h2"])
-    go = F.when(F.col("_late") | (F.col("_pos") != F.col("_first")), F.col("line_no"))
-    return told.groupBy("doc_id", "_th").agg(F.sort_array(F.collect_set(go)).alias("removed"))
+    gone = told.where(F.col("_late") | (F.col("_pos") != F.col("_first")))  # the lines that stay are most and need no grouping
+    return gone.groupBy("doc_id", "_th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def deduplicate(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """``docs``, all columns, without the lines that go; documents keep their
     row even when no line is left."""
     id_, hash_, list_ = fresh(docs, "_id", "_hash", "_removed")
-    gone = removals(docs, t).where("size(removed) > 0").select(F.col("doc_id").alias(id_), F.col("_th").alias(hash_), F.col("removed").alias(list_))
+    gone = removals(docs, t).select(F.col("doc_id").alias(id_), F.col("_th").alias(hash_), F.col("removed").alias(list_))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(whole_text()) == F.col(hash_)), "left")
 
     def kept(lines):  # a set difference of line numbers takes no square of them
